@@ -101,13 +101,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray = _LOWE
 
     gap: which bytes part words. The second array has one entry more than there are rows.
     """
+    return word_places(data, offsets, lower, gap)[:2]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray = _LOWER, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), and where each word starts and ends in the block."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     low = lower[data]
     out = gap[low]
     starts = ~out
-    starts[1:] &= out[:-1] | False
+    starts[1:] &= out[:-1]
     ends = ~out
     ends[:-1] &= out[1:]
     # a row's edge parts words as well
@@ -119,7 +125,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray = _LOWE
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return mix((sums[e] - sums[s]) * inverse[s]), np.searchsorted(s, offsets)
+    return mix((sums[e] - sums[s]) * inverse[s]), np.searchsorted(s, offsets), s, e
 
 
 def as_long(x: np.ndarray) -> pa.Array:
