@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from weft.llm import op4_bpe
+from weft.llm import op4_bpe, op7_decontaminate, op8_urls, op10_lines
 
 QUERIES = {
     "op4_bpe": op4_bpe.op4_bpe,
+    "op7_decontaminate": op7_decontaminate.op7_decontaminate,
+    "op8_urls": op8_urls.op8_urls,
+    "op10_lines": op10_lines.op10_lines,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_decontaminate": op7_decontaminate.SQL,
+    "op8_urls": op8_urls.SQL,
+    "op10_lines": op10_lines.SQL,
+}
