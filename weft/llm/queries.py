@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from weft.llm import op4_bpe, op7_decontaminate, op8_urls, op10_lines
+from weft.llm import op4_bpe, op7_decontaminate, op8_urls, op9_jaccard, op10_lines
 
 QUERIES = {
     "op4_bpe": op4_bpe.op4_bpe,
     "op7_decontaminate": op7_decontaminate.op7_decontaminate,
     "op8_urls": op8_urls.op8_urls,
+    "op9_jaccard": op9_jaccard.op9_jaccard,
     "op10_lines": op10_lines.op10_lines,
 }
 
 SQL = {
     "op7_decontaminate": op7_decontaminate.SQL,
     "op8_urls": op8_urls.SQL,
+    "op9_jaccard": op9_jaccard.SQL,
     "op10_lines": op10_lines.SQL,
 }
