@@ -1,0 +1,55 @@
+"""Bounded, reproducible samples of labelled documents, and logistic fits on them."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weft.llm.common import crc_class
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most most[y] documents of each class, and the classes' sizes among the rows to learn from.
+
+    The rows are those whose crc32 class isn't held out, in an order by hash that is the same every time. Only the
+    chosen ids travel (a broadcast bounded by `most`); the texts are picked by one scan. Of documents that share one of
+    three min-hashes of their words only one stays, so that large groups of copies don't pass for evidence.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_class(F.col("doc_id"), modulus) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).cache()
+    sizes = dict(known.groupBy("y").count().collect())
+    picked = None
+    for y, n in most.items():
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
+        picked = part if picked is None else picked.union(part)
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    words = F.split(F.lower("text"), r"\s+")
+    for k in range(3):
+        sample = sample.withColumn(f"_h{k}", F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))))
+    for k in range(3):
+        sample = sample.dropDuplicates([f"_h{k}"])
+    return sample.select("doc_id", "text", "y"), {y: int(sizes.get(y, 0)) for y in most}
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 30, intercept: bool = True) -> np.ndarray:
+    """Weights (the last for the constant, if any) of a ridge logistic regression, by Newton's method."""
+    if intercept:
+        x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    weight = np.ones(len(x)) if weight is None else weight
+    penalty = np.full(x.shape[1], ridge)
+    if intercept:
+        penalty[-1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - y)) + penalty * w
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
