@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_toxicity, op2_imi, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines
+from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
     "op2_imi": op2_imi.op2_imi,
+    "op3_pii": op3_pii.op3_pii,
     "op4_bpe": op4_bpe.op4_bpe,
     "op5_quality": op5_quality.op5_quality,
     "op6_lm": op6_lm.op6_lm,
