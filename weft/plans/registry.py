@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from weft.plans import arrays, chat
+
+_MODULES = [arrays, chat]
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
