@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat
+from weft.plans import arrays, chat, text
 
-_MODULES = [arrays, chat]
+_MODULES = [arrays, chat, text]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
