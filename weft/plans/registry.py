@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat, text
+from weft.plans import arrays, chat, learning, models, text
 
-_MODULES = [arrays, chat, text]
+_MODULES = [arrays, chat, text, learning, models]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
