@@ -17,11 +17,12 @@ def words_of(text: Column) -> Column:
 def ngram_counts(sentences: DataFrame, order: int, words: str = "words") -> DataFrame:
     """(n, ctx, word, c) of sliding n-grams of all orders within sentences."""
     w = F.col(words)
-    grams = [
-        F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i, n=n: i + n - 1 <= F.size(w)), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.slice(w, i, n - 1).alias("ctx"), F.get(w, i + n - 2).alias("word")))
-        for n in range(1, order + 1)
-    ]
-    return sentences.select(F.explode(F.concat(*grams)).alias("g")).groupBy("g.n", "g.ctx", "g.word").agg(F.count("*").alias("c"))
+
+    def grams(n: int) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(w))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.slice(w, i, n - 1).alias("ctx"), F.get(w, i + n - 2).alias("word")))
+
+    return sentences.select(F.explode(F.concat(*(grams(n) for n in range(1, order + 1)))).alias("g")).groupBy("g.n", "g.ctx", "g.word").agg(F.count("*").alias("c"))
 
 
 def continuation_counts(counts: DataFrame) -> DataFrame:
