@@ -24,8 +24,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
         picked = part if picked is None else picked.union(part)
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     words = F.split(F.lower("text"), r"\s+")
-    for k in range(3):
-        sample = sample.withColumn(f"_h{k}", F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))))
+
+    def min_hash(k: int):
+        return F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(k))))
+
+    sample = sample.withColumns({f"_h{k}": min_hash(k) for k in range(3)})
     for k in range(3):
         sample = sample.dropDuplicates([f"_h{k}"])
     return sample.select("doc_id", "text", "y"), {y: int(sizes.get(y, 0)) for y in most}
