@@ -14,7 +14,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
 
     The rows are those whose crc32 class isn't held out, in an order by hash that is the same every time. Only the
     chosen ids travel (a broadcast bounded by `most`); the texts are picked by one scan. Of documents that share one of
-    three min-hashes of their words only one stays, so that large groups of copies don't pass for evidence.
+    three min-hashes of their word triples only one stays, so that large groups of copies don't pass for evidence.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_class(F.col("doc_id"), modulus) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).cache()
     sizes = dict(known.groupBy("y").count().collect())
@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     words = F.split(F.lower("text"), r"\s+")
 
     def min_hash(k: int):
-        return F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(k))))
+        at = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
+        return F.array_min(F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2), F.lit(k))))
 
     sample = sample.withColumns({f"_h{k}": min_hash(k) for k in range(3)})
     for k in range(3):
