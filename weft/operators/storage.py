@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it again; a local folder is used only where none is set (tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
         path = spark.sparkContext.getCheckpointDir()
-    path = f"{path.rstrip('/')}/weft-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again."""
+    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat, learning, models, text
+from weft.plans import arrays, chat, learning, models, streams, text
 
-_MODULES = [arrays, chat, text, learning, models]
+_MODULES = [arrays, chat, text, learning, models, streams]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
