@@ -157,13 +157,14 @@ def m03(spark, d):
 
 
 def _forest_rows(spark, d, trees: int = 3) -> DataFrame:
-    line = load(spark, d, "lineitem").where("l_linenumber = 1")
-    x = F.array(*(F.col(c).cast("double") for c in FEATURES))
-    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    """One row for each order and tree: whole quantity, largest price and tax, and whether a line was returned."""
+    line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"), F.max("l_tax").alias("t"), F.max("l_returnflag").alias("f"))
+    x = F.array(*(F.col(c).cast("double") for c in ("q", "p", "t")))
+    y = F.when(F.col("f") == "R", 1).otherwise(0)
     return line.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col("l_orderkey").alias("key"), x.alias("x"), y.alias("y"), F.lit(1).alias("weight"))
 
 
-_FROWS = "fl AS (SELECT tree, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, unnest([0, 1, 2]) AS feature, unnest([l_quantity, l_extendedprice, l_tax]) AS v FROM lineitem, range(3) t(tree) WHERE l_linenumber = 1), fb AS (SELECT tree, feature, min(v) AS lo, max(v) AS hi FROM fl GROUP BY ALL), ft AS (SELECT tree, feature, lo + " + uniform_sql(42, "tree", "1", "feature") + " * (hi - lo) AS threshold FROM fb WHERE hi > lo)"
+_FROWS = "fo AS (SELECT l_orderkey AS key, sum(l_quantity) AS q, max(l_extendedprice) AS p, max(l_tax) AS t, CASE WHEN max(l_returnflag) = 'R' THEN 1 ELSE 0 END AS y FROM lineitem GROUP BY 1), fl AS (SELECT tree, key, y, unnest([0, 1, 2]) AS feature, unnest([q, p, t]) AS v FROM fo, range(3) t(tree)), fb AS (SELECT tree, feature, min(v) AS lo, max(v) AS hi FROM fl GROUP BY ALL), ft AS (SELECT tree, feature, lo + " + uniform_sql(42, "tree", "1", "feature") + " * (hi - lo) AS threshold FROM fb WHERE hi > lo)"
 _M03 = f"WITH {_FROWS}, c AS (SELECT tree, feature, threshold, y, count(*) FILTER (v <= threshold) AS l, count(*) AS a FROM fl JOIN ft USING (tree, feature) GROUP BY ALL), s AS (SELECT tree, feature, threshold, sum(l) AS nl, sum(a) AS n, sum(l * l) AS ll, sum((a - l) * (a - l)) AS rr, sum(a * a) AS aa FROM c GROUP BY ALL), g AS (SELECT *, round(1 - aa / (n * n) - nl / n * (1 - ll / (nl * nl)) - (n - nl) / n * (1 - rr / ((n - nl) * (n - nl))), 9) AS gain FROM s WHERE nl > 0 AND n > nl) SELECT tree::INT AS tree, feature::INT AS feature, round(threshold, 6) AS threshold, round(gain, 7) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gain DESC, feature) = 1"
 
 
@@ -192,8 +193,8 @@ def m11(spark, d):
 
 
 def m12(spark, d):
-    boot = forest.bootstrap(load(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("key")).distinct(), "key", 4, 42)
-    rows = _forest_rows(spark, d, 1).drop("tree", "weight").dropDuplicates(["key"])
+    rows = _forest_rows(spark, d, 1).drop("tree", "weight")
+    boot = forest.bootstrap(rows.select("key"), "key", 4, 42)
     nodes = forest.grow(boot.join(rows, "key").select("tree", "key", "x", "y", "weight"), depth=4, seed=42)
     return forest.predict_class(rows, nodes, 4, "key")
 

@@ -33,9 +33,9 @@ def z07(spark, d):
 
 
 def _rows(spark, d) -> DataFrame:
-    line = load(spark, d, "lineitem").where("l_linenumber = 1")
-    x = F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")))
-    return line.select(F.col("l_orderkey").alias("key"), x.alias("x"), F.round(F.col("l_extendedprice") / 1000, 4).alias("y"))
+    line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("s"), F.max("l_tax").alias("t"), F.max("l_extendedprice").alias("p"))
+    x = F.array(*(F.col(c).cast("double") for c in ("q", "s", "t")))
+    return line.select(F.col("l_orderkey").alias("key"), x.alias("x"), F.round(F.col("p") / 1000, 4).alias("y"))
 
 
 def _forest(rows: DataFrame, trees: int, depth: int, seed: int = 42) -> DataFrame:
