@@ -25,9 +25,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     words = F.split(F.lower("text"), r"\s+")
 
+    # the lambdas see elements alone: an array named inside them would be made again for each
+    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    triples = F.zip_with(pairs, F.slice(words, 3, 1 << 30), lambda h, c: F.xxhash64(h, c))
+
     def min_hash(k: int):
-        at = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
-        return F.array_min(F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2), F.lit(k))))
+        return F.array_min(F.transform(triples, lambda h: F.xxhash64(h, F.lit(k))))
 
     sample = sample.withColumns({f"_h{k}": min_hash(k) for k in range(3)})
     for k in range(3):
