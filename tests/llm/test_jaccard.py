@@ -40,8 +40,8 @@ def test_same_as_brute_force(spark, seed):
         if last and kind < 0.55:
             w = list(last)
             for _ in range(rng.choice([0, 1, 1, 2, 3, max(1, len(w) // 60)])):
-                k = rng.randrange(len(w))
-                w[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [w[k].upper()], [w[k], "x"]])
+                k = rng.randrange(len(w)) if w else 0
+                w[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [x.upper() for x in w[k : k + 1]], [*w[k : k + 1], "x"]])
         else:
             w = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 5, 6, 8, 9, 12, 15, 20, 30, 60, 120, 400]))]
             if kind > 0.8:

@@ -1,17 +1,53 @@
+"""The pipeline's stages against brute force, each on what the one before it kept."""
+
+import hashlib
+from array import array
+
 import corpus_pipeline as C
+import public_tokenizers
+from test_jaccard import brute as brute_components
+from test_lines_and_items import brute_items, brute_lines
+from tokenizers import Tokenizer
 
+from weft.llm import op1_toxicity
 from weft.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    docs = table(spark, SF, "documents").persist()
+    assert [n for n, _ in C.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+    docs = table(spark, SF, "documents")
     columns = docs.columns
-    for name, stage in C.STAGES:
-        out = stage(spark, docs, SF).persist()
-        assert out.count() <= docs.count()
-        if name != "bpe":
-            assert out.columns == columns
-            docs = out
-    assert out.count() == docs.count() == C.run(spark, SF).count() > 150
+    pairs = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+
+    out = C.toxicity(spark, docs, SF).persist()
+    model = op1_toxicity.fit(docs, table(spark, SF, "labels"))
+    scores = {r.doc_id: r.score for r in op1_toxicity.score_documents(docs, model).collect()}
+    assert out.columns == columns and {i for i, _ in pairs(out)} == {i for i, s in scores.items() if s < 0.7}
+
+    before, docs = pairs(out), out
+    out = C.line_dedup(spark, docs, SF).persist()
+    assert out.columns == columns and sorted(pairs(out)) == [(i, t) for i, _, _, t in brute_lines(before)]
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+
+    before, docs = pairs(out), out
+    out = C.near_duplicates(spark, docs, SF).persist()
+    label = brute_components(before)
+    assert out.columns == columns and sorted(pairs(out)) == sorted((i, t) for i, t in before if label[i][1] == i)
+
+    before, docs = pairs(out), out
+    out = C.decontamination(spark, docs, SF).persist()
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    hit = {i: (n, k) for i, n, k, _ in brute_items(before, items)}
+    got = dict(pairs(out))
+    assert out.columns == columns and set(got) == {i for i, _ in before if hit[i][1] <= hit[i][0] / 2}
+    assert all(got[i] == t for i, t in before if not hit[i][1]) and all(k == 0 for _, _, k, _ in brute_items([(i, t) for i, t in got.items() if hit[i][1]], items))
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    last = {r.doc_id: r for r in C.bpe(spark, out, SF).collect()}
+    assert set(last) == set(got)
+    for i, t in got.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert last[i].ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest() and last[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert C.run(spark, SF).count() == len(got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,14 @@ def crc_class(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % modulus, F.lit(-1))
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can: Python workers live through many tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of blocks of rows; a null is an empty text.
 
@@ -69,6 +78,15 @@ def text_blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         end = min(end, n)
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    trim()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that Python objects of a whole batch never exist at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    trim()
 
 
 _POWER: dict[str, np.ndarray] = {}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialise, mix, table
+from weft.llm.common import materialise, mix, slices, table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 50_000
@@ -140,7 +140,7 @@ def shared_lines(df: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     """(h1, h2, n, last) of the line keys that at least `least_docs` documents hold."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = {h for x in (text.as_py() or "").split("\n") if (h := line_hash(x, least_chars)) is not None}
@@ -191,7 +191,7 @@ def _probe_broadcast(df: DataFrame, shared, count: int, least_chars: int) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: Shard(*v) for k, v in shared.value.items()}
-        for batch in batches:
+        for batch in slices(batches):
             lines, hashes, doc, at = [], [], [], []
             ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
             for row, (i, t) in enumerate(zip(ids, texts, strict=True)):

@@ -32,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import slices, table
 
 #: How byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A worker forgets its words at so many.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 NEVER = 1 << 30
 
 
@@ -116,7 +116,7 @@ class TokenAutomaton:
         key = state << 32 | token
         out = self._table.get(key)
         if out is None:
-            if len(self._table) > 4 * MEMO_WORDS:
+            if len(self._table) > 2 * MEMO_WORDS:
                 self._table.clear()
             out = self._table[key] = self._arc(state, NEVER, token)
         return out
@@ -204,7 +204,7 @@ def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             count, a, b, lists = [], [], [], []
             for t in batch.column(1):
                 ids = auto.encode(t.as_py() or "")

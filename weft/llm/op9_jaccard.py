@@ -222,7 +222,7 @@ def _signed(docs: DataFrame, schemes: dict[int, Scheme], edges: list[int]) -> Da
                     if x not in met:
                         met.add(x)
                         fresh[k] = True
-                if len(met) > 500_000:
+                if len(met) > 100_000:
                     met.clear()
                 if not fresh.all():
                     shingles = shingles[np.repeat(fresh, size)]
