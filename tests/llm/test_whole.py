@@ -1,0 +1,51 @@
+"""Inputs larger than any fixed limit are worked on as a whole."""
+
+import random
+from collections import Counter
+
+from weft.llm import op1_toxicity as T
+
+
+def character_model():
+    grams = Counter()
+    for w, n in {"idiot": 50, "moron": 40, "the": 400, "that": 200, "stupid": 30, "is": 200, "you": 100, "and": 300}.items():
+        w = f"  {w} "
+        for k in range(len(w) - 2):
+            grams[w[k : k + 3]] += n
+    return T.CharacterModel(grams)
+
+
+def test_toxic_word_after_a_thousand_spaced_letters():
+    spaced = " ".join("thatandyou" * 100) + " " + " ".join("idiot")
+    model = T.ToxicityModel(character_model(), {"idiot=": 5.0})
+    assert "idiot" in T.restore(spaced, model.characters)
+    assert model.summary(spaced)[0] == 5.0
+    assert T.spaced_stretches(spaced) == [spaced]
+
+
+def test_long_tokens_are_restored():
+    model = character_model()
+    assert T.restore_word("st" + "u" * 200 + "pid", model) == "stupid"
+    assert T.restore_word("1d10t" + "that" * 20, model) == "idiot" + "that" * 20
+    assert T.restore_word("st" + "u" * 200_000 + "pid", model) == "stupid"
+
+
+def test_reading_same_as_with_path_strings():
+    def by_paths(text, model):
+        live = [{} for _ in range(len(text) + 1)]
+        live[0][" "] = (0.0, "")
+        for k in range(len(text)):
+            for state, (cost, path) in live[k].items():
+                for out, to, price in T.arcs(text, k):
+                    s, total = state, cost + price
+                    for c in out:
+                        total -= model.log_p(s[-2:].rjust(2), c)
+                        s = (s + c)[-2:]
+                    if s not in live[to] or total < live[to][s][0]:
+                        live[to][s] = (total, path + out)
+        return min((cost - model.log_p(s[-2:].rjust(2), " "), path) for s, (cost, path) in live[-1].items())[1]
+
+    rng, model = random.Random(5), character_model()
+    for _ in range(300):
+        text = "".join(rng.choice("idot1104$ .-uuu") for _ in range(rng.randrange(1, 60)))
+        assert T.viterbi(text, model) == by_paths(text, model)
