@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from weft.llm import op1_toxicity as T
+from weft.llm import op6_lm as M
 
 
 def character_model():
@@ -49,3 +52,27 @@ def test_reading_same_as_with_path_strings():
     for _ in range(300):
         text = "".join(rng.choice("idot1104$ .-uuu") for _ in range(rng.randrange(1, 60)))
         assert T.viterbi(text, model) == by_paths(text, model)
+
+
+def test_filter_grows_with_its_entries(spark):
+    """Each of 12,500 pages takes what its entries need, here 40,000 entries for one page."""
+    rng = np.random.default_rng(4)
+    h, other = (rng.integers(0, 2**40, 40_000).astype(np.uint64) << np.uint64(24) for _ in range(2))  # all of page 0
+    entries = spark.createDataFrame(M.packed(h, np.ones(len(h), np.int64), 12_500).to_pandas(), "page int, entries binary")
+    own = M.collected(M.filter_pages(entries, 1), 12_500, 1)
+    assert own.bits[0] >= M.BITS_PER_ENTRY * len(np.unique(h)) and not own.bits[1:].any()
+    assert (own.probe(h) > 0).all()
+    assert (own.probe(other) > 0).mean() < 0.01
+
+
+def test_joined_pages_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices([f"w{j}" for j in range(300)], k=rng.randrange(80)))) for k in range(300)] + [(300, None), (301, "A a A"), (301, "A a A")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = docs.where("doc_id % 3 > 0")
+    told = lambda: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in M.score_documents(docs, train).collect())
+    want = told()
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(M, "PAGE_PROBES", 300)  # several copies of a page
+    assert told() == want and len(want) == len(rows)
+    assert M.score_documents(docs.limit(0), train).count() == 0

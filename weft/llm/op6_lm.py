@@ -3,10 +3,9 @@
 Spark counts words and word pairs of the training documents. The filter holds, for an n-gram of count c, the entries
 (n-gram, 1) to (n-gram, q) with q = 1 + floor(log2(c / least)); a probe asks for levels 1, 2, ... until one is missing,
 and so never reads less than was stored. The filter is cut into pages by n-gram hash: the tasks that count a page's
-n-grams also build the page (n-grams travel packed, five bytes and a count each), and only pages go to the driver and
-are broadcast. A page takes BITS_PER_ENTRY bits for
-each entry, and all pages together MOST_BITS at most (the proven bound of the broadcast); a fuller filter errs
-more often upwards, by known rates, but loses nothing.
+n-grams also build the page (n-grams travel packed, five bytes and a count each). A page takes BITS_PER_ENTRY bits for
+each entry, however many there are. Pages of BROADCAST_BYTES together at most are broadcast; above that probes travel
+packed to their page by page number (salted, a bounded number to a task) and levels travel back to the texts.
 
 The score of a text is the log10 probability of its words and its end under p(w|v) = (c(vw) + M q(w)) / (c(v) + M) with
 q(w) = (c(w)+1)/(N+V+1) and probed counts (M: WEIGHT). base_score takes exact counts: tokens with at least N/HEAD occurrences, of which
@@ -36,12 +35,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs seen less often aren't stored; words are from the first.
 LEAST_PAIR = 2
 BITS_PER_ENTRY, PROBES = 12, 6
-MOST_BITS = 1 << 28
+#: Pages of both filters together are broadcast up to this size.
+BROADCAST_BYTES = 1 << 26
 #: Tokens of training text for each page of the filter, about.
 PAGE_TOKENS = 400_000
 #: Tokens that a task counts at once.
 FLUSH_TOKENS = 2_000_000
 HEAD = 200_000
+#: Probes that a task answers from one page at once, about.
+PAGE_PROBES = 4 * PAGE_TOKENS
 #: How many observations of v the words' own distribution counts for.
 WEIGHT = 2_000
 LEVELS = 40
@@ -105,15 +107,32 @@ def key_of(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(24)
 
 
-def packed(h: np.ndarray, n: np.ndarray, pages: int) -> pa.RecordBatch:
-    """(page, entries): for each page one value of all keys, five bytes each, and then all counts, four bytes each."""
+def key_bytes(keys: np.ndarray) -> np.ndarray:
+    """Five bytes of each key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def keys_from(data: bytes, m: int) -> np.ndarray:
+    """The first m keys of key_bytes()."""
+    k = np.zeros((m, 8), np.uint8)
+    k[:, :5] = np.frombuffer(data, np.uint8, 5 * m).reshape(m, 5)
+    return k.view("<u8").ravel()
+
+
+def by_page(h: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """An order of n-grams by page, the pages that occur, and where each starts in that order (and the end)."""
     page = page_of(h, pages)
     order = np.argsort(page, kind="stable")
-    keys = np.ascontiguousarray(key_of(h[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-    counts = n[order].astype("<u4")
     names, start = np.unique(page[order], return_index=True)
-    ends = [*start[1:].tolist(), len(h)]
-    values = [keys[x:y].tobytes() + counts[x:y].tobytes() for x, y in zip(start.tolist(), ends, strict=True)]
+    return order, names, [*start.tolist(), len(h)]
+
+
+def packed(h: np.ndarray, n: np.ndarray, pages: int) -> pa.RecordBatch:
+    """(page, entries): for each page one value of all keys, five bytes each, and then all counts, four bytes each."""
+    order, names, cut = by_page(h, pages)
+    keys = key_bytes(key_of(h[order]))
+    counts = n[order].astype("<u4")
+    values = [keys[x:y].tobytes() + counts[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(values, pa.binary())], names=["page", "entries"])
 
 
@@ -122,9 +141,7 @@ def unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for v in values:
         m = len(v) // 9
-        k = np.zeros((m, 8), np.uint8)
-        k[:, :5] = np.frombuffer(v, np.uint8, 5 * m).reshape(m, 5)
-        keys.append(k.view("<u8").ravel())
+        keys.append(keys_from(v, m))
         counts.append(np.frombuffer(v, "<u4", m, 5 * m))
     name, back = np.unique(np.concatenate(keys), return_inverse=True)
     return name, np.bincount(back, weights=np.concatenate(counts).astype(float)).astype(np.int64)
@@ -155,10 +172,12 @@ def positions(h: np.ndarray, k: int, probe: int, bits: np.ndarray | int) -> np.n
     return (mix(h + np.uint64((k * PROBES + probe + 1) * int(_STEP) & (1 << 64) - 1)) % np.asarray(bits, dtype=np.uint64)).astype(np.int64)
 
 
-def build_page(h: np.ndarray, levels: np.ndarray, most: int) -> np.ndarray:
-    """The page's bytes: every entry's bits set."""
+def build_page(h: np.ndarray, levels: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The page's bytes: every entry's bits set. Its size follows the entries, unless a caller sets the most bits."""
     entries = int(levels.sum())
-    size = max(8, min(-(-entries * BITS_PER_ENTRY // 8), most // 8))
+    size = max(8, -(-entries * BITS_PER_ENTRY // 8))
+    if most is not None:
+        size = max(8, min(size, most // 8))
     page = np.zeros(size, np.uint8)
     for k in range(1, int(levels.max(initial=0)) + 1):
         own = h[levels >= k]
@@ -178,32 +197,61 @@ class CountFilter:
         self.bits = size * 8
         self.data = np.frombuffer(b"".join(pages.get(p, b"") for p in range(count)) or b"\0", np.uint8)
 
-    def probe(self, h: np.ndarray) -> np.ndarray:
-        """Counts: the middle of the highest level reached, 0 where the first is missing."""
-        page, h = page_of(h, self.count), key_of(h)
-        out = np.zeros(len(h), np.int64)
+    def levels(self, page: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The highest level that each key of a page reaches, 0 where the first is missing."""
+        out = np.zeros(len(key), np.int64)
         live = np.flatnonzero(self.bits[page] > 0)
         for k in range(1, LEVELS + 1):
             for probe in range(PROBES):
                 if not len(live):
                     break
-                at = positions(h[live], k, probe, self.bits[page[live]])
+                at = positions(key[live], k, probe, self.bits[page[live]])
                 live = live[(self.data[self.start[page[live]] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
             out[live] = k
-        return np.where(out > 0, self.least * 0.5 * (2.0 ** (out - 1) + np.maximum(2.0**out - 1, 2.0 ** (out - 1))), 0.0)
+        return out
+
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        return middle(self.levels(page_of(h, self.count), key_of(h)), self.least)
 
 
-def build_filter(entries: DataFrame, pages: int, least: int) -> CountFilter:
-    """entries (page, entries): every page is counted and built in one task, which holds some PAGE_TOKENS tokens' n-grams."""
-    most = MOST_BITS // pages
+def middle(levels: np.ndarray, least: int) -> np.ndarray:
+    """Counts: the middle of each level, 0 for level 0."""
+    return np.where(levels > 0, least * 0.5 * (2.0 ** (levels - 1) + np.maximum(2.0**levels - 1, 2.0 ** (levels - 1))), 0.0)
+
+
+def filter_pages(entries: DataFrame, least: int) -> DataFrame:
+    """(page, bytes) of entries (page, entries): every page is counted and built in one task, which holds some PAGE_TOKENS tokens' n-grams."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         key, n = unpacked(pdf["entries"].tolist())
         often = n >= least
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "bytes": [build_page(key[often], level(n[often], least), most).tobytes()]})
+        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "bytes": [build_page(key[often], level(n[often], least)).tobytes()]})
+
+    return entries.groupBy("page").applyInPandas(build, "page int, bytes binary")
+
 
-    built = entries.groupBy("page").applyInPandas(build, "page int, bytes binary").toArrow()
-    return CountFilter(dict(zip(built.column("page").to_pylist(), built.column("bytes").to_pylist(), strict=True)), pages, least)
+def collected(pages: DataFrame, count: int, least: int) -> CountFilter:
+    built = pages.toArrow()
+    return CountFilter(dict(zip(built.column("page").to_pylist(), built.column("bytes").to_pylist(), strict=True)), count, least)
+
+
+class Sought:
+    """The distinct words and pairs of rows of tokens, and the rows' probabilities once their counts are known."""
+
+    def __init__(self, tokens: np.ndarray, at: np.ndarray):
+        self.at = at
+        before = contexts(tokens, at)
+        self.words, self.back = np.unique(tokens, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.words, before), max(0, len(self.words) - 1))
+        self.place, self.known = place, self.words[place] == before
+        self.pairs, self.pair_back = np.unique(pair_hash(before, tokens), return_inverse=True)
+
+    def log10(self, count: np.ndarray, pair_count: np.ndarray, size: int) -> np.ndarray:
+        """log10 probability of each row; size: tokens and distinct tokens learned from."""
+        cv = np.where(self.known, count[self.place], 0.0)
+        low = (count[self.back] + 1) / (size + 1)
+        p = (np.minimum(pair_count[self.pair_back], cv) + WEIGHT * low) / (cv + WEIGHT)
+        return np.add.reduceat(np.log10(p), self.at[:-1]) if len(self.at) > 1 else np.zeros(0)
 
 
 class FilterModel:
@@ -214,17 +262,54 @@ class FilterModel:
 
     def log10(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each row of tokens."""
-        before = contexts(tokens, at)
-        names, back = np.unique(tokens, return_inverse=True)
-        count = self.words.probe(names)
-        c = count[back]
-        place = np.minimum(np.searchsorted(names, before), max(0, len(names) - 1))
-        cv = np.where(names[place] == before, count[place], 0.0)
-        pairs, pair_back = np.unique(pair_hash(before, tokens), return_inverse=True)
-        cvw = self.pairs.probe(pairs)[pair_back]
-        low = (c + 1) / (self.total + self.distinct + 1)
-        p = (np.minimum(cvw, cv) + WEIGHT * low) / (cv + WEIGHT)
-        return np.add.reduceat(np.log10(p), at[:-1]) if len(at) > 1 else np.zeros(0)
+        sought = Sought(tokens, at)
+        return sought.log10(self.words.probe(sought.words), self.pairs.probe(sought.pairs), self.total + self.distinct)
+
+
+def joined_scores(blocks: DataFrame, pages: DataFrame, count: int, salts: int, size: int) -> DataFrame:
+    """(row, score) of blocks (block: the number of the first of its rows, tokens, ends), by pages (kind, page, bytes)
+    that needn't fit into memory together: probes go to `salts` copies of their page."""
+    least = (1, LEAST_PAIR)
+
+    def rows_of(tokens: bytes, ends: bytes) -> Sought:
+        return Sought(np.frombuffer(tokens, np.uint64), np.frombuffer(ends, np.int64))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, tokens, ends in zip(*(batch.column(k) for k in range(3)), strict=True):
+                sought = rows_of(tokens.as_py(), ends.as_py())
+                for kind, h in enumerate((sought.words, sought.pairs)):
+                    order, names, cut = by_page(h, count)
+                    keys = key_bytes(key_of(h[order]))
+                    values = [keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    n = len(names)
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(names.astype(np.int32)), pa.array(values, pa.binary())], names=["block", "kind", "page", "keys"])
+
+    def answer(probes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(probes):
+            return pd.DataFrame({"block": [], "kind": [], "page": [], "levels": []})
+        n = [len(x) // 5 for x in probes["keys"]]
+        one = CountFilter({0: own["bytes"].iloc[0]} if len(own) else {}, 1, 1)
+        got = one.levels(np.zeros(sum(n), np.int64), keys_from(b"".join(probes["keys"]), sum(n))).astype(np.uint8)
+        cut = np.cumsum([0, *n]).tolist()
+        return probes[["block", "kind", "page"]].assign(levels=[got[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
+
+    def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        sought = rows_of(blocks["tokens"].iloc[0], blocks["ends"].iloc[0])
+        counts = []
+        for kind, h in enumerate((sought.words, sought.pairs)):
+            out = np.empty(len(h))
+            told = answers[answers["kind"] == kind].sort_values("page")["levels"]
+            out[by_page(h, count)[0]] = middle(np.frombuffer(b"".join(told), np.uint8).astype(np.int64), least[kind])
+            counts.append(out)
+        found = sought.log10(*counts, size)
+        return pd.DataFrame({"row": int(blocks["block"].iloc[0]) + np.arange(len(found)), "score": found})
+
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    asked = blocks.mapInArrow(ask, "block long, kind int, page int, keys binary").withColumn("salt", salt)
+    copies = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    answers = asked.groupBy("kind", "page", "salt").cogroup(copies.groupBy("kind", "page", "salt")).applyInPandas(answer, "block long, kind int, page int, levels binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row long, score double")
 
 
 def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -233,7 +318,9 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     words = materialise(word_counts(train))
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     pages = max(8, -(-total // PAGE_TOKENS))
-    model = FilterModel(build_filter(packed_words(words, pages), pages, 1), build_filter(packed_pairs(train, pages), pages, LEAST_PAIR), total, distinct)
+    built = [materialise(filter_pages(packed_words(words, pages), 1)), materialise(filter_pages(packed_pairs(train, pages), LEAST_PAIR))]
+    small = sum(x.agg(F.sum(F.length("bytes"))).first()[0] or 0 for x in built) <= BROADCAST_BYTES
+    model = FilterModel(collected(built[0], pages, 1), collected(built[1], pages, LEAST_PAIR), total, distinct) if small else None
     often = max(1, total // HEAD)
     head = words.where(F.col("n") >= often).toArrow()
     order = np.argsort(head.column("h").to_numpy().view(np.uint64))
@@ -257,18 +344,28 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
                 rare, rare_of = tokens[~known], of[~known]
                 cut = np.searchsorted(rare_of, np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(rare.view(np.int64)))
+                if model:
+                    last = {"score": pa.array(model.log10(tokens, at))}
+                else:  # a block's tokens go with its first row
+                    last = {name: pa.array([x.tobytes()] + [None] * (rows - 1), pa.binary()) for name, x in (("tokens", tokens), ("ends", at.astype(np.int64)))}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(serial, serial + rows)), batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(n_known), pa.array(base), pa.array(model.log10(tokens, at)), lists],
-                    names=["row", "doc_id", "n_tokens", "head_known", "head_base", "score", "rare"],
+                    [pa.array(np.arange(serial, serial + rows)), batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(n_known), pa.array(base), lists, *last.values()],
+                    names=["row", "doc_id", "n_tokens", "head_known", "head_base", "rare", *last],
                 )
                 serial += rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n_tokens long, head_known long, head_base double, score double, rare array<long>"))
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n_tokens long, head_known long, head_base double, rare array<long>, " + ("score double" if small else "tokens binary, ends binary")))
     rare = rows.select("row", F.explode("rare").alias("h"))
     tail = rare.join(words.where(F.col("n") < often), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = tail.groupBy("row").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(share))).alias("base"), F.count_if(F.col("n") > 0).alias("known"))
-    return rows.drop("rare").join(sums, "row", "left").select(
+    scored = rows.drop("rare")
+    if not small:
+        blocks = rows.where("tokens is not null").select(F.col("row").alias("block"), "tokens", "ends")
+        asked = rows.agg(F.sum("n_tokens")).first()[0] or 0
+        both = built[0].withColumn("kind", F.lit(0)).unionByName(built[1].withColumn("kind", F.lit(1)))
+        scored = scored.drop("tokens", "ends").join(joined_scores(blocks, both, pages, max(1, -(-asked // (pages * PAGE_PROBES))), total + distinct), "row")
+    return scored.join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score"
     )
 
