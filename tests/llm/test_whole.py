@@ -76,3 +76,10 @@ def test_joined_pages_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(M, "PAGE_PROBES", 300)  # several copies of a page
     assert told() == want and len(want) == len(rows)
     assert M.score_documents(docs.limit(0), train).count() == 0
+
+
+def test_pairs_seen_once_count(spark):
+    train = spark.createDataFrame([(k, f"common a{k} b{k}") for k in range(50)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a7 b7"), (2, "a7 b8")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in M.score_documents(docs, train).collect()}
+    assert score[1] > score[2] + 1e-6

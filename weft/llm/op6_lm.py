@@ -32,8 +32,8 @@ from weft.llm.common import crc_class, materialise, mix, table, text_blocks, wor
 MODULUS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D3A51E01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Pairs seen less often aren't stored; words are from the first.
-LEAST_PAIR = 2
+#: Pairs are stored from the first sighting on, as words are.
+LEAST_PAIR = 1
 BITS_PER_ENTRY, PROBES = 12, 6
 #: Pages of both filters together are broadcast up to this size.
 BROADCAST_BYTES = 1 << 26
