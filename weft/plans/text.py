@@ -103,8 +103,10 @@ def d10(spark, d):
 
 def d11(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("tag"))
+    count = o.groupBy("tag").agg(F.count("*").cast("int").alias("n"))
     newest = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")), asc=False)
-    return o.groupBy("tag").agg(newest.alias("l")).select("tag", F.size("l").alias("n"), F.array_join(F.transform(F.slice("l", 1, 20), lambda x: x["o_orderkey"].cast("string")), ",").alias("newest"))
+    last = ranking.newest(o, ["tag"], ["o_orderdate", "o_orderkey"], 20).groupBy(F.col("tag").alias("_tag")).agg(newest.alias("l"))
+    return count.join(last, F.col("tag").eqNullSafe(F.col("_tag"))).select("tag", "n", F.array_join(F.transform("l", lambda x: x["o_orderkey"].cast("string")), ",").alias("newest"))
 
 
 def d13(spark, d):
