@@ -84,11 +84,16 @@ def words(t: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_c(t)), F.lit("[a-z]+"), F.lit(0)))
 
 
-def bigrams(t: Column | str) -> Column:
-    """Distinct neighbours w1_w2 of those runs."""
+def neighbours(t: Column | str) -> Column:
+    """Neighbours w1_w2 of all those runs, repeated ones too."""
     w = F.regexp_extract_all(F.lower(_c(t)), F.lit("[a-z]+"), F.lit(0))
     n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws("_", a, b)))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws("_", a, b))
+
+
+def bigrams(t: Column | str) -> Column:
+    """Distinct neighbours w1_w2 of those runs."""
+    return F.array_distinct(neighbours(t))
 
 
 def split_words(t: Column | str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions import text as X
+
 
 def top_by(df: DataFrame, by: list[str], ties: list[str], n: int) -> DataFrame:
     """The n rows with the largest `by`, nulls last, ties to the smaller keys (a take-ordered, no full sort)."""
@@ -25,10 +27,12 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sum over the tags among a text's words of 1 and half its occurrences (2 at most). tags is a short list."""
-    listed = tags.agg(F.sort_array(F.collect_set("tag")).alias("_tags"))
+    """Sum over the tags among a text's words of 1 and half its occurrences (2 at most), and of 2 for each neighbouring
+    pair of a tag's words that are neighbours in the text. tags is a short list."""
+    listed = tags.agg(F.sort_array(F.collect_set("tag")).alias("_tags")).withColumn("_pairs", F.flatten(F.transform("_tags", X.neighbours)))
     low = F.lower(text)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))
     times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t))
     score = F.aggregate(F.array_intersect("_tags", words), F.lit(0.0), lambda s, t: s + 1.0 + F.least(times(t) * 0.5, F.lit(2.0)))
-    return docs.join(F.broadcast(listed)).select(key, score.alias("score"))
+    pairs = F.aggregate(F.array_intersect("_pairs", X.bigrams(text)), F.lit(0.0), lambda s, p: s + F.size(F.filter("_pairs", lambda x: x == p)) * 2.0)
+    return docs.join(F.broadcast(listed)).select(key, (score + pairs).alias("score"))
