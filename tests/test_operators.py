@@ -88,13 +88,40 @@ def test_text_cases(spark):
     assert rows[0].m["title"] == "A" and rows[0].b == "\nBody" and rows[1].m is None and rows[2].m is None
     d = spark.createDataFrame([("2026-05-26",), ("2026-05",), ("not-a-date",)], "v string").select(X.parse_date("v").alias("d")).collect()
     assert [str(r.d) for r in d] == ["2026-05-26", "2026-05-01", "None"]
-    assert markup.wrap("the quick brown fox", 9) == ["the quick", "brown fox"] and markup.wrap("x", 0) == [] and markup.wrap("a\n\nb", 5) == ["a", "", "b"]
     page = markup.to_html("# T\n\ntext **b**\nmore\n\n```py\na < b\n```\n> q\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 1 |\n1. x")
     for part in ("<h1>T</h1>", "<p>text <strong>b</strong> more</p>", '<pre><code class="language-py">a &lt; b</code></pre>', "<blockquote><p>q</p></blockquote>", "<tr><td>1</td><td>2</td></tr></table>", "<ol><li>x</li></ol>"):
         assert part in page
     assert spark.range(1).select(F.size(F.lit(None).cast("array<int>"))).count() == 1
 
 
+def by_hand(text, width):
+    out = []
+    for rest in text.split("\n"):
+        while len(rest) > width:
+            fits = [k for k in range(1, width + 1) if rest[k] == " "]
+            line = rest[: fits[-1]] if fits else rest[:width]
+            out.append(line)
+            rest = rest[len(line) :].lstrip(" ") if fits else rest[width:]
+        out.append(rest)
+    return out
+
+
+def test_wrapped_lines(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é\n\r ") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "   \n", "aaa    ", "x" * 50, "a\n\nb"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for width in (1, 3, 7, 20):
+        got = df.select("t", markup.wrapped("t", width).alias("l")).collect()
+        assert all(r.l == (None if r.t is None else by_hand(r.t, width)) for r in got)
+    assert df.select(markup.wrapped("t", 0).alias("l")).where("size(l) > 0").count() == 0
+
+
+def test_inline_marks(spark):
+    cases = {"**b** and *i*": "<strong>b</strong> and <em>i</em>", "`a**b**` ![x](/y.png)": '<code>a**b**</code> <img src="/y.png" alt="x">', "[n](/t)!": '<a href="/t">n</a>!', "2 * 3 [no] `": "2 * 3 [no] `", "": ""}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", X.inline_markup("t").alias("h")).collect()
+    assert {r.t: r.h for r in got} == cases and {t: markup.inline(t) for t in cases} == cases
+
+
 def test_streamed_fold(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -1,93 +1,124 @@
-"""Markdown to HTML, word wrap and glyph layout as small per-text helpers behind Arrow-batched functions."""
+"""Markdown pages, and text broken into lines of a width.
+
+Inline marks are read by one grammar of tokens (`text.inline_markup` has it as a column expression). A page is a run of
+lines, each of one class; neighbours of a class make a block, and each class has its own way to be written.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEADING = re.compile(r"(#{1,6}) +(.*)")
+_TOKEN = re.compile(
+    r"`(?P<code>[^`]+)`|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)|\[(?P<label>[^\]]*)\]\((?P<href>[^)]*)\)|\*\*(?P<strong>[^*]+)\*\*|\*(?P<em>[^*]+)\*"
+)
+#: Classes of lines; the first that fits counts.
+_LINE = re.compile(r"(?P<fence>```.*)|(?P<heading>#{1,6} .*)|(?P<rule>\s*(?:-{3,}|\*{3,})\s*)|(?P<quote>>.*)|(?P<bullet>[-*] .*)|(?P<number>\d+\. .*)|(?P<table>\|.*)|(?P<blank>\s*)|(?P<text>.*)", re.DOTALL)
 
 
 def inline(text: str) -> str:
-    for pattern, to in ((r"!\[([^\]]*)\]\(([^)]*)\)", r'<img src="\2" alt="\1">'), (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"(?<!\*)\*([^*]+)\*", r"<em>\1</em>"), (r"`([^`]+)`", r"<code>\1</code>"), (r"\[([^\]]*)\]\(([^)]*)\)", r'<a href="\2">\1</a>')):
-        text = re.sub(pattern, to, text)
-    return text
-
-
-def to_html(text: str) -> str:
-    """Fences, headings, rules, quotes, lists, tables and paragraphs, block by block."""
-    lines, out, k = text.split("\n"), [], 0
-
-    def take(test) -> list[str]:
-        nonlocal k
-        start = k
-        while k < len(lines) and test(lines[k]):
-            k += 1
-        return lines[start:k]
-
-    while k < len(lines):
-        line = lines[k]
-        if line.startswith("```"):
-            k += 1
-            code = take(lambda x: not x.startswith("```"))
-            k += 1
-            lang = line[3:].strip()
-            out.append(f"<pre><code{f' class=\"language-{lang}\"' if lang else ''}>{html.escape(chr(10).join(code), quote=False)}</code></pre>")
-        elif m := _HEADING.fullmatch(line):
-            k += 1
-            out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif re.fullmatch(r"-{3,}|\*{3,}", line.strip()):
-            k += 1
-            out.append("<hr>")
-        elif line.startswith(">"):
-            out.append(f"<blockquote>{to_html(chr(10).join(x[1:].removeprefix(' ') for x in take(lambda x: x.startswith('>'))))}</blockquote>")
-        elif re.match(r"[-*] ", line):
-            out.append("<ul>" + "".join(f"<li>{inline(x[2:])}</li>" for x in take(lambda x: re.match(r"[-*] ", x))) + "</ul>")
-        elif re.match(r"\d+\. ", line):
-            out.append("<ol>" + "".join(f"<li>{inline(x.split('. ', 1)[1])}</li>" for x in take(lambda x: re.match(r"\d+\. ", x))) + "</ol>")
-        elif line.startswith("|"):
-            rows = [[c.strip() for c in x.strip().strip("|").split("|")] for x in take(lambda x: x.startswith("|"))]
-            head, rest = rows[0], [r for r in rows[1:] if not all(re.fullmatch(r":?-+:?", c) for c in r) and len(r) == len(rows[0])]
-            row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{inline(c)}</{tag}>" for c in cells) + "</tr>"
-            out.append("<table>" + row(head, "th") + "".join(row(r, "td") for r in rest) + "</table>")
-        elif not line.strip():
-            k += 1
+    def write(m: re.Match) -> str:
+        if m["code"]:
+            return f"<code>{m['code']}</code>"
+        if m["src"] is not None:
+            return f'<img src="{m["src"]}" alt="{m["alt"]}">'
+        if m["href"] is not None:
+            return f'<a href="{m["href"]}">{inline(m["label"])}</a>'
+        tag = "strong" if m["strong"] else "em"
+        return f"<{tag}>{inline(m[tag])}</{tag}>"
+
+    return _TOKEN.sub(write, text)
+
+
+def _classed(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """Each line with its class; lines between fences are code, whatever they hold."""
+    fenced = False
+    for line in lines:
+        kind = _LINE.fullmatch(line).lastgroup
+        if kind == "fence":
+            fenced = not fenced
+            yield ("open" if fenced else "close"), line
         else:
-            para = take(lambda x: x.strip() and not re.match(r"```|#{1,6} |>|[-*] |\d+\. |\||-{3,}$", x)) or [lines[k]]
-            k = max(k, lines.index(para[-1], max(0, k - len(para))) + 1)
-            out.append(f"<p>{inline(' '.join(x.strip() for x in para))}</p>")
-    return "\n".join(out)
+            yield ("code" if fenced else kind), line
 
 
-def wrap(text: str, width: int) -> list[str]:
-    """Lines of at most `width` characters, broken at the last space or hard; blank paragraphs stay."""
-    if width <= 0:
-        return []
-    out = []
-    for para in text.split("\n"):
-        while len(para) > width:
-            cut = para.rfind(" ", 0, width + 1)
-            at = cut if cut > 0 else width
-            out.append(para[:at])
-            para = para[at:].lstrip(" ") if cut > 0 else para[at:]
-        out.append(para)
-    return out
+def _tag(name: str, inner: str) -> str:
+    return f"<{name}>{inner}</{name}>"
+
+
+def _table(lines: list[str]) -> str:
+    rows = [[inline(c.strip()) for c in x.strip().strip("|").split("|")] for x in lines]
+    body = [r for x, r in zip(lines[1:], rows[1:], strict=True) if len(r) == len(rows[0]) and re.search(r"[^\s|:-]", x)]
+    written = ["".join(_tag(cell, c) for c in r) for cell, r in [("th", rows[0]), *(("td", r) for r in body)]]
+    return _tag("table", "".join(_tag("tr", r) for r in written))
+
+
+def _items(name: str) -> Callable[[list[str]], str]:
+    return lambda lines: _tag(name, "".join(_tag("li", inline(x.partition(" ")[2])) for x in lines))
+
+
+def _headings(lines: list[str]) -> str:
+    return "\n".join(_tag(f"h{len(x) - len(x.lstrip('#'))}", inline(x.lstrip("#").strip(" "))) for x in lines)
+
+
+_BLOCKS: dict[str, Callable[[list[str]], str]] = {
+    "heading": _headings,
+    "rule": lambda lines: "\n".join("<hr>" for _ in lines),
+    "quote": lambda lines: _tag("blockquote", to_html("\n".join(x[1:].removeprefix(" ") for x in lines))),
+    "bullet": _items("ul"),
+    "number": _items("ol"),
+    "table": _table,
+    "text": lambda lines: _tag("p", inline(" ".join(x.strip() for x in lines))),
+}
+
+
+def to_html(page: str) -> str:
+    """The page's blocks, one below the other."""
+    out, language, fenced = [], "", False
+    for kind, run in groupby(_classed(page.split("\n")), key=lambda x: x[0]):
+        lines = [x for _, x in run]
+        if kind == "open":
+            language, fenced = lines[0][3:].strip(), True
+            out.append(f'<pre><code class="language-{language}">' if language else "<pre><code>")
+        elif kind == "code":
+            out[-1] += html.escape("\n".join(lines), quote=False)
+        elif kind == "close":
+            out[-1] += "</code></pre>"
+            fenced = False
+        elif kind != "blank":
+            out.append(_BLOCKS[kind](lines))
+    return "\n".join(out) + ("</code></pre>" if fenced else "")
 
 
 def markdown_html(column):
     @F.pandas_udf("string")
-    def f(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else to_html(t))
+    def f(pages: pd.Series) -> pd.Series:
+        return pages.map(to_html, na_action="ignore")
 
     return f(column)
 
 
-def wrapped(width: int):
-    @F.pandas_udf("array<string>")
-    def f(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else wrap(t, width))
+def wrapped(text: Column | str, width: int) -> Column:
+    """Lines of at most `width` characters, as an array: broken at the last space that fits, or hard where there is none.
+
+    Paragraphs keep their breaks, blank ones too. A paragraph is cut by one regular expression: its rest, or as much as
+    a space ends, or `width` characters.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    if width <= 0:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    piece = F.lit(rf"(?s)(.{{0,{width}}}\z|.{{1,{width}}}(?= )|.{{{width}}}) *")
+
+    def broken(paragraph: Column) -> Column:
+        raw, lines = F.regexp_extract_all(paragraph, piece, F.lit(0)), F.regexp_extract_all(paragraph, piece, F.lit(1))
+        # the end of a paragraph is found once more as an empty rest; it is a line only after spaces that a break took
+        kept = (F.size(raw) == 1) | (F.length(F.element_at(raw, -2)) > width)
+        return F.when(kept, lines).otherwise(F.slice(lines, F.lit(1), F.size(lines) - 1))
 
-    return f
+    return F.flatten(F.transform(F.split(text, "\n", -1), broken))

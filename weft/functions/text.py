@@ -53,13 +53,23 @@ def slugify(t: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("untitled"))
 
 
+#: One token of a line: code, image, link, bold, italics, a run without marks, or a lone mark.
+_MARKS = r"(?s)`[^`]+`|!?\[[^\]]*\]\([^)]*\)|\*\*[^*]+\*\*|\*[^*]+\*|[^`!\[*]+|."
+
+
 def inline_markup(t: Column | str) -> Column:
-    """Images, bold, italics, code and links of one line, in this order."""
-    s = F.regexp_replace(_c(t), r"!\[([^\]]*)\]\(([^)]*)\)", '<img src="$2" alt="$1">')
-    s = F.regexp_replace(s, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    s = F.regexp_replace(s, r"\*([^*]+)\*", "<em>$1</em>")
-    s = F.regexp_replace(s, "`([^`]+)`", "<code>$1</code>")
-    return F.regexp_replace(s, r"\[([^\]]*)\]\(([^)]*)\)", '<a href="$2">$1</a>')
+    """One line's tokens, each written by its kind: what is in code stays as it is."""
+    between = lambda x, left, right: F.substr(x, F.lit(left + 1), F.length(x) - left - right)
+    tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))
+
+    def written(x: Column) -> Column:
+        name, target = F.regexp_extract(x, r"(?s)\[([^\]]*)\]", 1), F.regexp_extract(x, r"(?s)\(([^)]*)\)$", 1)
+        link = F.concat(F.lit('<a href="'), target, F.lit('">'), name, F.lit("</a>"))
+        image = F.concat(F.lit('<img src="'), target, F.lit('" alt="'), name, F.lit('">'))
+        out = F.when(F.length(x) == 1, x).when(x.startswith("`"), tag("code", between(x, 1, 1))).when(x.startswith("!["), image)
+        return out.when(x.startswith("["), link).when(x.startswith("**"), tag("strong", between(x, 2, 2))).when(x.startswith("*"), tag("em", between(x, 1, 1))).otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(_c(t), F.lit(_MARKS), F.lit(0)), written), "")
 
 
 def escape_html(t: Column | str, marks: str = "&<>\"'") -> Column:

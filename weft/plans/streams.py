@@ -83,13 +83,12 @@ def f08(spark, d):
 
 
 def f14(spark, d):
-    lines = markup.wrapped(60)(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").alias("n"), F.array_max(F.transform("l", lambda x: F.length(x))).alias("widest"))
+    return load(spark, d, "documents").select("doc_id", markup.wrapped("text", 60).alias("l")).select("doc_id", F.size("l").alias("n"), F.array_max(F.transform("l", lambda x: F.length(x))).alias("widest"))
 
 
 def x16(spark, d):
     """Places of the characters of wrapped part names in a fixed grid of 8 by 16."""
-    p = load(spark, d, "part").select("p_partkey", F.posexplode(markup.wrapped(10)(F.col("p_name"))).alias("row", "line"))
+    p = load(spark, d, "part").select("p_partkey", F.posexplode(markup.wrapped("p_name", 10)).alias("row", "line"))
     return p.select("p_partkey", "row", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("col", "glyph")).select("p_partkey", "glyph", (F.col("col") * 8).alias("x"), (F.col("row") * 16).alias("y"))
 
 
