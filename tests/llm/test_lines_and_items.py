@@ -38,6 +38,10 @@ def test_lines_same_as_brute_force(spark, limit):
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect()), key=str)
     assert got == brute_lines(rows)
     assert L.dedup_lines(df.limit(0)).count() == 0
+    extra = spark.createDataFrame([(i, t, 77, 78, 79) for i, t in rows], "doc_id long, text string, n_lines int, row int, gone int")
+    kept = L.dedup_lines(extra, broadcast_keys=limit, shard_keys=5, counts=False)
+    assert kept.columns == extra.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect() if (r.n_lines, r.row, r.gone) == (77, 78, 79)), key=str) == sorted(((r[0], r[3]) for r in got), key=str)
 
 
 def test_perfect_hash_is_minimal():
@@ -64,8 +68,8 @@ def brute_items(rows, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 300])
-def test_items_same_as_brute_force(spark, block):
+@pytest.mark.parametrize("block,most", [(16_000_000, 1 << 26), (300, 1 << 26), (300, 1)])
+def test_items_same_as_brute_force(spark, block, most):
     rng = random.Random(5)
     vocabulary = [f"v{k}é" if k % 5 == 0 else f"v{k}" for k in range(12)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(25)] + [(None, "v1 v2"), (99, None), (3, "v0é v1 v2")]
@@ -77,13 +81,28 @@ def test_items_same_as_brute_force(spark, block):
         rows.append((i, "-".join(w)))
     rows += [(None, rows[1][1]), (7, None), (8, "")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, spans int")
-    out = D.find_items(df, spark.createDataFrame(items, "item_id long, text string"), item_chars=block)
+    out = D.find_items(df, spark.createDataFrame(items, "item_id long, text string"), item_chars=block, pass_bytes=most)
     got = sorted(((r.doc_id, r.n_words, sum(x.end - x.first for x in r.spans), sorted(r["items"])) for r in out.collect()), key=str)
     assert got == brute_items(rows, items)
+    assert D.find_items(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    none = D.find_items(df, spark.createDataFrame([], "item_id long, text string"))
+    assert none.where("size(spans) > 0 or size(items) > 0").count() == 0 and none.count() == len(rows)
 
 
-def test_cleaning(spark):
+@pytest.mark.parametrize("most", [1 << 26, 1])
+def test_cleaning(spark, most):
     item = " ".join(f"w{k}" for k in range(12))
-    rows = [(1, "before " + "x " * 30 + item + " after"), (2, item), (3, "clean text"), (4, None)]
-    out = {r.doc_id: r.text for r in D.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert out == {1: "before " + "x " * 30 + " after", 3: "clean text", 4: None}
+    other = " ".join(f"u{k}" for k in range(11))
+    rows = [(1, "before " + "x " * 30 + item + " after"), (2, item), (3, "clean text"), (4, None), (5, "y " * 90 + other + " z"), (5, "y"), (6, "é " * 40_000 + item)]
+    df = spark.createDataFrame([(i, t, 7, "s", 9) for i, t in rows], "doc_id long, text string, n_words int, spans string, items int")
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    out = D.clean_documents(df, items, item_chars=40, pass_bytes=most)
+    assert out.columns == df.columns and {(r.n_words, r.spans, r["items"]) for r in out.collect()} == {(7, "s", 9)}
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "before " + "x " * 30 + " after"), (3, "clean text"), (4, None), (5, "y " * 90 + " z"), (5, "y"), (6, "é " * 40_000)], key=str)
+    assert D.clean_documents(df.limit(0), items).count() == 0
+
+
+def test_packed_automaton_is_small():
+    rng = np.random.default_rng(2)
+    items = [(str(k), rng.integers(0, 5000, 60).astype(np.uint64)) for k in range(1000)]
+    assert D.ItemAutomaton(items).nbytes() < 80 * 60_000

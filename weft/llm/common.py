@@ -45,6 +45,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have in any case of letters, for columns that operators add on the way."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or f"{name}_".lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_class(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null keys are in no class (-1)."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus, F.lit(-1))

@@ -10,8 +10,9 @@
 The arrays are broadcast while there are at most BROADCAST_KEYS keys (28 bytes each, proven by a count). Beyond that
 the probes travel to the shards instead, salted so that no group of probes is large, and the answers return by document.
 
-Null or empty texts are one empty line. Rows with a null doc_id keep all lines and don't count as documents. Repeated
-rows of a doc_id are one document, and each gets its row. Further columns take no part.
+Null or empty texts are one empty line; an empty table gives no rows. Rows with a null doc_id keep all lines and don't
+count as documents. Repeated rows of a doc_id are one document, and each gets its row. Further columns are kept, whatever
+their names, but for those named as the counts where counts are asked for.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialise, mix, slices, table
+from weft.llm.common import fresh_name, materialise, mix, slices, table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 50_000
@@ -154,9 +155,9 @@ def shared_lines(df: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     return counted.where(F.col("n") >= least_docs)
 
 
-def dedup_lines(df: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, broadcast_keys: int = BROADCAST_KEYS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """df with n_lines and n_dropped, and with text less its shared lines."""
-    df = df.drop("n_lines", "n_dropped")
+def dedup_lines(df: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, broadcast_keys: int = BROADCAST_KEYS, shard_keys: int = SHARD_KEYS, counts: bool = True) -> DataFrame:
+    """df with text less its shared lines, and with n_lines and n_dropped if counts are asked for."""
+    df = df.drop("n_lines", "n_dropped") if counts else df
     spark = df.sparkSession
     keys = materialise(shared_lines(df, least_chars, least_docs))
     n = keys.count()
@@ -164,8 +165,12 @@ def dedup_lines(df: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int =
     shards = keys.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(count)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, " + ", ".join(f"{k} binary" for k in _ARRAYS))
     if n <= broadcast_keys:
         built = {r.shard: tuple(bytes(r[k]) for k in _ARRAYS) for r in shards.collect()} if n else {}
-        return _probe_broadcast(df, spark.sparkContext.broadcast(built), count, least_chars)
-    return _probe_routed(df, shards, count, least_chars)
+        return _probe_broadcast(df, spark.sparkContext.broadcast(built), count, least_chars, counts)
+    return _probe_routed(df, shards, count, least_chars, counts)
+
+
+def _counted_schema(df: DataFrame, counts: bool):
+    return df.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema if counts else df.schema
 
 
 def _shard_of(h1: np.ndarray, count: int) -> np.ndarray:
@@ -184,10 +189,10 @@ def _shard_of(h1: np.ndarray, count: int) -> np.ndarray:
     return h.view(np.int64) % count
 
 
-def _probe_broadcast(df: DataFrame, shared, count: int, least_chars: int) -> DataFrame:
+def _probe_broadcast(df: DataFrame, shared, count: int, least_chars: int, counts: bool) -> DataFrame:
     names = df.columns
     id_at, text_at = names.index("doc_id"), names.index("text")
-    schema = df.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    schema = _counted_schema(df, counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: Shard(*v) for k, v in shared.value.items()}
@@ -220,15 +225,18 @@ def _probe_broadcast(df: DataFrame, shared, count: int, least_chars: int) -> Dat
                 texts[row] = "\n".join(x for k, x in enumerate(texts[row].split("\n")) if k not in gone)
             cols = list(batch.columns)
             cols[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array([len(drops.get(r, ())) for r in range(len(ids))], pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            if counts:
+                cols += [pa.array(lines, pa.int64()), pa.array([len(drops.get(r, ())) for r in range(len(ids))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.mapInArrow(work, schema)
 
 
-def _probe_routed(df: DataFrame, shards: DataFrame, count: int, least_chars: int, group: int = 200_000) -> DataFrame:
+def _probe_routed(df: DataFrame, shards: DataFrame, count: int, least_chars: int, counts: bool, group: int = 200_000) -> DataFrame:
     """The probes go to the shards, `group` or so to a salt, and what is to be dropped comes back by document."""
     names = df.columns
-    keyed = df.withColumn("_row", F.xxhash64("text"))
+    at, gone_name = fresh_name(df, "row"), fresh_name(df, "gone")
+    keyed = df.withColumn(at, F.xxhash64("text"))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +249,7 @@ def _probe_routed(df: DataFrame, shards: DataFrame, count: int, least_chars: int
             h1, h2 = _split(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "_row", "h1", "h2"])
 
-    sent = materialise(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "_row", "text").mapInArrow(probes, "doc_id long, _row long, h1 long, h2 long"))
+    sent = materialise(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", at, "text").mapInArrow(probes, "doc_id long, _row long, h1 long, h2 long"))
     salts = max(1, -(-sent.count() // (count * group)))
     sent = sent.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(count)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     spread = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -253,10 +261,10 @@ def _probe_routed(df: DataFrame, shards: DataFrame, count: int, least_chars: int
         return left[found & (last != left["doc_id"].to_numpy())][["doc_id", "_row", "h1", "h2"]]
 
     told = sent.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(answer, "doc_id long, _row long, h1 long, h2 long")
-    by_doc = told.distinct().groupBy("doc_id", "_row").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-    joined = keyed.join(by_doc, ["doc_id", "_row"], "left").select(*names, "_gone")
+    by_doc = told.distinct().groupBy("doc_id", "_row").agg(F.collect_list(F.struct("h1", "h2")).alias(gone_name)).withColumnRenamed("_row", at)
+    joined = keyed.join(by_doc, ["doc_id", at], "left").select(*names, gone_name)
     text_at = names.index("text")
-    schema = df.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    schema = _counted_schema(df, counts)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +279,9 @@ def _probe_routed(df: DataFrame, shards: DataFrame, count: int, least_chars: int
                     texts[row] = "\n".join(kept)
             cols = list(batch.columns[: len(names)])
             cols[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            if counts:
+                cols += [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return joined.mapInArrow(rebuild, schema)
 

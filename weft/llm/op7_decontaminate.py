@@ -1,32 +1,34 @@
 """Benchmark decontamination by a generalised suffix automaton over the words of the test items.
 
-Texts are lower-cased (A-Z) and cut into words of digits, a-z and characters beyond ASCII. The automaton of all items
-is built on the driver and broadcast; every document's words are streamed through it, which gives at each word the
-longest match that ends there. A match of at least `window` words ends an occurrence of a window; an item of fewer
-words is one window as a whole. Stretches of words in which some word, or some pair of neighbours, is in no item can't
-hold a window and are passed over before the automaton (found for a whole block at once).
-
-The items are a stated query set: the broadcast is bounded by ITEM_CHARS. Larger sets are dealt into blocks by item,
-and the documents pass the blocks' automata one after another, each pass written to shared storage.
-
-Nulls have no words. Items without id or words take no part; rows of one item_id are one item with several texts.
-Repeated documents each get their row; further columns of the inputs take no part.
+Texts are lower-cased (A-Z) and cut into words of digits, a-z and characters beyond ASCII. The automaton of the items is
+built on the driver, packed into arrays and broadcast; every document's words are streamed through it, which gives at
+each word the longest match that ends there. A match of at least `window` words ends an occurrence of a window; an item
+of fewer words is one window as a whole. Stretches of words in which some word, or some pair of neighbours, is in no item
+can't hold a window and are passed over before the automaton (found for a whole block at once).
+
+The items are a stated query set. They are dealt into blocks of ITEM_CHARS by item, so that the driver builds one bounded
+automaton at a time (some 750 bytes a word while it is built, some 60 when packed), and documents pass as many packed
+blocks at once as take PASS_BYTES; further passes are written to shared storage one after another.
+
+Nulls have no words; an empty benchmark hits nothing; an empty table gives no rows. Items without id or words take no
+part; rows of one item_id are one item with several texts. Repeated documents each get their row; further columns are
+kept, whatever their names, but for those named as the result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import _LOWER, materialise, table, text_blocks, word_places
+from weft.llm.common import _LOWER, fresh_name, materialise, slices, table, text_blocks, word_places
 
-#: Characters of items in one block, at most about so many (the automaton takes some 100 bytes for each word).
-ITEM_CHARS = 16_000_000
+#: Characters of the items in one automaton, about, and bytes of packed automata in one pass over the documents.
+ITEM_CHARS, PASS_BYTES = 2_000_000, 1 << 26
 WINDOW = 10
 
 _GAP = np.ones(256, dtype=bool)
@@ -38,38 +40,17 @@ def hashed_words(text: str | None) -> np.ndarray:
     return word_places(data, np.array([0, len(data)]), _LOWER, _GAP)[0]
 
 
-class ItemAutomaton:
-    """Generalised suffix automaton of word sequences, with the windows and short items that end at its states."""
+class Growing:
+    """The automaton while it is built: a dict of arcs for each state, suffix links and lengths."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
-        self.window = window
-        words = [(i, w) for i, w in items if len(w)]
-        self.vocabulary = np.unique(np.concatenate([w for _, w in words])) if words else np.zeros(0, np.uint64)
-        v = max(1, len(self.vocabulary))
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        coded = [(i, np.searchsorted(self.vocabulary, w).tolist()) for i, w in words]
-        pairs = [np.asarray(c[:-1], np.int64) * v + np.asarray(c[1:], np.int64) for _, c in coded if len(c) > 1]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        for _, c in coded:
-            last = 0
-            for x in c:
-                last = self._extend(last, x)
-        self.windows: dict[int, set[str]] = {}
-        short: dict[int, set[tuple[int, str]]] = {}
-        self.shortest = min([window, *(len(c) for _, c in coded)])
-        for i, c in coded:
-            at = 0
-            for k, x in enumerate(c, 1):
-                at = self.next[at][x]
-                if len(c) >= window and k >= window:
-                    self.windows.setdefault(self.window_state(at), set()).add(i)
-            if len(c) < window:
-                short.setdefault(at, set()).add((len(c), i))
-        #: short items that end wherever a state is reached: (length, item), its own and those of its suffixes
-        self.short: list[tuple] = [()] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.len.__getitem__):
-            self.short[s] = tuple(short.get(s, ())) + self.short[self.link[s]]
+
+    def add(self, codes: list[int]) -> None:
+        last = 0
+        for x in codes:
+            last = self._extend(last, x)
 
     def _extend(self, last: int, x: int) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -102,31 +83,86 @@ class ItemAutomaton:
             p = self.link[p]
         return new
 
-    def window_state(self, state: int) -> int:
+
+class ItemAutomaton:
+    """Generalised suffix automaton of word sequences as arrays, with the windows and short items that end at its states."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+        self.window = window
+        words = [(i, w) for i, w in items if len(w)]
+        self.vocabulary = np.unique(np.concatenate([w for _, w in words])) if words else np.zeros(0, np.uint64)
+        v = self.size = max(1, len(self.vocabulary))
+        coded = [(i, np.searchsorted(self.vocabulary, w).tolist()) for i, w in words]
+        pairs = [np.asarray(c[:-1], np.int64) * v + np.asarray(c[1:], np.int64) for _, c in coded if len(c) > 1]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        self.shortest = min([window, *(len(c) for _, c in coded)])
+        growing = Growing()
+        for _, c in coded:
+            growing.add(c)
+        arcs = np.array([(s * v + x, t) for s, own in enumerate(growing.next) for x, t in own.items()], np.int64).reshape(-1, 2)
+        arcs = arcs[np.argsort(arcs[:, 0])]
+        #: arcs by state * words + word, and where they lead
+        self.keys, self.to = np.ascontiguousarray(arcs[:, 0]), arcs[:, 1].astype(np.int32)
+        self.link, self.len = np.array(growing.link, np.int32), np.array(growing.len, np.int32)
+        self.items = sorted({i for i, _ in words})
+        number = {i: k for k, i in enumerate(self.items)}
+        ends, self.short = [], {}
+        for i, c in coded:
+            at = 0
+            for k, x in enumerate(c, 1):
+                at = growing.next[at][x]
+                if k >= window:
+                    ends.append((self._window_state(growing.link, growing.len, at), number[i]))
+            if len(c) < window:
+                self.short.setdefault(at, set()).add((len(c), number[i]))
+        ends = np.unique(np.array(ends, np.int64).reshape(-1, 2), axis=0)
+        #: items of windows, one after another by state
+        self.window_states, start = np.unique(ends[:, 0], return_index=True)
+        self.window_cuts, self.window_items = np.append(start, len(ends)), ends[:, 1].astype(np.int32)
+        #: the nearest state on the way of suffix links, itself first, where short items end; 0 for none
+        self.short_at = np.zeros(len(self.link), np.int32)
+        if self.short:
+            for s in np.argsort(self.len, kind="stable").tolist()[1:]:
+                self.short_at[s] = s if s in self.short else self.short_at[self.link[s]]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def _window_state(self, link, length, state: int) -> int:
         """The state of the last `window` words of what is matched."""
-        while self.len[self.link[state]] >= self.window:
-            state = self.link[state]
+        while length[link[state]] >= self.window:
+            state = link[state]
         return state
 
-    def stream(self, codes: list[int]) -> Iterator[tuple[int, int, set[str]]]:
-        """(first word, end, items) of each occurrence of a window in a stretch of known words."""
+    def stream(self, codes: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+        """(first word, end, numbers of items) of each occurrence of a window in a stretch of known words."""
+        keys, to, link, length = (memoryview(x) for x in (self.keys, self.to, self.link, self.len))
+        states, cuts, v, n = memoryview(self.window_states), self.window_cuts, self.size, len(self.keys)
         state = matched = 0
         for k, x in enumerate(codes, 1):
-            while state and x not in self.next[state]:
-                state = self.link[state]
-                matched = self.len[state]
-            if x in self.next[state]:
-                state = self.next[state][x]
-                matched += 1
+            while True:
+                key = state * v + x
+                at = bisect_left(keys, key)
+                if at < n and keys[at] == key:
+                    state, matched = to[at], matched + 1
+                    break
+                if not state:
+                    break
+                state = link[state]
+                matched = length[state]
             if matched >= self.window:
-                found = self.windows.get(self.window_state(state))
-                if found:
-                    yield k - self.window, k, found
-            for n, item in self.short[state]:
-                if n <= matched:
-                    yield k - n, k, {item}
-
-    def block(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, int, set[str]]]]:
+                own = self._window_state(link, length, state)
+                at = bisect_left(states, own)
+                if at < len(states) and states[at] == own:
+                    yield k - self.window, k, self.window_items[cuts[at] : cuts[at + 1]].tolist()
+            s = int(self.short_at[state])
+            while s > 0:
+                for size, item in self.short[s]:
+                    if size <= matched:
+                        yield k - size, k, [item]
+                s = int(self.short_at[link[s]])
+
+    def block(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, int, list[int]]]]:
         """Occurrences by row of a block of texts; words count from the row's first."""
         out: dict[int, list] = {}
         if not len(hashes) or not len(self.vocabulary):
@@ -166,77 +202,93 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[ItemAutomaton]:
-    """Automata of the items, block by block; only one block's items are on the driver at a time."""
+def _automata(benchmark: DataFrame, window: int, item_chars: int, pass_bytes: int) -> Iterator[list[ItemAutomaton]]:
+    """Automata of the items, as many at a time as one pass takes; the driver holds one block's items at a time."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // most))
+    n = max(1, -(-total // item_chars))
+    held: list[ItemAutomaton] = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        yield ItemAutomaton([(r.item, hashed_words(r.text)) for r in part.toLocalIterator()], window)
-
-
-_FOUND = "n_words long, spans array<struct<first:long,end:long,byte_start:long,byte_end:long>>, items array<string>"
-
-
-def find_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_chars: int = ITEM_CHARS) -> DataFrame:
-    """df with n_words, spans (merged occurrences: words from `first` to before `end`, and their bytes) and items."""
-    spark = df.sparkSession
-    names = [n for n in df.columns]
-    clash = {"n_words", "spans", "items"} & set(names)
-    if clash:
-        df = df.drop(*clash)
-        names = df.columns
-    base = df.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.expr("cast(array() as array<struct<first:long,end:long,byte_start:long,byte_end:long>>)"), "items": F.expr("cast(array() as array<string>)")})
-    text_at = names.index("text")
-    for k, automaton in enumerate(_blocks(benchmark, window, item_chars)):
-        if k:
-            base = materialise(base)
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
-            for batch in batches:
-                counts, spans, items = [], batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist()
+        own = ItemAutomaton([(r.item, hashed_words(r.text)) for r in part.toLocalIterator()], window)
+        if held and sum(x.nbytes() for x in [*held, own]) > pass_bytes:
+            yield held
+            held = []
+        held.append(own)
+    yield held
+
+
+_SPANS = "array<struct<first:long,end:long,byte_start:long,byte_end:long>>"
+
+
+def _passed(df: DataFrame, benchmark: DataFrame, window: int, item_chars: int, pass_bytes: int, names: tuple[str, str, str], finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """df with three more columns: number of words, merged spans, items; or what `finish` makes of that, with `columns`."""
+    spark, text_at, width = df.sparkSession, df.columns.index("text"), len(df.columns)
+    base = df.withColumns({names[0]: F.lit(None).cast("long"), names[1]: F.expr(f"cast(array() as {_SPANS})"), names[2]: F.expr("cast(array() as array<string>)")})
+    schema = base.schema
+    passes = iter(_automata(benchmark, window, item_chars, pass_bytes))
+    automata = next(passes)
+    while automata:
+        following = next(passes, None)
+        shared = spark.sparkContext.broadcast(automata)
+        last = finish if following is None else None
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                counts, spans, items = [], batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
                 for row, end, data, offsets in text_blocks(batch.column(text_at)):
                     h, first, s, e = word_places(data, offsets, _LOWER, _GAP)
                     counts += np.diff(first).tolist()
-                    for at, found in auto.block(h, first).items():
-                        old = [(x["first"], x["end"]) for x in spans[row + at]]
-                        f, o = int(first[at]), int(offsets[at])
-                        spans[row + at] = [{"first": a, "end": b, "byte_start": int(s[f + a]) - o, "byte_end": int(e[f + b - 1]) - o} for a, b in merged(old + [x[:2] for x in found])]
-                        items[row + at] = sorted({*items[row + at], *(i for x in found for i in x[2])})
-                out = [*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field("spans").type), pa.array(items, batch.schema.field("items").type)]
-                yield pa.RecordBatch.from_arrays(out, schema=batch.schema)
-
-        base = base.mapInArrow(work, base.schema)
+                    for auto in shared.value:
+                        for at, found in auto.block(h, first).items():
+                            old = [(x["first"], x["end"]) for x in spans[row + at]]
+                            f, o = int(first[at]), int(offsets[at])
+                            spans[row + at] = [{"first": a, "end": b, "byte_start": int(s[f + a]) - o, "byte_end": int(e[f + b - 1]) - o} for a, b in merged(old + [x[:2] for x in found])]
+                            items[row + at] = sorted({*items[row + at], *(auto.items[i] for i in {i for x in found for i in x[2]})})
+                out = [*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field(width + 1).type), pa.array(items, batch.schema.field(width + 2).type)]
+                made = pa.RecordBatch.from_arrays(out, names=schema.names)
+                yield last(made) if last else made
+
+        base = base.mapInArrow(work, df.select(*columns).schema if last else schema)
+        if following is not None:
+            base = materialise(base)
+        automata = following
     return base
 
 
-def clean_documents(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, longest: int = 0, coverage: float = 0.5) -> DataFrame:
+def find_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_chars: int = ITEM_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """df with n_words, spans (merged occurrences: words from `first` to before `end`, and their bytes) and items; columns of these names give way."""
+    return _passed(df.drop("n_words", "spans", "items"), benchmark, window, item_chars, pass_bytes, ("n_words", "spans", "items"))
+
+
+def clean_documents(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, longest: int = 0, coverage: float = 0.5, item_chars: int = ITEM_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """df without contamination: spans of more than `longest` words are cut from texts, and rows go of whose words more than `coverage` are in spans."""
-    columns = df.columns
-    found = find_items(df, benchmark, window)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    found = found.where((F.size("spans") == 0) | (hit <= F.col("n_words") * F.lit(coverage)))
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for t, sp in zip(texts, spans, strict=True):
-            sp = [x for x in sp if x["end"] - x["first"] > longest]
-            if sp:
-                raw, at, parts = t.encode(), 0, []
-                for x in sp:
-                    parts.append(raw[at : x["byte_start"]])
-                    at = x["byte_end"]
-                t = b"".join([*parts, raw[at:]]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(cut("text", "spans"))).select(*columns)
+    width, text_at = len(df.columns), df.columns.index("text")
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stay, texts = [], batch.column(text_at)
+        counts, spans = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+        if any(spans):
+            texts = texts.to_pylist()
+            for k, own in enumerate(spans):
+                if not own:
+                    stay.append(k)
+                    continue
+                if sum(x["end"] - x["first"] for x in own) <= counts[k] * coverage:
+                    stay.append(k)
+                    raw, at, parts = texts[k].encode(), 0, []
+                    for x in own:
+                        if x["end"] - x["first"] > longest:
+                            parts.append(raw[at : x["byte_start"]])
+                            at = x["byte_end"]
+                    texts[k] = b"".join([*parts, raw[at:]]).decode()
+            texts = pa.array(texts, pa.string())
+            columns = [*batch.columns[:text_at], texts, *batch.columns[text_at + 1 : width]]
+            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).take(pa.array(stay, pa.int64()))
+        return pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+
+    names = tuple(fresh_name(df, x) for x in ("n_words", "spans", "items"))
+    return _passed(df, benchmark, window, item_chars, pass_bytes, names, finish, df.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
