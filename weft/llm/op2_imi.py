@@ -2,29 +2,34 @@
 
 Vectors are cut into two halves, and each half has its own codebook (k-means on a bounded sample). A vector's cell is
 its pair of nearest centroids. A query ranks both codebooks by squared distance and walks the pairs of ranks with a
-heap, smallest sum first, gathering the entries of cells until it has seen at least `budget` entries; these are reranked
-by exact distance in double precision.
+heap, smallest sum first, until the cells walked hold the budget of entries; all entries with a sum up to the last one
+walked are reranked by exact distance in double precision.
 
 Vectors that are equal share one entry, which keeps their smallest ids, as many as any answer can take (k + 1); equal
 query vectors share one walk. So a vector that a third of all rows hold is neither a large cell nor many queries. The
-budget is a share of all entries with a floor; where fewer entries than the floor exist, the answer is exact. The
-share is what recall asks for: vectors without structure (nearest at 1.05, median at 1.41) need about 0.3 for 0.94.
+budget is a share of all entries, at every size, and at least LEAST. The share is what recall asks for: vectors without
+structure (nearest at 1.05, median at 1.41) need about 0.3 for 0.95. Reranking is therefore a share of entries times
+queries, as any search at this recall of such vectors is; it is done by matrix products over blocks.
 
-Codebooks and the numbers of entries by cell (at most CENTROIDS squared) are broadcast, and the queries, a stated set,
-go out in blocks of BLOCK: a query's walk is a bitmap of cells (CENTROIDS squared bits). A task keeps the best of each
-query over all its entries, so that k + 1 entries for each query and task are shuffled.
+Codebooks and the numbers of entries by cell (at most CENTROIDS squared) are broadcast. A walk is told by its last sum, so
+a query travels as its vector and one number. Entries are dealt into parts of PART and queries into blocks of BLOCK, by
+hash; a task has one part and one block (entries are copied for each block of queries), and gives the k + 1 nearest of
+each query. Neither entries nor queries come to the driver.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite parts take no part: they neither
-ask nor answer. Rows with a null vec_id neither. Rows that repeat a vec_id with the same vector are one candidate.
+ask nor answer. Rows with a null vec_id neither. Rows that repeat a vec_id with the same vector are one candidate; a
+vec_id with several vectors asks with each and answers with each, and the smaller distance counts for each pair of ids.
 Ties go to the smaller vec_id. Empty tables give no rows; further columns take no part.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +40,10 @@ from weft.llm.common import materialise, table
 SAMPLE = 12_000
 CENTROIDS = 256
 K = 10
-#: Entries that a query reranks: this share of all, and at least FLOOR.
-SHARE, FLOOR = 0.32, 3_000
-#: Queries of a block: their bitmaps take CENTROIDS squared / 8 bytes each.
-BLOCK = 2_000
+#: Entries that a query's walk gathers: this share of all, and at least LEAST.
+SHARE, LEAST = 0.32, 200
+#: Entries and queries that one task has.
+PART, BLOCK = 8_000, 4_000
 EVERY = 100
 
 
@@ -78,23 +83,59 @@ class MultiIndex:
         half = self.left.shape[1]
         return squared_distances(x[:, :half], self.left).argmin(1) * len(self.right) + squared_distances(x[:, half:], self.right).argmin(1)
 
-    def walk(self, q: np.ndarray, budget: int) -> list[int]:
-        """Cells with entries, by summed distance, until they hold `budget` entries (multi-sequence traversal)."""
+    def sums(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Summed squared distances of queries (rows) to the centroid pairs of cells (columns)."""
+        half = self.left.shape[1]
+        a, b = squared_distances(q[:, :half], self.left), squared_distances(q[:, half:], self.right)
+        return a[:, cells // len(self.right)] + b[:, cells % len(self.right)]
+
+    def walk(self, q: np.ndarray, budget: int) -> tuple[list[int], float]:
+        """Cells with entries, by summed distance, until they hold `budget` entries (multi-sequence traversal), and the last sum."""
         half = self.left.shape[1]
         a, b = squared_distances(q[None, :half], self.left)[0], squared_distances(q[None, half:], self.right)[0]
         i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        heap, seen, out, gathered = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, [], 0
+        a, b, sizes = a[i].tolist(), b[j].tolist(), self.sizes[np.ix_(i, j)].tolist()
+        heap, out, gathered, last = [(a[0] + b[0], 0, 0)], [], 0, -1.0
         while heap and gathered < budget:
-            _, x, y = heapq.heappop(heap)
-            n = int(self.sizes[i[x], j[y]])
-            if n:
+            last, x, y = heapq.heappop(heap)
+            if sizes[x][y]:
                 out.append(int(i[x]) * len(self.right) + int(j[y]))
-                gathered += n
-            for u, v in ((x + 1, y), (x, y + 1)):
-                if u < len(i) and v < len(j) and (u, v) not in seen:
-                    seen.add((u, v))
-                    heapq.heappush(heap, (a[i[u]] + b[j[v]], u, v))
-        return out
+                gathered += sizes[x][y]
+            # a pair is reached from its left neighbour, and one in the first column from above
+            if y + 1 < len(b):
+                heapq.heappush(heap, (a[x] + b[y + 1], x, y + 1))
+            if not y and x + 1 < len(a):
+                heapq.heappush(heap, (a[x + 1] + b[0], x + 1, 0))
+        return out, last
+
+
+def nearest(index: MultiIndex, q: np.ndarray, last: np.ndarray, v: np.ndarray, ids: list[np.ndarray], k: int, step: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the nearest entries within its walk: (entries, exact distances), ascending, with k + 1 ids at least if there are so many."""
+    cells, own = index.cells(v), (v * v).sum(1)
+    many = np.array([len(x) for x in ids])
+    out = []
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        d2 = (part * part).sum(1)[:, None] + own[None, :] - 2 * part @ v.T
+        # the walk's last sum has been rounded on another path
+        d2[index.sums(part, cells) > last[at : at + step, None] * (1 + 1e-9) + 1e-12] = np.inf
+        for j, row in enumerate(d2):
+            reach = int(np.isfinite(row).sum())
+            m = min(reach, 2 * k + 2)
+            while m:
+                edge = np.partition(row, m - 1)[m - 1]
+                near = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge)))
+                if m == reach or len({i for e in near for i in ids[e]} if many[near].min() == 1 else range(int(many[near].sum()))) > k:
+                    break
+                m = min(reach, 2 * m)
+            if not m:
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            delta = v[near] - part[j]
+            score = np.sqrt((delta * delta).sum(1))
+            order = np.argsort(score, kind="stable")
+            out.append((near[order], score[order]))
+    return out
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -105,7 +146,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(F.coalesce(good, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("v"))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", centroids: int = CENTROIDS, share: float = SHARE, floor: int = FLOOR, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE, part: int = PART, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df found for each row of queries, without the query's own id."""
     spark = df.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -115,11 +156,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", v
         return none
     d = common[0].d
     rows = rows.where(F.size("v") == d)
-    asked = usable(queries, key, vector).where(F.size("v") == d).distinct()
+    asked = materialise(usable(queries, key, vector).where(F.size("v") == d).distinct())
     # equal vectors: one entry with the smallest ids
     order = Window.partitionBy("v").orderBy("id")
     entries = materialise(rows.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    picked = entries.orderBy(F.xxhash64("v")).limit(sample).toArrow().column("v")
+    picked = entries.orderBy(F.xxhash64("v"), "v").limit(sample).toArrow().column("v")
     if not len(picked):
         return none
     x = np.array(picked.to_pylist(), float)
@@ -127,84 +168,50 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", v
     index = MultiIndex(fit_codebook(x[:, :half], centroids, 1), fit_codebook(x[:, half:], centroids, 2))
     books = spark.sparkContext.broadcast((index.left, index.right))
 
+    def matrix(vectors: pa.Array) -> np.ndarray:
+        return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = MultiIndex(*books.value)
         for batch in batches:
-            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([pa.array(own.cells(v).astype(np.int32)), *batch.columns], names=["cell", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.cells(matrix(batch.column(0))).astype(np.int32))], names=["cell"])
 
-    placed = materialise(entries.mapInArrow(place, "cell int, v array<double>, ids array<long>"))
-    for cell, n in placed.groupBy("cell").count().collect():
+    for cell, n in entries.select("v").mapInArrow(place, "cell int").groupBy("cell").count().collect():
         index.sizes[cell // len(index.right), cell % len(index.right)] = n
-    budget = max(floor, int(share * index.sizes.sum()))
-    shared = spark.sparkContext.broadcast((index, budget))
+    total = int(index.sizes.sum())
+    budget = max(least, math.ceil(share * total))
+    shared = spark.sparkContext.broadcast(index)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, most = shared.value
+        own = shared.value
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            maps = []
-            for q in v:
-                bits = np.zeros(own.sizes.size, np.uint8)
-                bits[own.walk(q, most)] = 1
-                maps.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["q", "qv", "walk"])
-
-    questions = asked.groupBy("v").agg(F.min("id").alias("q")).select("q", F.col("v").alias("qv"))
-    blocks = max(1, -(-questions.count() // (block // 2)))
-    routed = materialise(questions.repartition(12).mapInArrow(route, "q long, qv array<double>, walk binary").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
-    best = None
-    for n in range(blocks):
-        got = routed.where(F.col("block") == n).toArrow()
-        part = _ranked(placed, got, d, k, index.sizes.size) if len(got) else None
-        if part is not None:
-            best = part if best is None else best.union(part)
-    if best is None:
-        return none
-    near = Window.partitionBy("q").orderBy("score", "vec_id")
-    best = best.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r")
-    by_vector = asked.join(questions.select("q", F.col("qv").alias("v")), "v").select(F.col("id").alias("query_id"), "q")
+            last = [own.walk(q, budget)[1] for q in matrix(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last, pa.float64())], names=["q1", "q2", "qv", "last"])
+
+    # a query is named by two hashes of its vector
+    named = asked.withColumns({"q1": F.xxhash64("v"), "q2": F.xxhash64(F.lit(9), "v")})
+    questions = named.groupBy("q1", "q2").agg(F.first("v").alias("qv"))
+    walked = materialise(questions.repartition("q1", "q2").mapInArrow(route, "q1 long, q2 long, qv array<double>, last double"))
+    blocks, parts = max(1, -(-walked.count() // block)), max(1, -(-total // part))
+
+    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            ids = right["ids"].tolist()
+            best = nearest(shared.value, np.stack(left["qv"].tolist()), left["last"].to_numpy(), np.stack(right["v"].tolist()), ids, k)
+            for q1, q2, (near, score) in zip(left["q1"], left["q2"], best, strict=True):
+                out += [(q1, q2, int(i), float(s)) for e, s in zip(near.tolist(), score, strict=True) for i in ids[e]]
+        return pd.DataFrame(out, columns=["q1", "q2", "vec_id", "score"])
+
+    asking = walked.withColumn("block", F.pmod(F.col("q1"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asks = entries.withColumn("part", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = asking.groupBy("part", "block").cogroup(asks.groupBy("part", "block")).applyInPandas(rank, "q1 long, q2 long, vec_id long, score double")
+    near = Window.partitionBy("q1", "q2").orderBy("score", "vec_id")
+    best = found.groupBy("q1", "q2", "vec_id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r")
+    answers = named.select(F.col("id").alias("query_id"), "q1", "q2").join(best, ["q1", "q2"]).where(F.col("query_id") != F.col("vec_id"))
+    answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    answers = by_vector.join(best, "q").where(F.col("query_id") != F.col("vec_id")).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return answers.select("query_id", "rank", "vec_id", "score")
-
-
-def _ranked(placed: DataFrame, block: pa.Table, d: int, k: int, cells: int) -> DataFrame:
-    """(q, vec_id, score): of each task's entries in a query's cells the k + 1 nearest, by exact distance."""
-    names = block.column("q").to_numpy()
-    vectors = np.array(block.column("qv").to_pylist(), float)
-    walks = np.stack([np.frombuffer(x, np.uint8) for x in block.column("walk").to_pylist()])
-    asked = placed.sparkSession.sparkContext.broadcast((names, vectors, walks))
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors, walks = asked.value
-        best: list[list[tuple[float, list[int]]]] = [[] for _ in names]
-        for batch in batches:
-            cell = batch.column(0).to_numpy()
-            order = np.argsort(cell, kind="stable")  # the batch's inverted lists
-            cell = cell[order]
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)[order]
-            ids = batch.column(2).take(pa.array(order))
-            for j in range(len(names)):
-                rows = np.flatnonzero((walks[j][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
-                if not len(rows):
-                    continue
-                delta = v[rows] - vectors[j]
-                score = np.sqrt((delta * delta).sum(1))
-                m = min(len(score), k + 1)
-                edge = np.partition(score, m - 1)[m - 1]
-                near = np.flatnonzero(score <= edge)
-                best[j] += [(float(score[e]), ids[int(rows[e])].as_py()) for e in near.tolist()]
-                best[j].sort()
-                # entries that tie with the last one stay: their ids decide
-                if len(best[j]) > k + 1:
-                    last = best[j][k][0]
-                    best[j] = [x for x in best[j] if x[0] <= last]
-        out = [(int(n), i, s) for n, own in zip(names, best, strict=True) for s, ids in own for i in ids]
-        q, i, s = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["q", "vec_id", "score"])
-
-    return placed.select("cell", "v", "ids").mapInArrow(rank, "q long, vec_id long, score double")
+    return answers.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_imi(spark: SparkSession, sf_dir: str) -> DataFrame:
