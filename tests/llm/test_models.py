@@ -45,6 +45,13 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
         assert ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_scores_do_not_depend_on_partitioning(spark):
+    docs, labels = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text"), spark.read.parquet(SF + "/labels.parquet")
+    for op, column in ((T, "toxic"), (Q, "quality")):
+        told = [{r.doc_id: r.score for r in op.score_documents(docs, op.fit(d, lab)).collect()} for d, lab in ((docs, labels), (docs.repartition(7, "text"), labels.repartition(5)))]
+        assert told[0] == told[1] and len(told[0]) == 1000, column
+
+
 def test_models_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "some text", "q"), (3, "some text", "q"), (None, "x" * 20_000, "q")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -53,24 +60,66 @@ def test_models_without_labels_or_rows(spark):
     assert T.score_documents(docs.limit(0), T.fit(docs.limit(0), labels)).count() == 0
 
 
+def brute_nearest(rows, queries, k=10):
+    """query_id -> [(score, vec_id)] by exact search over (id, vector) rows."""
+    out = {}
+    for q in {i for i, _ in queries}:
+        best = {}
+        for own in [v for i, v in queries if i == q]:
+            for i, v in rows:
+                if i != q:
+                    s = math.sqrt(float(((np.array(v) - np.array(own)) ** 2).sum()))
+                    best[i] = min(s, best.get(i, math.inf))
+        out[q] = sorted((s, i) for i, s in best.items())[:k]
+    return out
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8)).round(2)
     x[100:300] = x[50]
-    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None), (1000, [0.0] * 8), (1100, [float("nan")] * 8), (1200, [1.0, None] + [1.0] * 6), (None, x[0].tolist()), (5, x[5].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for floor, share, least in ((3000, 0.3, 1.0), (10, 0.5, 0.85)):
-        out = I.search(df, df.where("vec_id % 100 = 0"), floor=floor, share=share, centroids=16).toPandas()
-        hit = total = 0
-        for q in range(0, 700, 100):
-            s = np.sqrt(((x - x[q]) ** 2).sum(1))
-            want = [i for i in np.lexsort((np.arange(700), s)) if i != q][:10]
-            got = out[out.query_id == q].sort_values("rank").vec_id.tolist()
-            hit, total = hit + len(set(want) & set(got)), total + 10
-            if least == 1:
-                assert got == want
-        assert hit / total >= least and set(out.query_id) == set(range(0, 700, 100))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (100, x[400].tolist()), (7, x[600].tolist()), (7, x[650].tolist())]
+    odd = [(900, None), (1000, [0.0] * 8), (1100, [float("nan")] * 8), (1200, [1.0, None] + [1.0] * 6), (1300, [1.0] * 7), (None, x[0].tolist())]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows + odd], "vec_id long, embedding array<double>, q1 string, part int").repartition(3)
+    want = brute_nearest(rows, [r for r in rows if r[0] % 100 == 0])
+    for args, least in (({"share": 1.0}, 1.0), ({"share": 1.0, "part": 90, "block": 3}, 1.0), ({"share": 0.5, "least": 10}, 0.85)):
+        got = {}
+        for r in I.search(df, df.where("vec_id % 100 = 0"), centroids=16, **args).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+            assert len(got[r.query_id]) == r["rank"]
+        assert set(got) == set(want) == set(range(0, 700, 100))
+        hit = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+        assert hit / sum(map(len, want.values())) >= least
+        if least == 1:
+            assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+            assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(want[q], got[q], strict=True))
     assert I.search(df.limit(0), df.limit(0)).count() == 0
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert I.search(few, few.where("vec_id % 100 = 0")).count() == 3
+
+
+def test_walk_is_by_summed_distance():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    index = I.MultiIndex(I.fit_codebook(x[:, :3], 9, 1), I.fit_codebook(x[:, 3:], 9, 2))
+    np.add.at(index.sizes.reshape(-1), index.cells(x), 1)
+    for q in rng.normal(size=(20, 6)):
+        cells, last = index.walk(q, 100)
+        sums = index.sums(q[None], np.arange(81))[0]
+        by_sum = [c for c in np.argsort(sums, kind="stable").tolist() if index.sizes.reshape(-1)[c]]
+        assert cells == by_sum[: len(cells)] and index.sizes.reshape(-1)[cells].sum() >= 100 > index.sizes.reshape(-1)[cells[:-1]].sum()
+        assert math.isclose(last, sums[cells[-1]], rel_tol=1e-9)
+
+
+def test_recall_of_the_index(spark):
+    """The whole query at 2,000 vectors: the index alone, by the production share."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(sf + "/embeddings.parquet").collect() if r.embedding and any(r.embedding) and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    want = brute_nearest(rows, [r for r in rows if r[0] % 100 == 0])
+    got = {}
+    for r in I.op2_imi(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for _, i in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
 def brute_spans(t):

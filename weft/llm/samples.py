@@ -6,21 +6,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import crc_class
+from weft.llm.common import crc_class, materialise
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y) of at most most[y] documents of each class, and the classes' sizes among the rows to learn from.
 
-    The rows are those whose crc32 class isn't held out, in an order by hash that is the same every time. Only the
-    chosen ids travel (a broadcast bounded by `most`); the texts are picked by one scan. Of documents that share one of
-    three min-hashes of their word triples only one stays, so that large groups of copies don't pass for evidence.
+    The rows are those whose crc32 class isn't held out, in an order by hash that is the same every time and with every
+    partitioning. Only the chosen ids travel (a broadcast bounded by `most`); the texts are picked by one scan and
+    written to shared storage. Of a class's documents that share one of three min-hashes of their word triples (of
+    texts under three words, the text) only the first in that order stays, so that large groups of copies don't pass
+    for evidence. Rows that repeat a doc_id and its text are one.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_class(F.col("doc_id"), modulus) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).cache()
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_class(F.col("doc_id"), modulus) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    known = materialise(known)
     sizes = dict(known.groupBy("y").count().collect())
+    order = F.xxhash64("doc_id", F.lit(7))
     picked = None
     for y, n in most.items():
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
+        part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     words = F.split(F.lower("text"), r"\s+")
@@ -30,12 +34,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     triples = F.zip_with(pairs, F.slice(words, 3, 1 << 30), lambda h, c: F.xxhash64(h, c))
 
     def min_hash(k: int):
-        return F.array_min(F.transform(triples, lambda h: F.xxhash64(h, F.lit(k))))
+        return F.coalesce(F.array_min(F.transform(triples, lambda h: F.xxhash64(h, F.lit(k)))), F.xxhash64("text"))
 
-    sample = sample.withColumns({f"_h{k}": min_hash(k) for k in range(3)})
-    for k in range(3):
-        sample = sample.dropDuplicates([f"_h{k}"])
-    return sample.select("doc_id", "text", "y"), {y: int(sizes.get(y, 0)) for y in most}
+    sample = materialise(sample.withColumns({f"_h{k}": min_hash(k) for k in range(3)} | {"_text": F.xxhash64("text"), "_order": order}))
+    hashes = [f"_h{k}" for k in range(3)]
+    kept = sample.drop("text")
+    for k in hashes:
+        row = F.struct("_order", "doc_id", "_text", *hashes)
+        kept = kept.groupBy("y", k).agg(F.min(row).alias("row")).select("y", "row.*")
+    out = sample.join(F.broadcast(kept.select("doc_id", "_text")), ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    return materialise(out.select("doc_id", "text", "y").repartition(24, "doc_id")), {y: int(sizes.get(y, 0)) for y in most}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 30, intercept: bool = True) -> np.ndarray:
