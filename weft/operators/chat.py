@@ -27,7 +27,7 @@ def unread_counts(rooms: DataFrame, members: DataFrame, messages: DataFrame, use
     """room id and unread: messages after the user's last_read_at, all of them where they are no member."""
     own = memberships(rooms, members, user_id).select(F.col("id").alias("room_id"), "last_read_at", "is_member")
     newer = (F.col("is_member") == 0) | (F.col("created_at") > F.col("last_read_at"))
-    counted = messages.join(F.broadcast(own), "room_id").groupBy("room_id").agg(F.count_if(newer).alias("unread"))
+    counted = messages.join(own, "room_id").groupBy("room_id").agg(F.count_if(newer).alias("unread"))
     return own.join(counted, "room_id", "left").select(F.col("room_id").alias("id"), F.coalesce("unread", F.lit(0)).alias("unread"))
 
 
@@ -90,7 +90,7 @@ def search(hits: DataFrame, messages: DataFrame, rooms: DataFrame, users: DataFr
     """Messages among hits (id) in rooms of the user, newest first."""
     own = members.where(F.col("user_id") == user_id).select("room_id")
     return (
-        messages.join(hits, "id", "left_semi").join(F.broadcast(own), "room_id", "left_semi")
+        messages.join(hits, "id", "left_semi").join(own, "room_id", "left_semi")
         .join(rooms.select(F.col("id").alias("room_id"), F.col("name").alias("room_name")), "room_id")
         .join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
         .orderBy(F.desc("created_at"), F.desc("id")).limit(n)

@@ -92,6 +92,23 @@ def x16(spark, d):
     return p.select("p_partkey", "row", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("col", "glyph")).select("p_partkey", "glyph", (F.col("col") * 8).alias("x"), (F.col("row") * 16).alias("y"))
 
 
+def _broken(rows: str, width: int) -> str:
+    """SQL: lines (key, para, k, line) of rows (key, text), each step of the recursion taking one line off a paragraph's rest."""
+    fits = f"list_max(list_filter(range(1, {width + 1}), lambda k: rest[k + 1] = ' '))"
+    return f"""WITH RECURSIVE paras AS (
+  SELECT key, para, string_split(text, chr(10))[para] AS rest FROM ({rows}), unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(para)),
+steps AS (
+  SELECT key, para, 0 AS k, NULL::VARCHAR AS line, rest, false AS done FROM paras
+  UNION ALL
+  SELECT key, para, k + 1,
+         CASE WHEN length(rest) <= {width} THEN rest WHEN cut IS NULL THEN rest[:{width}] ELSE rest[:cut] END,
+         CASE WHEN length(rest) <= {width} THEN '' WHEN cut IS NULL THEN rest[{width + 1}:] ELSE ltrim(rest[cut + 1:], ' ') END,
+         length(rest) <= {width}
+  FROM (SELECT *, {fits} AS cut FROM steps WHERE NOT done)),
+lines AS (SELECT key, para, k, line FROM steps WHERE k > 0)
+"""
+
+
 _CASES = {
     "z01": (z01, "SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn, role, text)) AS md5 FROM conversations GROUP BY 1"),
     "z02": (z02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL"),
@@ -101,8 +118,8 @@ _CASES = {
     "m33": (m33, None),
     "m37": (m37, None),
     "f08": (f08, None),
-    "f14": (f14, None),
-    "x16": (x16, None),
+    "f14": (f14, _broken("SELECT doc_id AS key, text FROM documents", 60) + "SELECT key AS doc_id, count(*) AS n, max(length(line)) AS widest FROM lines GROUP BY key"),
+    "x16": (x16, _broken("SELECT p_partkey AS key, p_name AS text FROM part", 10) + ", r AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY para, k) - 1 AS row FROM lines) SELECT key AS p_partkey, line[c] AS glyph, (c - 1) * 8 AS x, row * 16 AS y FROM r, unnest(range(1, length(line) + 1)) AS u(c)"),
 }
 
 QUERIES = {k: f for k, (f, _) in _CASES.items()}
