@@ -149,6 +149,30 @@ def test_base_spans_and_tagger(spark):
         assert sorted(r.n_email for r in P.find_personal_data(df, model).collect()) == [0, 0, 1, 1, 1]
 
 
+def test_tagger_finds_what_rules_miss(spark):
+    """Spans of held-out documents, disguised: most are found, little else is, and plain documents get no more spans."""
+    docs = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text")
+    held_out = "crc32(cast(doc_id as string)) % 3 = 0"
+    tagger = P.fit(docs.where(f"not ({held_out})"))
+    rng = np.random.default_rng(7)
+    want = found = right = more = 0
+    for (text,) in docs.where(held_out).where("length(text) < 6000").select("text").collect():
+        more += len(P.all_spans(text, tagger)[1]) - len(P.all_spans(text, None)[1])
+        hidden, spans = P.disguised(text, P.base_spans(text), rng)
+        base, every = P.all_spans(hidden, tagger)
+        assert set(base) <= set(every)
+        missed = {s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in base)}
+        added = set(every) - set(base)
+        want, found, right = want + len(missed), found + len(added), right + len(missed & added)
+    assert want >= 15 and right / want > 0.7 and right / max(1, found) > 0.9 and more <= 1
+    # long texts: windows without end, and a disguise at the very end
+    long = "7 " * 60_000 + "é " * 60_000 + "write to john.12 (at) mail4.example.com"
+    assert P.all_spans(long, tagger)[1][-1] == ("email", len(long) - 30, len(long))
+    df = spark.createDataFrame([(1, "x", 2, long), (2, "y", 3, None)], "doc_id long, spans string, n_ip int, text string")
+    assert sorted(r.doc_id for r in P.find_personal_data(df, tagger).collect()) == [1, 2]
+    assert P.find_personal_data(df.limit(0), tagger).count() == 0
+
+
 def test_language_model(spark):
     rows = [(k, " ".join(random.Random(k).choices([f"w{j}" for j in range(40)], k=random.Random(k).randrange(60)))) for k in range(80)] + [(80, None), (81, "A a A"), (81, "A a A")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,22 +1,28 @@
 """Personal data by rules and by a character-level bidirectional LSTM with a CRF.
 
 Rules give the base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. The tagger is trained
-in numpy on windows of a bounded sample of documents, labelled with the base spans; it reads classes of characters, so
-it knows shapes and surroundings, not the data itself. Its tags are O and begin/inside of each kind, with learned
-transitions; begin/inside order is a hard constraint, and so is that a span holds an "@" (e-mail) or a digit (the others).
-Windows without either can therefore hold no span and aren't run. All others are run in batches; where windows overlap,
-their scores are averaged, weighted towards windows' middles, and one Viterbi decoding over each covered stretch
-reconciles them. A decoded span is added if it overlaps no base span, beats "no span here" by MARGIN a character,
-and has as many digits as its kind asks for.
-
-Whole texts are read; offsets are code points, ends exclusive. Null texts are empty. Repeated rows each get a row. An
-empty table, or one without labelled windows, gives base spans only. Only doc_id and text are read.
+in numpy on windows of a bounded sample of documents, labelled with the base spans; most of the windows are altered as
+people disguise such data (DISGUISES: "at" and "dot" in words or brackets, spaces around dots, other separators of
+digits, no plus sign, letters O and l for digits), so that it learns to find what the rules miss. It reads classes of
+characters and the letters of the spelled marks, so it knows shapes and surroundings, not the data itself. Its tags are O
+and begin/inside of each kind, with learned transitions; begin/inside order is a hard constraint.
+
+Windows without a digit, an "@" or a spelled mark (_TRIGGER) hold none of the kinds and aren't run. All others are run in
+batches; where windows overlap, their scores are averaged, weighted towards windows' middles, and one Viterbi decoding
+over each covered stretch reconciles them. A decoded span is added if it overlaps no base span, beats "no span here" by
+MARGIN a character, and has what its kind asks for (plausible()): a name, a mark and a domain; four numbers up to 255;
+14 to 19 digits; 10 to 15 digits.
+
+Whole texts are read, stretch by stretch, so that memory follows the longest run of windows' scores and not the text;
+offsets are code points, ends exclusive. Null texts are empty. Repeated rows each get a row. An empty table gives no rows;
+one without labelled windows gives base spans only. Only doc_id and text are read, further columns take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import materialise, table
 
 #: Documents with labelled spans, and windows, that the tagger is trained on, at most.
-SAMPLE, WINDOWS = 1_500, 2_400
+SAMPLE, WINDOWS = 1_500, 4_800
+#: Disguises of each labelled stretch, as long as WINDOWS has room.
+COPIES = 12
+#: Windows that are run at once, and characters of a stretch whose scores are held at once (longer runs are cut between windows).
+BATCH, STRETCH = 256, 12_000
 WIDTH, STRIDE = 48, 24
 EMBED, HIDDEN = 10, 14
 MARGIN = 0.5
@@ -39,7 +49,8 @@ _EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?[aA][tT]\s?[)\]}]|\s[aA][tT]\s[\w-]+(?:\.\w|\s?[(\[{\s]\s?[dD][oO][tT]\b)")
+_DIGITS = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -72,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "@" in text:
         found += [("email", a, b) for a, b in _emails(text)]
-    if _TRIGGER.search(text):
+    if _DIGITS.search(text):
         for m in _IP.finditer(text):
             if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
                 found.append(("ip", m.start(), m.end()))
@@ -94,8 +105,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-# classes of characters: 0 pads; each of these marks is a class, the rest fall into kinds
-_MARKS = "@.-+() \n_%/:,=\"'#"
+# classes of characters: 0 pads; each of these marks, and letters of the spelled ones, is a class, the rest fall into kinds
+_MARKS = "@.-+() \n_%/:,=\"'#[]{}atdoOlI"
 _CLASS = {c: k for k, c in enumerate(_MARKS, 1)}
 CLASSES = len(_MARKS) + 6
 
@@ -249,38 +260,33 @@ class Tagger:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
+    def spans(self, text: str) -> Iterator[tuple[str, int, int]]:
         """Spans of a whole text that the tagger finds."""
-        starts = window_starts(text)
-        if not starts:
-            return []
-        n = len(text)
-        total, weight = {}, {}
+        run: list[int] = []
+        for s in window_starts(text):
+            if run and (s != run[-1] + STRIDE or s - run[0] > STRETCH):
+                yield from self._stretch(text, run)
+                run = []
+            run.append(s)
+        if run:
+            yield from self._stretch(text, run)
+
+    def _stretch(self, text: str, starts: list[int]) -> list[tuple[str, int, int]]:
+        """Spans in windows that follow each other by one stride: averaged scores, decoded once."""
+        base = starts[0]
+        n = min(len(text), starts[-1] + WIDTH) - base
+        total, weight = np.zeros((starts[-1] + WIDTH - base, TAGS)), np.zeros(starts[-1] + WIDTH - base)
         middle = 1.0 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1])
-        for k in range(0, len(starts), 256):
-            own = starts[k : k + 256]
-            x = np.zeros((len(own), WIDTH), np.int64)
-            for j, s in enumerate(own):
-                c = classes(text[s : s + WIDTH])
-                x[j, : len(c)] = c
-            for s, em in zip(own, self.emissions(x), strict=True):
-                # blocks of one stride are covered by the same windows
-                for part in range(0, WIDTH, STRIDE):
-                    at = s + part
-                    w = middle[part : part + STRIDE]
-                    total[at] = total.get(at, 0) + em[part : part + STRIDE] * w[:, None]
-                    weight[at] = weight.get(at, 0) + w
-        out, blocks = [], sorted(a for a in total if a < n)
-        k = 0
-        while k < len(blocks):
-            j = k
-            while j + 1 < len(blocks) and blocks[j + 1] == blocks[j] + STRIDE:
-                j += 1
-            base = blocks[k]
-            em = np.concatenate([total[a] / weight[a][:, None] for a in blocks[k : j + 1]])[: n - base]
-            out += self._accepted(text, base, em, self.decode(em))
-            k = j + 1
-        return out
+        code = np.zeros(len(total), np.int64)
+        code[:n] = classes(text[base : base + n])
+        for k in range(0, len(starts), BATCH):
+            own = np.array(starts[k : k + BATCH]) - base
+            em = self.emissions(code[own[:, None] + np.arange(WIDTH)[None]])
+            for s, e in zip(own.tolist(), em, strict=True):
+                total[s : s + WIDTH] += e * middle[:, None]
+                weight[s : s + WIDTH] += middle
+        em = total[:n] / weight[:n, None]
+        return self._accepted(text, base, em, self.decode(em))
 
     def _accepted(self, text: str, base: int, em: np.ndarray, path: list[int]) -> list[tuple[str, int, int]]:
         out, k = [], 0
@@ -299,55 +305,128 @@ class Tagger:
         return out
 
 
+_SPELLED_AT = re.compile(r"(?:\w[\w.+-]*\w|\w)(?:@|\s@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s)\w[\w-]*(?:(?:\s?\.\s?|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)\w[\w-]*)+", re.IGNORECASE)
+_READ_AS = str.maketrans("OolI", "0011")
+
+
 def plausible(kind: str, own: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in own)
+    """Whether a decoded span has what its kind asks for; letters that look like digits count as such between digits."""
     if kind == "email":
-        return "@" in own[1:-1] and len(own) >= 5
+        return bool(_SPELLED_AT.fullmatch(own))
+    own = re.sub(r"(?<=[0-9])[OolI]+(?=[0-9])", lambda m: m.group().translate(_READ_AS), own)
+    digits = sum("0" <= c <= "9" for c in own)
+    if any(c.isalpha() for c in re.sub(r"(?i)\sdot\s|[(\[]\s?dot\s?[)\]]", ".", own)) or not ("0" <= own[-1] <= "9"):
+        return False
     if kind == "ip":
-        return digits >= 4 and own.count(".") == 3 and all(x.isdigit() and int(x) <= 255 for x in own.split("."))
+        parts = [x for x in re.split(r"[^0-9]+", own) if x]
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and not re.fullmatch(r"[0-9][0-9 ]+", own)
     if kind == "card":
-        return 13 <= digits <= 19
+        return 14 <= digits <= 19 and luhn("".join(c for c in own if "0" <= c <= "9"))
     return 10 <= digits <= 15
 
 
-def labelled_windows(texts: list[str], most: int = WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with a trigger, and their tags by the rules."""
+def _email(own: str, rng: np.random.Generator) -> str:
+    at, dot = [(" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."), (" AT ", " DOT ")][rng.integers(6)]
+    return re.sub(r"\.(?=[^@]*$)", dot, own).replace("@", at)
+
+
+def _ip(own: str, rng: np.random.Generator) -> str:
+    return own.replace(".", [" . ", " dot ", "(.)", "[.]", ". ", " ."][rng.integers(6)])
+
+
+def _card(own: str, rng: np.random.Generator) -> str:
+    digits = re.sub("[^0-9]", "", own)
+    mark = [".", "/", "  ", "_", " - ", ""][rng.integers(6)]
+    out = mark.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if not mark:  # one 0 or 1 read as a letter, if there is one inside
+        at = [k for k in range(1, len(out) - 1) if out[k] in "01"]
+        if at:
+            k = at[rng.integers(len(at))]
+            out = out[:k] + ("O" if out[k] == "0" else "l") + out[k + 1 :]
+    return out
+
+
+def _phone(own: str, rng: np.random.Generator) -> str:
+    digits = re.sub("[^0-9]", "", own)
+    mark = "-. /"[rng.integers(4)]
+    tail = mark.join([digits[-10:-7], digits[-7:-4], digits[-4:]])
+    return [f"00{digits[:-10]} {tail}", tail, f"{digits[:-10]}{mark}{tail}", f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}"][rng.integers(4)] if len(digits) > 10 else tail
+
+
+#: How data of each kind is disguised for training.
+DISGUISES = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
+
+
+def disguised(text: str, spans: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its (non-overlapping) spans disguised, and where they are then."""
+    out, done, moved = [], 0, []
+    size = 0
+    for kind, a, b in spans:
+        if a < done:
+            continue
+        own = DISGUISES[kind](text[a:b], rng)
+        out += [text[done:a], own]
+        size += a - done
+        moved.append((kind, size, size + len(own)))
+        size += len(own)
+        done = b
+    return "".join([*out, text[done:]]), moved
+
+
+def labelled_windows(texts: list[str], most: int = WINDOWS, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with a trigger, and their tags: those of the rules, and then of texts with spans in COPIES disguises."""
     xs, ys = [], []
-    for text in texts:
-        tags = np.zeros(len(text) + WIDTH, np.int64)
-        for kind, a, b in reversed(base_spans(text)):
-            k = 1 + 2 * KINDS.index(kind)
-            tags[a:b] = k + 1
-            tags[a] = k
-        for s in window_starts(text):
-            c = classes(text[s : s + WIDTH])
-            y = tags[s : s + WIDTH].copy()
-            if y[0] and y[0] % 2 == 0:
-                y[0] -= 1  # a span that comes in from before begins here
-            xs.append(np.pad(c, (0, WIDTH - len(c))))
-            ys.append(y)
-            if len(xs) >= most:
-                return np.array(xs), np.array(ys)
+    rng = np.random.default_rng(seed)
+    for copy in range(COPIES + 1):
+        for text in texts:
+            spans = base_spans(text)
+            if copy:
+                if not spans:
+                    continue
+                text, spans = disguised(text, spans, rng)
+            tags = np.zeros(len(text) + WIDTH, np.int64)
+            for kind, a, b in reversed(spans):
+                k = 1 + 2 * KINDS.index(kind)
+                tags[a:b] = k + 1
+                tags[a] = k
+            for s in window_starts(text):
+                c = classes(text[s : s + WIDTH])
+                y = tags[s : s + WIDTH].copy()
+                if y[0] and y[0] % 2 == 0:
+                    y[0] -= 1  # a span that comes in from before begins here
+                xs.append(np.pad(c, (0, WIDTH - len(c))))
+                ys.append(y)
+                if len(xs) >= most:
+                    return np.array(xs), np.array(ys)
     return np.array(xs, np.int64).reshape(-1, WIDTH), np.array(ys, np.int64).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame) -> Tagger | None:
-    """Train on documents with digits or "@", in an order by hash; None without any."""
+    """Train on documents with digits or "@", in an order by hash; None without any.
+
+    Surroundings of base spans (label 1) and of other triggers (label 0) are cut out of whole texts in Spark; the first WINDOWS / 16 of each label by hash come to the driver.
+    """
     sample = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "doc_id").limit(SAMPLE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # only the surroundings of triggers travel, at most 40 windows of a document
         for batch in batches:
-            keep, order = [], []
-            for o, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in window_starts(t)[: 40 * 3 : 3]:
-                    a = max(0, s - WIDTH)
-                    keep.append(t[a : s + 2 * WIDTH])
-                    order.append(o)
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(keep, pa.string())], names=["o", "t"])
-
-    got = docs.join(F.broadcast(sample), "doc_id").select("o", "text").mapInArrow(cut, "o long, t string").distinct().orderBy("o", "t").limit(4 * WINDOWS).toArrow()
-    x, y = labelled_windows(got.column("t").to_pylist())
+            keep, label = [], []
+            for t in batch.column(0).to_pylist():
+                spans = base_spans(t)
+                # every span with its surroundings, and of what holds none every eighth window by its own hash
+                for _, a, b in spans:
+                    keep.append(t[max(0, a - WIDTH) : b + WIDTH])
+                    label.append(1)
+                for s in window_starts(t):
+                    if not any(a < s + 2 * WIDTH and s - WIDTH < b for _, a, b in spans) and zlib.crc32(t[s : s + WIDTH].encode()) % 8 == 0:
+                        keep.append(t[max(0, s - WIDTH) : s + 2 * WIDTH])
+                        label.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(keep, pa.string())], names=["y", "t"])
+
+    found = materialise(docs.join(F.broadcast(sample), "doc_id").select("text").mapInArrow(cut, "y int, t string").distinct())
+    texts = [r.t for y in (1, 0) for r in found.where(F.col("y") == y).orderBy(F.xxhash64("t"), "t").limit(WINDOWS // 16).collect()]
+    texts.sort(key=lambda t: zlib.crc32(t.encode()))
+    x, y = labelled_windows(texts)
     if not len(x) or not y.any():
         return None
     tagger = Tagger()
