@@ -95,19 +95,103 @@ def b13(spark, d):
 
 def _boost_rows(spark, d):
     o = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"), F.count("*").cast("double").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
-    return boosting.binned_features(o, "l_orderkey", ["q", "n"], 32).select("l_orderkey", "bins", F.round(F.col("y") / 1000, 4).alias("y"))
+    return boosting.binned_features(o, "l_orderkey", ["q", "n"], 32).select("l_orderkey", "bins", (F.col("y") / 1000).alias("y"))
+
+
+def _graded(spark, d):
+    """Gradients of squared loss before the first tree."""
+    rows = _boost_rows(spark, d)
+    base = rows.agg(boosting.mean_of("y").alias("m"))
+    return rows.join(F.broadcast(base)).select("l_orderkey", "bins", boosting.six_places(F.col("m") - F.col("y")).alias("g"), F.lit(1.0).alias("h"))
+
+
+def b09(spark, d):
+    return boosting.grow(_graded(spark, d), 3, 20).select("node", "feature", "bin", "gain", "n", "value")
+
+
+def m46(spark, d):
+    rows = _graded(spark, d)
+    nodes = boosting.grow(rows, 3, 20).withColumn("class", F.lit(0))
+    return boosting.tree_values(rows, nodes, 1, 3).select("l_orderkey", F.get("values", F.lit(0)).alias("value"))
 
 
 def b14(spark, d):
     _, model = boosting.fit_regression(_boost_rows(spark, d), trees=2, depth=2, min_leaf=20, rate=0.3)
-    return model.select("tree", "node", "feature", "bin", "n", F.round("value", 4).alias("value"))
+    return model.select("tree", "node", "feature", "bin", "n", "value")
 
 
 def b15(spark, d):
     rows = _boost_rows(spark, d)
     base, model = boosting.fit_regression(rows, trees=2, depth=2, min_leaf=20, rate=0.3)
     out = boosting.predict_regression(rows, base, model, 2, 2, 0.3)
-    return out.select("l_orderkey", F.round("pred", 4).alias("pred"))
+    return out.select("l_orderkey", "pred")
+
+
+def _class_rows(spark, d):
+    """Orders by status (F, O, P), told by size, number of lines and latest delivery."""
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1).alias("y"))
+    line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"), F.count("*").cast("double").alias("n"), F.unix_date(F.max("l_shipdate").cast("date")).cast("double").alias("t"))
+    return boosting.binned_features(line.join(o, "l_orderkey").where("y >= 0"), "l_orderkey", ["q", "n", "t"], 16).select("l_orderkey", "bins", "y")
+
+
+def _thousandth(v):
+    return F.floor(v * 1000 + 0.5) / 1000
+
+
+def b14_classes(spark, d):
+    _, model = boosting.fit_classes(_class_rows(spark, d), classes=3, rounds=2, depth=2, min_leaf=20, rate=0.3)
+    return model.select("round", "class", "node", "feature", "bin", "n", _thousandth(F.col("value")).alias("value"))
+
+
+def b15_classes(spark, d):
+    rows = _class_rows(spark, d)
+    base, model = boosting.fit_classes(rows, classes=3, rounds=2, depth=2, min_leaf=20, rate=0.3)
+    out = boosting.predict_classes(rows, base, model, 2, 2, 0.3)
+    return out.select("l_orderkey", "predicted", *(_thousandth(F.get("proba", F.lit(k))).alias(f"p{k}") for k in range(3)))
+
+
+_BROWS = """WITH o AS (SELECT l_orderkey AS key, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q, count(*)::DOUBLE AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS y FROM lineitem GROUP BY 1),
+fs AS (SELECT key, unnest([0, 1]) AS feature, unnest([q, n]) AS v FROM o), nb AS (SELECT 32 AS bins),
+t AS (SELECT key, 0 AS class, y / 1000 AS y FROM o),
+p0 AS (SELECT key, class, (SELECT floor((sum(y::DECIMAL(28,6))::DOUBLE / count(*)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE FROM t) AS pred FROM t),
+"""
+_CROWS = """WITH o AS (SELECT l_orderkey AS key, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q, count(*)::DOUBLE AS n, date_diff('day', DATE '1970-01-01', max(l_shipdate)::DATE)::DOUBLE AS late, any_value(instr('FOP', o_orderstatus) - 1) AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING any_value(instr('FOP', o_orderstatus)) > 0),
+fs AS (SELECT key, unnest([0, 1, 2]) AS feature, unnest([q, n, late]) AS v FROM o), nb AS (SELECT 16 AS bins),
+t AS (SELECT key, class, y FROM o, range(3) c(class)),
+p0 AS (SELECT key, class, (SELECT round(ln(greatest(count(*) FILTER (o.y = t.class) / count(*), 1e-15)), 6) FROM o) AS pred FROM t),
+"""
+_BINS_CTE = """fe AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM fs GROUP BY 1),
+bn AS (SELECT key, feature, CASE WHEN hi <= lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) END::INT AS bin FROM fs JOIN fe USING (feature), nb)"""
+
+
+def _tree_sql(t: int, depth: int, softmax: bool, rate: float) -> str:
+    """CTEs of one round: gradients g{t}, levels unrolled, nodes n{t}, leaf values v{t} and the next scores p{t+1}."""
+    if softmax:
+        out = f""", s{t} AS (SELECT key, class, exp(pred - max(pred) OVER (PARTITION BY key)) AS e FROM p{t}),
+q{t} AS (SELECT key, class, e / sum(e) OVER (PARTITION BY key) AS p FROM s{t}),
+g{t} AS (SELECT key, class, (floor((p - (y = class)::INT) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE)::DECIMAL(28,6) AS g, (floor((greatest(p * (1 - p), 1e-15)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE)::DECIMAL(28,6) AS h FROM q{t} JOIN t USING (key, class))"""
+    else:
+        out = f", g{t} AS (SELECT key, class, (floor((pred - y) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE)::DECIMAL(28,6) AS g, 1::DECIMAL(28,6) AS h FROM p{t} JOIN t USING (key, class))"
+    out += f", a{t}_0 AS (SELECT key, class, 1 AS node FROM p{t})"
+    for k in range(depth):
+        out += f""", h{t}_{k} AS (SELECT class, node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM a{t}_{k} JOIN g{t} USING (key, class) JOIN bn USING (key) GROUP BY ALL),
+w{t}_{k} AS (SELECT class, node, feature, bin, sum(g) OVER up::DOUBLE AS gl, sum(h) OVER up::DOUBLE AS hl, sum(n) OVER up AS nl, sum(g) OVER whole::DOUBLE AS gt, sum(h) OVER whole::DOUBLE AS ht, sum(n) OVER whole AS nt FROM h{t}_{k}
+  WINDOW up AS (PARTITION BY class, node, feature ORDER BY bin), whole AS (PARTITION BY class, node, feature)),
+k{t}_{k} AS (SELECT *, round(0.5::DOUBLE * (gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht), 3) AS gain FROM w{t}_{k} WHERE nl >= 20 AND nt - nl >= 20 AND hl >= 1e-15 AND ht - hl >= 1e-15),
+b{t}_{k} AS (SELECT class, node, feature, bin, gain FROM (SELECT * FROM k{t}_{k} QUALIFY row_number() OVER (PARTITION BY class, node ORDER BY gain DESC, feature, bin) = 1) WHERE gain > 0),
+a{t}_{k + 1} AS (SELECT key, class, node * 2 + (bn.bin > b.bin)::INT AS node FROM a{t}_{k} JOIN b{t}_{k} b USING (class, node) JOIN bn USING (key, feature))"""
+    level = lambda k: f"SELECT {k} AS depth, key, class, node FROM a{t}_{k}"
+    split = " UNION ALL ".join(f"SELECT class, node, feature, bin, gain FROM b{t}_{k}" for k in range(depth))
+    out += f""", r{t} AS ({" UNION ALL ".join(level(k) for k in range(depth + 1))}), x{t} AS ({split}),
+n{t} AS (SELECT class, node, feature, bin, gain, count(*) AS n, floor((-sum(g)::DOUBLE / greatest(sum(h)::DOUBLE, 1e-15)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS value FROM r{t} JOIN g{t} USING (key, class) LEFT JOIN x{t} USING (class, node) GROUP BY ALL),
+v{t} AS (SELECT key, class, arg_max(value, depth) AS value FROM r{t} JOIN n{t} USING (class, node) GROUP BY ALL),
+p{t + 1} AS (SELECT key, class, floor((pred + {rate}::DOUBLE * value) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS pred FROM p{t} JOIN v{t} USING (key, class))"""
+    return out
+
+
+_B09 = _BROWS + _BINS_CTE + _tree_sql(0, 3, False, 0.3)
+_B14 = _BROWS + _BINS_CTE + _tree_sql(0, 2, False, 0.3) + _tree_sql(1, 2, False, 0.3)
+_B14C = _CROWS + _BINS_CTE + _tree_sql(0, 2, True, 0.3) + _tree_sql(1, 2, True, 0.3)
 
 
 def b17(spark, d):
@@ -248,8 +332,12 @@ _CASES = {
     "b10": (b10, "SELECT l_returnflag AS class, round(p - 1, 9) AS g_own, round(p, 9) AS g_other, round(greatest(p * (1 - p), 1e-15), 9) AS h, round(ln(p), 9) AS init FROM (SELECT l_returnflag, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1)"),
     "b11": (b11, "SELECT o_orderkey, round((SELECT sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) FROM orders) - o_totalprice, 4) AS g, 1 AS h FROM orders"),
     "b13": (b13, f"WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS part, {uniform_sql(13, 'o_orderkey')} AS u FROM orders) SELECT o_orderkey FROM o QUALIFY row_number() OVER (PARTITION BY part ORDER BY u, o_orderkey) <= greatest(1, floor(count(*) OVER (PARTITION BY part) * 0.5))"),
-    "b14": (b14, None),
-    "b15": (b15, None),
+    "b09": (b09, _B09 + " SELECT node, feature, bin, gain, n, value FROM n0"),
+    "m46": (m46, _B09 + " SELECT key AS l_orderkey, value FROM v0"),
+    "b14": (b14, _B14 + "".join(f" {'UNION ALL' if k else ''} SELECT {k} AS tree, node, feature, bin, n, value FROM n{k}" for k in (0, 1))),
+    "b15": (b15, _B14 + " SELECT key AS l_orderkey, pred FROM p2"),
+    "b14_classes": (b14_classes, _B14C + "".join(f" {'UNION ALL' if k else ''} SELECT {k} AS round, class, node, feature, bin, n, floor(value * 1000 + 0.5::DOUBLE) / 1000 AS value FROM n{k}" for k in (0, 1))),
+    "b15_classes": (b15_classes, _B14C + ", f AS (SELECT key, class, pred, exp(pred) / sum(exp(pred)) OVER (PARTITION BY key) AS p FROM p2) SELECT key AS l_orderkey, arg_min(class, (-pred, class))::INT AS predicted, " + ", ".join(f"floor(max(p) FILTER (class = {k}) * 1000 + 0.5::DOUBLE) / 1000 AS p{k}" for k in range(3)) + " FROM f GROUP BY key"),
     "b17": (b17, None),
     "b20": (b20, None),
     "b23": (b23, f"WITH {_LONG}, {_QEDGES} SELECT sum(len(edges))::BIGINT AS width, (count(*) * {BINS + 1})::BIGINT AS nominal FROM qedges"),
