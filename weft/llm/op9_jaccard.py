@@ -13,13 +13,25 @@ are that weak is also dealt by the next of LEVELS hashes, at last into one bucke
 no link is lost whatever the hashes do. How many segments get deletion neighbourhoods is chosen for each scheme by
 cost: signatures made against candidates expected, from the number of sets in the band.
 
+Signatures: a first pass over the texts sends five bytes of each to its page, once for each task, and a page keeps those
+that were seen twice; a second pass gives (signature, node) of these live ones alone. They are broadcast while they
+take BROADCAST_BYTES at most, and joined beyond that.
+
+Only one row of each set is signed as long as a bitmap of the chosen rows tells them apart.
+
 Candidates: in the bucket of a signature every member is paired with the smallest (a star, not all pairs); sizes and
 a 512-bit parity sketch (which can't differ in more bits than the sets differ in shingles) throw out most pairs that are
-no links, and the rest is verified on the texts' whole sets. Then only buckets that still hold several components are
-compared across components, with sizes, components and sketches inside the join's condition.
+no links, and the rest is verified on the texts' whole sets. Then only buckets that still hold several components count.
+Of them, those of more than HOT members (a passage that many texts hold) are left out for a set that has fewer of them
+than signatures it must share with any partner (z+1 less its empty segments), since such a pair meets elsewhere. All
+others are dealt into chunks of CHUNK members, and a task compares two chunks: of each member it gives the list of those in other components
+that sizes and sketches allow. Lists are checked block by block, first by sketches of 4,096 bits, a list's row carrying
+its own, and then by whole texts; a member that has met a link to a component isn't compared with the rest of it. So rows
+grow with members and blocks, not with pairs, and blocks that many members ask for are copied for groups of them.
 
 Rows without words or text link with nothing (n_shingles 0), rows with a null doc_id neither (component null).
-Repeated rows of a doc_id each get their row. Further columns take no part.
+Repeated rows of a doc_id each get their row. Very long texts are a block of their own. An empty table gives no rows.
+Further columns take no part; without_copies() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +41,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialise, mix, table, text_blocks, word_hashes
+from weft.llm.common import fresh_name, materialise, mix, table, text_blocks, word_hashes
 from weft.llm.components import Bitmap, spread_labels
 
 WIDTH = 5
@@ -43,6 +56,16 @@ LEVELS = 3
 #: Shares in the cost model: of shingles that many documents have in common, and of sets of a band that share them.
 COMMON_SHARE, COMMON_SETS = 0.3, 0.0005
 SKETCH = 8
+#: Signatures of a page, about, and how many a task gathers before it sends them.
+PAGE_SIGNATURES, FLUSH = 1_500_000, 2_000_000
+#: Live signatures are broadcast up to this size.
+BROADCAST_BYTES = 1 << 26
+#: Members beyond which a bucket is left to those sets that can't do without it.
+HOT = 24
+#: Members of a bucket that a task compares with another chunk, and characters of the texts of a block.
+CHUNK, BLOCK_CHARS = 4_000, 1 << 20
+#: Bits of the sketch that long lists are checked by first, and nodes of a block then.
+WIDE, BLOCK_NODES = 4_096, 2_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,13 +110,13 @@ def set_names(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def sketches(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """512 parity bits of each row's set, as 8 longs."""
+def sketches(shingles: np.ndarray, at: np.ndarray, bits: int = 512) -> np.ndarray:
+    """Parity bits of each row's set, as longs."""
     rows = len(at) - 1
     row_of = np.repeat(np.arange(rows), np.diff(at))
-    bit = (shingles >> np.uint64(7)).astype(np.int64) & 511
-    odd = (np.bincount(row_of * 512 + bit, minlength=rows * 512) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(rows, 512), axis=1, bitorder="little").view(np.int64)
+    bit = (shingles >> np.uint64(7)).astype(np.int64) & (bits - 1)
+    odd = (np.bincount(row_of * bits + bit, minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, bits), axis=1, bitorder="little").view(np.int64)
 
 
 class Scheme(NamedTuple):
@@ -144,11 +167,14 @@ def plan(band: int, low: int, high: int, sets: int, least: int = LEAST) -> Schem
     return best[1] if best else Scheme(band, low, bound, bound + 1, (bound + 1) // 2, 0)
 
 
-def signatures(shingles: np.ndarray, at: np.ndarray, schemes: dict[int, Scheme], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of the rows' sets, by their own band's scheme and that of the band below."""
+def signatures(shingles: np.ndarray, at: np.ndarray, schemes: dict[int, Scheme], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, tag) of the rows' sets, by their own band's scheme (0) and that of the band below (1).
+
+    The tag is 2 * (how many of the scheme's signatures any partner shares at least, 0 if that isn't known) + the scheme.
+    """
     size = np.diff(at)
     band = np.searchsorted(edges, size, side="right") - 1
-    out_sig, out_row = [], []
+    out_sig, out_row, out_tag = [], [], []
     for below in (0, 1):
         rows = np.array([r for r in np.flatnonzero(size > 0).tolist() if int(band[r]) - below in schemes], np.int64)
         for level in range(LEVELS):
@@ -160,7 +186,7 @@ def signatures(shingles: np.ndarray, at: np.ndarray, schemes: dict[int, Scheme],
             item = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows.tolist()])
             row = np.repeat(np.arange(len(rows)), n)
             h = shingles[item]
-            dealt = mix(h + np.uint64(level + 1) * _STEP)
+            dealt = mix(h + np.array([level + 1], np.uint64) * _STEP)
             unit = (((dealt >> np.uint64(40)) * units[row].astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
             x = pairs[row]
             segment = np.where(unit < 2 * x, unit >> 1, unit - x)
@@ -174,22 +200,26 @@ def signatures(shingles: np.ndarray, at: np.ndarray, schemes: dict[int, Scheme],
             place = np.arange(cells) - base[cell_row]
             deleting = place < pairs[cell_row]
             name = mix((scheme[cell_row].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(level))
+            weak = np.bincount(cell_row, weights=np.where(deleting, 2 * (held <= 1), held == 0), minlength=len(rows)).astype(np.int64)
+            sure = np.where((pairs == 0) & (level == 0), np.maximum(slack + 1 - weak, 0), 0) * 2 + below
             full = held > 0
             out_sig.append(mix(total[full] + name[full]))
             out_row.append(rows[cell_row[full]])
+            out_tag.append(sure[cell_row[full]])
             cut = deleting[cell] & (held[cell] > 1)
             if cut.any():
                 out_sig.append(mix(total[cell[cut]] - value[cut] + name[cell[cut]]))
                 out_row.append(rows[row[cut]])
-            weak = np.bincount(cell_row, weights=np.where(deleting, 2 * (held <= 1), held == 0), minlength=len(rows))
+                out_tag.append(sure[row[cut]])
             rows = rows[weak > slack]
             band_of = scheme[weak > slack]
         if len(rows):
             out_sig.append(mix((band_of.astype(np.uint64) << np.uint64(40)) + np.uint64(0xFF)))
             out_row.append(rows)
+            out_tag.append(np.full(len(rows), below))
     if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_row)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_sig), np.concatenate(out_row), np.concatenate(out_tag)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -206,32 +236,129 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, node long, " + ", ".join(f"{k} long" for k in names))
 
 
-def _signed(docs: DataFrame, schemes: dict[int, Scheme], edges: list[int]) -> DataFrame:
-    """(sig, node) of all sets; a set that a task meets again is passed over."""
+def _named(df: DataFrame, name: str) -> DataFrame:
+    """df with the names of its rows' sets (null without shingles)."""
+    at = df.columns.index("text")
+    schema = df.withColumn(name, F.lit(None).cast("long")).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_blocks(batch.column(at)):
+                shingles, ends = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), pa.array(set_names(shingles, ends), mask=np.diff(ends) == 0)], names=schema.names)
+
+    return df.mapInArrow(work, schema)
+
+
+def _signing(batches: Iterator[pa.RecordBatch], chosen: Bitmap, schemes: dict[int, Scheme], first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(signatures, nodes, tags) of the sets of the chosen rows of (text, place); a set that a task meets again is mostly passed over."""
+    met: set[int] = set()
+    for batch in batches:
+        batch = batch.filter(pa.array(chosen.mask(batch.column(1).to_numpy())))
+        for _, _, data, offsets in text_blocks(batch.column(0)):
+            shingles, at = shingle_sets(data, offsets)
+            names = set_names(shingles, at)
+            size = np.diff(at)
+            fresh = np.zeros(len(names), dtype=bool)
+            for k, x in enumerate(names.tolist()):
+                if x not in met:
+                    met.add(x)
+                    fresh[k] = True
+            if len(met) > 50_000:
+                met.clear()
+            if not fresh.all():
+                shingles = shingles[np.repeat(fresh, size)]
+                names, size = names[fresh], size[fresh]
+                at = np.concatenate([[0], np.cumsum(size)])
+            sig, row, tag = signatures(shingles, at, schemes, first)
+            yield sig, names[row], tag
+
+
+def codes(sig: np.ndarray, pages: int) -> np.ndarray:
+    """Page (the high bits) and five bytes of each signature: what pages know it by. Two signatures may share a code."""
+    return (((sig >> np.uint64(40)) % np.uint64(pages)) << np.uint64(40)) | (sig & np.uint64((1 << 40) - 1))
+
+
+def _live(docs: DataFrame, chosen: Bitmap, schemes: dict[int, Scheme], first: np.ndarray, pages: int) -> DataFrame:
+    """(codes, n): of each page the sorted codes that two sets may share, eight bytes each, and their number."""
+
+    def tell(found: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(found), return_counts=True)
+        page = (code >> np.uint64(40)).astype(np.int64)
+        names, start = np.unique(page, return_index=True)
+        raw = np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        once, twice = [], []
+        for x, y in zip(start.tolist(), [*start.tolist()[1:], len(code)], strict=True):
+            lone = n[x:y] == 1
+            once.append(raw[x:y][lone].tobytes())
+            twice.append(raw[x:y][~lone].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["page", "once", "twice"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for sig, _, _ in _signing(batches, chosen, schemes, first):
+            held.append(codes(sig, pages))
+            size += len(sig)
+            if size > FLUSH:
+                yield tell(held)
+                held, size = [], 0
+        if size:
+            yield tell(held)
+
+    def keys(values: pd.Series) -> np.ndarray:
+        raw = np.frombuffer(b"".join(values), np.uint8).reshape(-1, 5)
+        out = np.zeros((len(raw), 8), np.uint8)
+        out[:, :5] = raw
+        return out.view("<u8").ravel()
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        once, n = np.unique(keys(pdf["once"]), return_counts=True)
+        live = np.union1d(once[n > 1], keys(pdf["twice"]))
+        # a key of one task's `once` may be another's `twice`; the union has it
+        live = live | (np.uint64(pdf["page"].iloc[0]) << np.uint64(40))
+        return pd.DataFrame({"codes": [live.tobytes()], "n": [len(live)]})
+
+    sent = _placed(docs, chosen).mapInArrow(work, "page int, once binary, twice binary")
+    return sent.groupBy("page").applyInPandas(build, "codes binary, n long")
+
+
+def _placed(docs: DataFrame, chosen: Bitmap) -> DataFrame:
+    return docs.select("text", chosen.place("doc_id").alias("at"))
+
+
+def _members(docs: DataFrame, chosen: Bitmap, schemes: dict[int, Scheme], edges: list[int], expected: int, broadcast_bytes: int) -> DataFrame:
+    """(sig, node, tag) of the signatures that two nodes may share. Some rows may repeat."""
     first = np.array(edges, np.int64)
+    pages = min(1 << 20, max(12, -(-expected // PAGE_SIGNATURES)))
+    live = materialise(_live(docs, chosen, schemes, first, pages))
+    total = live.agg(F.sum("n")).first()[0] or 0
+    small = total * 8 <= broadcast_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(bytes(r.codes) for r in live.select("codes").toLocalIterator()), np.uint64)) if small else None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        known = shared.value
+        if small:
+            # most codes miss this table of 2^23 flags and needn't be looked for
+            maybe = np.zeros(1 << 23, dtype=bool)
+            maybe[(mix(known) >> np.uint64(41)).astype(np.int64)] = True
+        for sig, node, tag in _signing(batches, chosen, schemes, first):
+            code = codes(sig, pages)
+            if small:
+                at = np.flatnonzero(maybe[(mix(code) >> np.uint64(41)).astype(np.int64)])
+                at = at[known[np.minimum(np.searchsorted(known, code[at]), max(0, len(known) - 1))] == code[at]] if len(known) else at[:0]
+                sig, node, tag, code = sig[at], node[at], tag[at], code[at]
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(tag.astype(np.int32)), pa.array(code.view(np.int64))], names=["sig", "node", "tag", "code"])
+
+    signed = _placed(docs, chosen).mapInArrow(work, "sig long, node long, tag int, code long")
+    if small:
+        return signed.drop("code")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(1)):
-                shingles, at = shingle_sets(data, offsets)
-                names = set_names(shingles, at)
-                size = np.diff(at)
-                fresh = np.zeros(len(names), dtype=bool)
-                for k, x in enumerate(names.tolist()):
-                    if x not in met:
-                        met.add(x)
-                        fresh[k] = True
-                if len(met) > 100_000:
-                    met.clear()
-                if not fresh.all():
-                    shingles = shingles[np.repeat(fresh, size)]
-                    names, size = names[fresh], size[fresh]
-                    at = np.concatenate([[0], np.cumsum(size)])
-                sig, row = signatures(shingles, at, schemes, first)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[row])], names=["sig", "node"])
-
-    return docs.mapInArrow(work, "sig long, node long")
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], names=["code"])
+
+    return signed.join(live.select("codes").mapInArrow(spread, "code long"), "code", "left_semi").drop("code")
 
 
 def _near(a: str, b: str) -> Column:
@@ -245,46 +372,211 @@ def _as(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (anode, bnode, arep, brep) whose sets link. Texts come by doc_id; a text whose set isn't the node's is another row of that doc_id."""
-    wanted = Bitmap.of(pairs.select(F.explode(F.array("arep", "brep")).alias("id")), "id")
-    texts = docs.where(wanted.holds(F.col("doc_id")))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("brep"), F.col("text").alias("btext")), "brep").join(texts.select(F.col("doc_id").alias("arep"), F.col("text").alias("atext")), "arep")
+def may_link(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches of rows i and j allow a link."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    out = low * 100 >= high * LEAST
+    at = np.flatnonzero(out)
+    bits = np.bitwise_count((sketch[i[at]] ^ sketch[j[at]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    out[at] = bits * (100 + LEAST) <= (low[at] + high[at]) * (100 - LEAST)
+    return out
+
+
+def near_rows(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of different labels whose sizes and sketches allow a link.
+
+    side: 0 and 1 are two chunks, and only rows of different ones are paired; where there is one chunk, all pairs count.
+    """
+    left = np.flatnonzero(side == 0) if (side == 1).any() else np.arange(len(n))
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(left), step):
+        own = left[k : k + step]
+        good = label[own][:, None] != label[right][None, :]
+        if left is right:
+            good &= own[:, None] < right[None, :]
+        x, y = np.nonzero(good)
+        x, y = own[x], right[y]
+        keep = may_link(n, sketch, x, y)
+        i.append(x[keep])
+        j.append(y[keep])
+    return np.concatenate(i), np.concatenate(j)
+
+
+def near_in_runs(run: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """near_rows() of many small runs of rows at once: pairs of rows of the same run."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, len(run)):
+        x = np.flatnonzero(run[k:] == run[:-k])
+        if not len(x):
+            break
+        x = x[label[x] != label[x + k]]
+        x = x[may_link(n, sketch, x, x + k)]
+        i.append(x)
+        j.append(x + k)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _asks(mixed: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
+    """(node, others) of mixed buckets' members (sig, node, label, m): `others` (y, g) are nodes of other components g that may link."""
+    names = [f"s{k}" for k in range(SKETCH)]
+    parts = F.ceil(F.col("m") / F.lit(chunk)).cast("int")
+    dealt = mixed.withColumns({"of": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select("sig", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), F.when((F.col("own") == F.col("with")) | (F.col("own") < F.col("with")), 0).otherwise(1).alias("side"), "node", "label")
+    rows = dealt.join(nodes.select("node", "n", *names), "node").repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "node")
+
+    def listed(node: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        who, start = np.unique(x, return_index=True)
+        cut = pa.array(np.append(start, len(x)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(node[who]), pa.ListArray.from_arrays(cut, pa.array(node[y])), pa.ListArray.from_arrays(cut, pa.array(label[y]))], names=["node", "ys", "gs"])
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return (*(t.column(k).to_numpy() for k in ("node", "label", "n", "side")), np.column_stack([t.column(k).to_numpy() for k in names]))
+
+    def large(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """One bucket, or two chunks of one."""
+        node, label, n, side, sketch = arrays(t)
+        node, at = np.unique(node, return_index=True)
+        label, n, side, sketch = label[at], n[at], side[at], sketch[at]
+        i, j = near_rows(n, sketch, label, side)
+        if len(i):
+            # the member of the component with fewer members here asks
+            _, back, count = np.unique(label, return_inverse=True, return_counts=True)
+            turn = count[back[i]] > count[back[j]]
+            yield listed(node, label, np.where(turn, j, i), np.where(turn, i, j))
+
+    def small(t: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, label, n, _, sketch = arrays(t)
+        i, j = near_in_runs(run, n, sketch, label)
+        if len(i):
+            yield listed(node, label, i, j)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            key = np.column_stack([t.column(k).to_numpy() for k in ("sig", "low", "high")])
+            run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+            # the last run may go on in the next batch
+            last = int(np.searchsorted(run, run[-1]))
+            size = np.bincount(run[:last]) if last else np.zeros(0, np.int64)
+            few = size[run[:last]] <= 32
+            if few.any():
+                yield from small(t.slice(0, last).filter(pa.array(few)), run[:last][few])
+            start = np.concatenate([[0], np.cumsum(size)])
+            for k in np.flatnonzero(size > 32).tolist():
+                yield from large(t.slice(int(start[k]), int(size[k])))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield from large(held)
+
+    told = rows.mapInArrow(work, "node long, ys array<long>, gs array<long>")
+    both = F.arrays_zip(F.col("ys").alias("y"), F.col("gs").alias("g"))
+    return told.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(both))).alias("others"))
+
+
+def _told(docs: DataFrame, wanted: DataFrame, wide: bool) -> DataFrame:
+    """(node, what, size) of wanted nodes (node, rep), and of some others: wide sketches, or texts."""
+    bitmap = Bitmap.of(wanted, "rep")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(bitmap.mask(batch.column(1).to_numpy())))
+            for row, end, data, offsets in text_blocks(batch.column(0)):
+                shingles, at = shingle_sets(data, offsets)
+                what = pa.array([x.tobytes() for x in sketches(shingles, at, WIDE)], pa.binary()) if wide else batch.column(0).slice(row, end - row).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(shingles, at)), what, pa.array(np.diff(at) if wide else np.diff(offsets))], names=["node", "what", "size"])
 
-        def shingles(node: int, text: str) -> np.ndarray | None:
-            if node not in held:
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                own, at = shingle_sets(raw, np.array([0, len(raw)]))
-                if set_names(own, at)[0] != node:
-                    return None
-                if len(held) > 200:
-                    held.clear()
-                held[node] = own
-            return held[node]
+    return docs.select("text", bitmap.place("doc_id").alias("at")).mapInArrow(work, "node long, what binary, size long")
 
+
+def _checked(asks: DataFrame, docs: DataFrame, nodes: DataFrame, wide: bool, block_chars: int) -> DataFrame:
+    """asks less what can't link: by wide sketches all `others` that they allow, by texts one link to each component of `others`."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys = batch.column(1).flatten().field(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([batch.column(0).to_numpy(), ys])))], names=["node"])
+
+    wanted = materialise(asks.mapInArrow(named, "node long").distinct().join(nodes.select("node", "rep"), "node"))
+    told = materialise(_told(docs, wanted, wide))
+    count, total = told.agg(F.count("*"), F.sum("size")).first()
+    blocks = max(8, -(-count // BLOCK_NODES) if wide else -(-(total or 0) // block_chars))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, right = shingles(x, s), shingles(y, t)
-                if left is None or right is None:
+            who = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            y, g = (lists.flatten().field(k).to_numpy() for k in (0, 1))
+            row = np.repeat(np.arange(len(who)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((y % blocks, row))
+            y, g, row = y[order], g[order], row[order]
+            block = y % blocks
+            start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(y) else np.zeros(0, np.int64)
+            cut = pa.array(np.append(start, len(y)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(who[row[start]]), pa.ListArray.from_arrays(cut, pa.array(y)), pa.ListArray.from_arrays(cut, pa.array(g))], names=["block", "node", "ys", "gs"])
+
+    dealt = asks.mapInArrow(deal, "block long, node long, ys array<long>, gs array<long>").join(told, "node")
+    # a block that much asks for is copied
+    most = F.lit(4 * BLOCK_NODES) if wide else F.lit(4 * block_chars)
+    salts = materialise(dealt.groupBy("block").agg(F.greatest(F.lit(1), F.ceil((F.count("*") if wide else F.sum("size")) / most)).cast("int").alias("salts")))
+    asking = dealt.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int")).select("block", "salt", "node", "what", "size", "ys", "gs")
+    asked = told.withColumn("block", F.pmod("node", F.lit(blocks))).join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*(F.col(c).alias(f"y_{c}") for c in ("block", "salt", "node", "what", "size")))
+
+    def by_sketch(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, list, list]]:
+        place = {x: k for k, x in enumerate(right["y_node"])}
+        sketch = np.frombuffer(b"".join(right["y_what"]), np.uint64).reshape(len(right), -1)
+        sizes = right["y_size"].to_numpy()
+        for x, what, n, ys, gs in zip(left["node"], left["what"], left["size"], left["ys"], left["gs"], strict=True):
+            at = np.array([place[y] for y in ys.tolist()])
+            bits = np.bitwise_count(sketch[at] ^ np.frombuffer(what, np.uint64)).sum(axis=1, dtype=np.int64)
+            good = bits * (100 + LEAST) <= (n + sizes[at]) * (100 - LEAST)
+            yield x, ys[good].tolist(), gs[good].tolist()
+
+    def by_text(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, list, list]]:
+        def shingles(text: bytes) -> np.ndarray:
+            raw = np.frombuffer(text, np.uint8)
+            return shingle_sets(raw, np.array([0, len(raw)]))[0]
+
+        text_of = dict(zip(right["y_node"], right["y_what"], strict=True))
+        held: dict[int, np.ndarray] = {}
+        for x, text, ys, gs in zip(left["node"], left["what"], left["ys"], left["gs"], strict=True):
+            own, linked = shingles(text), {}
+            for y, g in zip(ys.tolist(), gs.tolist(), strict=True):
+                if g in linked:
                     continue
-                small, large = (left, right) if len(left) < len(right) else (right, left)
+                other = held.get(y)
+                if other is None:
+                    other = held[y] = shingles(text_of[y])
+                small, large = (own, other) if len(own) < len(other) else (other, own)
                 common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * common >= LEAST * (len(left) + len(right) - common):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if 100 * common >= LEAST * (len(own) + len(other) - common):
+                    linked[g] = y
+            yield x, list(linked.values()), list(linked)
 
-    return joined.select("anode", "bnode", "atext", "btext").mapInArrow(work, "a long, b long").distinct()
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        kept = [x for x in (by_sketch if wide else by_text)(left, right) if x[1]] if len(left) else []
+        return pd.DataFrame({"node": np.array([x for x, _, _ in kept], np.int64), "ys": pd.Series([y for _, y, _ in kept], dtype=object), "gs": pd.Series([g for _, _, g in kept], dtype=object)})
 
+    left = asking.groupBy("block", "salt").cogroup(asked.groupBy("y_block", "y_salt")).applyInPandas(check, "node long, ys array<long>, gs array<long>")
+    return materialise(left.select("node", F.arrays_zip(F.col("ys").alias("y"), F.col("gs").alias("g")).alias("others")))
 
-def jaccard_components(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of df (doc_id, text)."""
-    docs = df.select("doc_id", "text")
-    known = docs.where(F.col("doc_id").isNotNull())
+
+def _verified(asks: DataFrame, docs: DataFrame, nodes: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(a, b) links of asks (node, others): of each component g of `others` (y, g) one link of a block is enough."""
+    near = _checked(materialise(asks), docs, nodes, True, block_chars)
+    # the blocks' lists of a node are one again
+    near = materialise(near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")))
+    links = _checked(near, docs, nodes, False, block_chars)
+    return links.select(F.col("node").alias("a"), F.explode("others.y").alias("b"))
+
+
+def _classes(known: DataFrame, broadcast_bytes: int, chunk: int, block_chars: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of all rows with a doc_id, and (node, rep, owner, component_id): a class's smallest doc_id and the node that has it."""
     sets = materialise(_sets(known))
     nodes = materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH))))
     largest = nodes.agg(F.max("n")).first()[0] or 0
@@ -292,33 +584,56 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     ends = F.array(*map(F.lit, edges))
     share = dict(nodes.groupBy((F.size(F.filter(ends, lambda e: e <= F.col("n"))) - 1).alias("band")).count().collect())
     schemes = {k: s for k in range(len(edges) - 1) if share.get(k) and (s := plan(k, edges[k], edges[k + 1] - 1, share[k] + share.get(k + 1, 0)))}
+    labels = None
     if schemes:
-        # all members of buckets with more than one node, and the smallest of each bucket
-        signed = _signed(known, schemes, edges)
-        bucket = Window.partitionBy("sig")
-        members = materialise(signed.withColumns({"hub": F.min("node").over(bucket), "top": F.max("node").over(bucket)}).where(F.col("hub") != F.col("top")).select("sig", "node", "hub"))
-        stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("anode"), F.col("node").alias("bnode")).distinct()
-        stars = materialise(stars.join(_as(nodes, "a"), "anode").join(_as(nodes, "b"), "bnode").where(_near("a", "b")).select("anode", "bnode", "arep", "brep"))
-        links = materialise(_verified(stars, known))
-        labels = spread_labels(links, nodes.select("node", F.col("rep").alias("label")))
+        expected = sum((share[k] + share.get(k + 1, 0)) * s.segments for k, s in schemes.items())
+        members = materialise(_members(known, Bitmap.of(nodes, "rep", sum(share.values())), schemes, edges, expected, broadcast_bytes))
+        hubs = members.groupBy("sig").agg(F.min("node").alias("anode"))
+        stars = members.join(hubs, "sig").where(F.col("node") != F.col("anode")).select("anode", F.col("node").alias("bnode")).distinct()
+        stars = stars.join(_as(nodes, "a"), "anode").join(_as(nodes, "b"), "bnode").where(_near("a", "b")).select("anode", "bnode")
+        links = _verified(stars.groupBy(F.col("bnode").alias("node")).agg(F.collect_set(F.struct(F.col("anode").alias("y"), F.col("anode").alias("g"))).alias("others")), known, nodes, block_chars)
+        labels = spread_labels(links)
         # buckets that hold several components still
-        labelled = members.select("sig", "node").distinct().join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = labelled.withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)}).where(F.col("low") != F.col("high")).drop("low", "high")
-        mixed = materialise(mixed)
-        a, b = _as(mixed, "a"), _as(mixed, "b")
-        across = a.join(b, (F.col("asig") == F.col("bsig")) & (F.col("anode") < F.col("bnode")) & (F.col("alabel") != F.col("blabel")) & _near("a", "b")).select("anode", "bnode", "arep", "brep").distinct()
-        across = materialise(across.join(stars.select("anode", "bnode"), ["anode", "bnode"], "left_anti"))
-        if across.limit(1).count():
-            labels = spread_labels(links.union(_verified(across, known)), nodes.select("node", F.col("rep").alias("label")))
-    else:
-        labels = nodes.select("node", F.col("rep").alias("label")).limit(0)
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        labelled = members.join(labels, "node", "left").select("sig", "node", "tag", F.coalesce("label", "node").alias("label"))
+        several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where(F.col("low") != F.col("high")).select("sig", "m")
+        mixed = materialise(labelled.join(several, "sig"))
+        crowded = mixed.where(F.col("m") > hot)
+        bound = crowded.groupBy("node", "tag").agg(F.count_distinct("sig").alias("crowds")).where(F.col("crowds") >= F.shiftright("tag", 1)).drop("crowds")
+        mixed = mixed.where(F.col("m") <= hot).unionByName(crowded.join(bound, ["node", "tag"], "left_semi"))
+        more = _verified(_asks(mixed, nodes, chunk), known, nodes, block_chars)
+        if more.limit(1).count():
+            labels = spread_labels(links.union(more))
+    named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else nodes.select("node", "rep", F.col("node").alias("label"))
+    named = materialise(named)
+    owners = named.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("first"))
+    return sets.select("doc_id", "n", "node"), named.join(owners, "label").select("node", "rep", F.col("first.node").alias("owner"), F.col("first.rep").alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, chunk: int = CHUNK, block_chars: int = BLOCK_CHARS, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of df (doc_id, text)."""
+    docs = df.select("doc_id", "text")
+    sets, classes = _classes(docs.where(F.col("doc_id").isNotNull()), broadcast_bytes, chunk, block_chars, hot)
+    out = sets.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.where(F.col("doc_id").isNull())
     rest = _sets(nameless).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
 
+def without_copies(df: DataFrame) -> DataFrame:
+    """df's rows less those of every class's other documents: the smallest doc_id's row stays, with all its columns.
+
+    Rows with null doc_id and rows without words stay. A doc_id with several texts loses only the texts that are near
+    another document's (or, of two near texts of its own, one); equal rows of what stays all stay.
+    """
+    sets, classes = _classes(df.select("doc_id", "text").where(F.col("doc_id").isNotNull()), BROADCAST_BYTES, CHUNK, BLOCK_CHARS, HOT)
+    stays = (F.col("node") == F.col("owner")) & (F.col("doc_id") == F.col("component_id"))
+    gone = sets.join(classes, "node").where(~stays).select("doc_id", "node").distinct()
+    node, key = fresh_name(df, "node"), fresh_name(df, "key")
+    gone = materialise(gone).select(F.col("doc_id").alias(key), F.col("node").alias(node + "_"))
+    named = _named(df, node)
+    return named.join(gone, (F.col("doc_id") == F.col(key)) & (F.col(node) == F.col(node + "_")), "left_anti").select(*df.columns)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
