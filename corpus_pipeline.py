@@ -6,9 +6,13 @@ cuts texts, and clean documents stay:
 
 * toxicity drops documents that score THRESHOLD or more (rows with null text score as empty ones);
 * line dedup cuts long lines that three documents share from all but the last of them, and counts n_chars anew;
-* Jaccard join keeps the smallest doc_id of each group of near copies (rows with null doc_id stay);
+* Jaccard join keeps the smallest doc_id of each group of near copies (rows with null doc_id or no words stay, and so
+  does a text of a repeated doc_id that is near no other document's);
 * decontamination cuts occurrences of benchmark windows, and drops documents that are mostly made of them;
 * BPE encodes what is left.
+
+Null texts are empty ones throughout and stay null; empty tables pass through; repeated rows share their document's fate,
+row by row; further columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,15 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import op1_toxicity, op4_bpe, op7_decontaminate, op9_jaccard, op10_lines
-from weft.llm.common import materialise, table
+from weft.llm.common import fresh_name, materialise, table
 
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op1_toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = op1_toxicity.score_documents(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < op1_toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh_name(docs, "toxicity")
+    scored = op1_toxicity.score_documents(docs, model, name)
+    return scored.where(F.col(name) < op1_toxicity.THRESHOLD).select(*docs.columns)
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,13 +38,11 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(op10_lines.dedup_lines(docs), docs.columns)
+    return _recounted(op10_lines.dedup_lines(docs, counts=False), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = op9_jaccard.jaccard_components(docs)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return op9_jaccard.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
