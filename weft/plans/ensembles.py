@@ -10,6 +10,7 @@ from weft.functions.randomness import uniform, uniform_sql
 from weft.operators import attribution, binning, conversion, forest
 from weft.operators import grids as G
 from weft.operators import ngrams as N
+from weft.plans import forest_sql as S
 from weft.plans import learning as L
 from weft.plans import models as M
 from weft.sources.tables import load
@@ -219,15 +220,23 @@ def s27(spark, d):
 
 
 _CUT = "SELECT tree::INT AS tree, "
+_PATH = S.AVERAGE_PATH
+_ISO = _STUMP + f", c AS (SELECT {_PATH.format('m')} AS c FROM (SELECT avg(s)::DOUBLE AS m FROM (SELECT tree, sum(n) AS s FROM lf GROUP BY tree)))"
+#: A forest's thresholds by feature, halved until there are enough brackets.
+_HARVEST = L._FO + L._FR.format(3) + S.grown(3, split="random", task="regression") + """, cut AS (SELECT feature, list_sort(list_distinct(list(round(threshold, 10)))) AS e FROM nd WHERE feature IS NOT NULL GROUP BY 1),
+e0 AS (SELECT feature, CASE WHEN coalesce(len(e), 0) < 2 THEN [lo, hi] ELSE e END AS e FROM (SELECT feature, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM fv GROUP BY 1) LEFT JOIN cut USING (feature)),
+""" + ", ".join(f"e{k + 1} AS (SELECT feature, CASE WHEN len(e) - 1 < 8 THEN {L._MIDDLES.format('e')} ELSE e END AS e FROM e{k})" for k in range(3)) + " SELECT feature::INT AS feature, (k - 1)::INT AS k, e[k] AS edge FROM e3, unnest(range(1, len(e) + 1)) AS u(k)"
+
+
 _CASES = {
     "m07": (m07, _STUMP + _CUT + "key, node::BIGINT AS node FROM go"),
     "m08": (m08, _STUMP + _CUT + "node::BIGINT AS node, n, round(ones / n, 9) AS share FROM lf"),
     "m09": (m09, _STUMP + _CUT + "node::BIGINT AS node, round(1 + CASE WHEN n <= 1 THEN 0.0::DOUBLE WHEN n = 2 THEN 1.0 ELSE 2.0::DOUBLE * (ln(greatest(n, 3) - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (n - 1) / n END, 6) AS length FROM lf"),
     "m15": (m15, _STUMP + "SELECT key, CASE WHEN round(avg(ones / n), 9) > round(avg(1 - ones / n), 9) THEN 1 ELSE 0 END AS predicted FROM go JOIN lf USING (tree, node) GROUP BY key"),
-    "m17": (m17, None),
+    "m17": (m17, _ISO + f"SELECT key, round(pow(2, -avg(1 + {_PATH.format('n')}) / max(c)) - 0.5, 6) AS decision FROM go JOIN lf USING (tree, node), c GROUP BY key"),
     "m20": (m20, _STUMP + "SELECT key, round(round(avg(ones / n), 9), 7) AS p FROM go JOIN lf USING (tree, node) GROUP BY key HAVING sum(ones) > 0"),
     "m22": (m22, _STUMP + "SELECT 'mondrian' AS kind, tree::INT AS tree, node::BIGINT AS node, n FROM lf UNION ALL SELECT 'mondrian', tree::INT, 1, sum(n)::BIGINT FROM lf GROUP BY tree"),
-    "m24": (m24, None),
+    "m24": (m24, _ISO + _CUT + f"node::BIGINT AS node, round(1 + {_PATH.format('n')}, 6) AS length, round(c, 6) AS c FROM lf, c"),
     "m26": (m26, _STUMP + _CUT + "node::BIGINT AS node, feature::INT AS feature, round(CASE WHEN node = 3 THEN threshold END, 6) AS lo, round(CASE WHEN node = 2 THEN threshold END, 6) AS hi FROM lf JOIN st USING (tree)"),
     "m28": (m28, _STUMP + _CUT + "round(sum(ones) / sum(n), 9) AS expected FROM lf GROUP BY tree"),
     "m31": (m31, _STUMP + ", b AS (SELECT tree, sum(ones) / sum(n) AS e FROM lf GROUP BY tree) SELECT key, round(avg(ones / n - e), 6) AS phi FROM go JOIN lf USING (tree, node) JOIN b USING (tree) GROUP BY key"),
@@ -240,7 +249,7 @@ _CASES = {
     "b16": (b16, f"WITH {L._LONG}, {L._QEDGES} SELECT feature, (k - 1)::INT AS k, edges[k] AS edge FROM qedges, unnest(range(1, len(edges) + 1)) AS u(k)"),
     "b18": (b18, f"WITH {L._LONG}, {L._QEDGES} SELECT feature, len(edges)::INT AS width, (sum(len(edges)) OVER (ORDER BY feature))::BIGINT AS upto FROM qedges"),
     "b19": (b19, _STUMP + "SELECT feature::INT AS feature, count(DISTINCT round(threshold, 6))::INT AS n, min(round(threshold, 6)) AS least FROM st GROUP BY feature"),
-    "b21": (b21, None),
+    "b21": (b21, _HARVEST),
     "l05": (l05, M._L + f", t AS (SELECT a, sum(c) AS t, count(*) AS f FROM bi GROUP BY a) SELECT a AS ctx, w AS word, round(greatest(c - {M.D}::DOUBLE, 0) / t, 9) AS alpha, round({M.D}::DOUBLE * f / t, 9) AS gamma FROM bi JOIN t USING (a)"),
     "l07": (lambda s, d: M._scored(s, d).groupBy("id").agg(F.count_if(F.col("p") > 0).alias("seen"), F.count_if((F.col("p") >= 0) & (F.col("p") <= 1)).alias("n")), M._SCORE + "SELECT id, count(*) FILTER (p > 0) AS seen, count(*) AS n FROM s GROUP BY id"),
     "l13": (l13, M._L + "SELECT (SELECT count(*) FROM uni) + (SELECT count(*) FROM bi) AS n, 0::BIGINT AS largest, 0.0::DOUBLE AS mean"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.randomness import uniform, uniform_sql
 from weft.operators import binning as B
 from weft.operators import boosting, forest
+from weft.plans import forest_sql as S
 from weft.sources.tables import load
 
 BINS = 16
@@ -320,6 +321,25 @@ def m40(spark, d):
     return auc.join(F.broadcast(rest))
 
 
+_FO = "WITH fo AS (SELECT l_orderkey AS key, sum(l_quantity) AS q, max(l_extendedprice) AS p, max(l_tax) AS t, CASE WHEN max(l_returnflag) = 'R' THEN 1 ELSE 0 END AS y FROM lineitem GROUP BY 1), fv AS (SELECT key, unnest([0, 1, 2]) AS feature, unnest([q, p, t]) AS v FROM fo), "
+_FR = "fr AS (SELECT tree, key, 1 AS weight, y FROM fo, range({0}) t(tree)), "
+_DEEP = _FO + _FR.format(3) + S.grown(3)
+_BAG = f"bn AS (SELECT count(*) AS n FROM fo), bi AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i_of FROM fo), bd AS (SELECT tree, floor({uniform_sql(42, 'tree', 'draw')} * n)::BIGINT AS i FROM bn, range(4) t(tree), unnest(range(n)) AS u(draw)), bw AS (SELECT tree, i, count(*) AS weight FROM bd GROUP BY ALL), fr AS (SELECT t.tree AS tree, key, coalesce(weight, 0) AS weight, y FROM range(4) t(tree) CROSS JOIN (fo JOIN bi USING (key)) LEFT JOIN bw ON bw.tree = t.tree AND bw.i = i_of), "
+_EVENTS = f"WITH ev AS (SELECT event_id AS key, value, hour(ts)::DOUBLE AS h FROM events), fv AS (SELECT key, unnest([0, 1]) AS feature, unnest([value, h]) AS v FROM ev), fr AS (SELECT tree, key, (row_number() OVER (PARTITION BY tree ORDER BY {uniform_sql(42, 'tree', 'key')}, key) <= 256)::INT AS weight, 0 AS y FROM ev, range(5) t(tree)), "
+#: Brackets of a value over edges: shares of the two ends of the first one of some width that holds it, one at an end outside.
+_ENCODED = f"""WITH {_LONG}, {_QEDGES.replace(f"range({BINS})", "range(8)").replace(f"/ {BINS}.0", "/ 8.0")},
+el AS (SELECT feature, (k - 1) AS k, edges[k] AS lo, edges[k + 1] AS hi, len(edges) AS m FROM qedges, unnest(range(1, len(edges) + 1)) AS u(k)),
+ex AS (SELECT feature, v, count(*) AS c FROM long GROUP BY ALL),
+inside AS (SELECT feature, v, c, m, k, (hi - v) / (hi - lo) AS a, (v - lo) / (hi - lo) AS b FROM ex JOIN el USING (feature) WHERE hi > lo AND v >= lo AND v <= hi QUALIFY row_number() OVER (PARTITION BY feature, v ORDER BY k) = 1),
+share AS (SELECT feature, k, c, a AS w FROM inside UNION ALL SELECT feature, k + 1, c, b FROM inside
+  UNION ALL SELECT feature, CASE WHEN v < min(lo) OR NOT bool_or(coalesce(hi > lo, false)) THEN 0 ELSE any_value(m) - 1 END, c, 1.0 FROM ex JOIN el USING (feature) WHERE (feature, v) NOT IN (SELECT (feature, v) FROM inside) GROUP BY feature, v, c)
+SELECT feature, el.k::INT AS k, round(coalesce(sum(w::DECIMAL(20,8) * c), 0)::DOUBLE, 3) AS w, coalesce(sum(c) FILTER (w > 0), 0)::BIGINT AS n FROM el LEFT JOIN share USING (feature, k) GROUP BY ALL"""
+_MIDDLES = "list_sort(list_distinct(list_concat({0}, list_transform(range(1, len({0})), lambda i: ({0}[i] + {0}[i + 1]) / 2))))"
+_DENSE = f"""WITH {_LONG}, {_QEDGES.replace(f"range({BINS})", "range(4)").replace(f"/ {BINS}.0", "/ 4.0")},
+one AS (SELECT feature, {_MIDDLES.format("edges")} AS e FROM qedges), two AS (SELECT feature, {_MIDDLES.format("e")} AS e FROM one)
+SELECT feature, (k - 1)::INT AS k, e[k] AS edge FROM two, unnest(range(1, len(e) + 1)) AS u(k)"""
+
+
 _CASES = {
     "b01": (b01, _WITH + "SELECT feature, bin, count(*) AS count FROM binned GROUP BY ALL"),
     "b02": (b02, f"WITH {_LONG}, {_QEDGES} SELECT feature, (k - 1)::INT AS k, edges[k] AS edge FROM qedges, unnest(range(1, len(edges) + 1)) AS u(k)"),
@@ -338,8 +358,8 @@ _CASES = {
     "b15": (b15, _B14 + " SELECT key AS l_orderkey, pred FROM p2"),
     "b14_classes": (b14_classes, _B14C + "".join(f" {'UNION ALL' if k else ''} SELECT {k} AS round, class, node, feature, bin, n, floor(value * 1000 + 0.5::DOUBLE) / 1000 AS value FROM n{k}" for k in (0, 1))),
     "b15_classes": (b15_classes, _B14C + ", f AS (SELECT key, class, pred, exp(pred) / sum(exp(pred)) OVER (PARTITION BY key) AS p FROM p2) SELECT key AS l_orderkey, arg_min(class, (-pred, class))::INT AS predicted, " + ", ".join(f"floor(max(p) FILTER (class = {k}) * 1000 + 0.5::DOUBLE) / 1000 AS p{k}" for k in range(3)) + " FROM f GROUP BY key"),
-    "b17": (b17, None),
-    "b20": (b20, None),
+    "b17": (b17, _ENCODED),
+    "b20": (b20, _DENSE),
     "b23": (b23, f"WITH {_LONG}, {_QEDGES} SELECT sum(len(edges))::BIGINT AS width, (count(*) * {BINS + 1})::BIGINT AS nominal FROM qedges"),
     "b24": (lambda s, d: load(s, d, "part").select("p_partkey", B.threshold_class(F.col("p_size") / 50, [0.2, 0.4, 0.5, 0.7, 0.9], ["deep", "shallow", "coast", "grass", "hill", "peak"]).alias("terrain")), "SELECT p_partkey, CASE WHEN p_size / 50 < 0.2 THEN 'deep' WHEN p_size / 50 < 0.4 THEN 'shallow' WHEN p_size / 50 < 0.5 THEN 'coast' WHEN p_size / 50 < 0.7 THEN 'grass' WHEN p_size / 50 < 0.9 THEN 'hill' ELSE 'peak' END AS terrain FROM part"),
     "b25": (b25, f"SELECT p_partkey, {_ramp(1)} AS r, {_ramp(2)} AS g, {_ramp(3)} AS b FROM (SELECT p_partkey, p_size / 50 AS v FROM part)"),
@@ -354,15 +374,15 @@ _CASES = {
     "m01": (lambda s, d: load(s, d, "lineitem").groupBy("l_orderkey").count().select("l_orderkey", F.round(forest.average_path(F.col("count")), 9).alias("c")), "SELECT l_orderkey, round(CASE WHEN n <= 1 THEN 0.0::DOUBLE WHEN n = 2 THEN 1.0 ELSE 2.0::DOUBLE * (ln(greatest(n, 3) - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (n - 1) / n END, 9) AS c FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)"),
     "m03": (m03, _M03),
     "m04": (m04, f"WITH {_FROWS} SELECT tree::INT AS tree, feature::INT AS feature, round(threshold, 6) AS threshold FROM ft QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {uniform_sql(43, 'tree', '1', 'feature')}, feature) = 1"),
-    "m05": (m05, None),
-    "m06": (m06, None),
+    "m05": (m05, _DEEP + "SELECT tree::INT AS tree, node::BIGINT AS node, depth, feature::INT AS feature, round(threshold, 6) AS threshold, n::BIGINT AS n FROM nd"),
+    "m06": (m06, _FO + _FR.format(2) + S.grown(3, split="mondrian", lifetime=1.0) + "SELECT tree::INT AS tree, node::BIGINT AS node, depth, feature::INT AS feature, round(threshold, 6) AS threshold, n::BIGINT AS n, round(mean, 6) AS mean FROM nd"),
     "m10": (m10, f"WITH o AS (SELECT DISTINCT o_orderkey FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM o), n AS (SELECT count(*) AS n FROM o), dr AS (SELECT tree, floor({uniform_sql(42, 'tree', 'dd')} * n)::BIGINT AS i FROM n, range(2) t(tree), unnest(range(n)) AS u(dd)) SELECT tree::INT AS tree, o_orderkey, count(*) AS weight FROM dr JOIN r USING (i) GROUP BY ALL"),
     "m11": (m11, f"SELECT tree::INT AS tree, o_orderkey FROM orders, range(3) t(tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {uniform_sql(42, 'tree', 'o_orderkey')}, o_orderkey) <= 256"),
-    "m12": (m12, None),
+    "m12": (m12, _FO + _BAG + S.grown(4) + "SELECT key, CASE WHEN round(sum(mean) / 4, 9) > round(sum(1 - mean) / 4, 9) THEN 1 ELSE 0 END AS predicted FROM leaf JOIN nd USING (tree, node) GROUP BY key"),
     "m13": (lambda s, d: load(s, d, "lineitem").join(F.broadcast(load(s, d, "lineitem").select("l_returnflag").distinct().withColumn("class", F.dense_rank().over(Window.orderBy("l_returnflag")) - 1)), "l_returnflag").groupBy("l_orderkey", "class").count(), "SELECT l_orderkey, (dr - 1)::INT AS class, count(*) AS count FROM (SELECT l_orderkey, dense_rank() OVER (ORDER BY l_returnflag) AS dr FROM lineitem) GROUP BY ALL"),
-    "m14": (m14, None),
-    "m16": (m16, None),
-    "m25": (m25, None),
+    "m14": (m14, _DEEP + ", p AS (SELECT key, class, CASE class WHEN 1 THEN mean ELSE 1 - mean END AS p FROM leaf JOIN nd USING (tree, node), range(2) c(class)) SELECT key, class::INT AS class, round(sum(p) / 3, 9) AS p FROM p GROUP BY ALL HAVING sum(p) > 0"),
+    "m16": (m16, _EVENTS + S.grown(8, split="random", task="regression") + f"SELECT key, round(pow(2, -avg(depth + {S.AVERAGE_PATH.format('n')}) / ({S.AVERAGE_PATH.format('256')})), 6) AS score FROM leaf JOIN nd USING (tree, node) GROUP BY key"),
+    "m25": (m25, _DEEP + ", lr AS (SELECT tree, node, row_number() OVER (PARTITION BY tree ORDER BY rpad(bin(node), 64, '0'), depth) - 1 AS rank FROM nd WHERE feature IS NULL) SELECT key, tree::INT AS tree, (tree * 8 + rank)::INT AS column FROM leaf JOIN lr USING (tree, node)"),
     "m36": (m36, f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {uniform_sql(36, 'o_orderkey')}, o_orderkey) <= greatest(1, floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.25)) AS validation FROM orders"),
     "m40": (m40, "WITH s AS (SELECT (l_extendedprice > 40000)::INT AS y, l_quantity AS s FROM lineitem), r AS (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM s) SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc, round(avg(((s > 25)::INT = y)::INT), 9) AS accuracy, round(avg(pow(s - y, 2)), 6) AS mse FROM r"),
 }
