@@ -196,9 +196,11 @@ _B14C = _CROWS + _BINS_CTE + _tree_sql(0, 2, True, 0.3) + _tree_sql(1, 2, True,
 
 
 def b17(spark, d):
+    """Weights of the encoding summed by column; each distinct value is encoded once."""
     long = _long(spark, d)
-    enc = long.join(F.broadcast(B.quantile_edges(long, 8, few_rule=False)), "feature")
-    return enc.select("feature", F.posexplode(B.piecewise_linear(F.col("v"), F.col("edges"))).alias("k", "w")).groupBy("feature", "k").agg(F.round(F.sum(F.col("w").cast("decimal(20,8)")).cast("double"), 3).alias("w"), F.count_if(F.col("w") > 0).alias("n"))
+    enc = long.groupBy("feature", "v").count().join(F.broadcast(B.quantile_edges(long, 8, few_rule=False)), "feature")
+    told = enc.select("feature", "count", F.posexplode(B.piecewise_linear(F.col("v"), F.col("edges"))).alias("k", "w"))
+    return told.groupBy("feature", "k").agg(F.round(F.sum(F.col("w").cast("decimal(20,8)") * F.col("count")).cast("double"), 3).alias("w"), F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("count"))), F.lit(0)).alias("n"))
 
 
 def b20(spark, d):

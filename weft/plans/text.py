@@ -75,9 +75,9 @@ _F23 = "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN lower(
 
 
 def r01(spark, d):
-    """Tag scores of documents for the words of each brand."""
+    """Tag scores of documents for the names of regions and the first words of all benchmark items."""
     docs = load(spark, d, "documents").select("doc_id", "text")
-    tags = spark.createDataFrame([], "tag string").unionByName(load(spark, d, "region").select(F.lower("r_name").alias("tag"))).unionByName(load(spark, d, "benchmark").orderBy("item_id").limit(10).select(F.element_at(X.words("text"), 1).alias("tag"))).where("tag is not null").distinct()
+    tags = spark.createDataFrame([], "tag string").unionByName(load(spark, d, "region").select(F.lower("r_name").alias("tag"))).unionByName(load(spark, d, "benchmark").select(F.element_at(X.words("text"), 1).alias("tag"))).where("tag is not null").distinct()
     return ranking.tag_scores(docs, tags, "doc_id")
 
 
@@ -85,8 +85,12 @@ def t01(spark, d):
     return ranking.top_by(r01(spark, d).where("score > 0"), ["score"], ["doc_id"], 3).select("doc_id", "score")
 
 
-_TAGS = "tags AS (SELECT DISTINCT tag FROM (SELECT lower(r_name) AS tag FROM region UNION ALL SELECT regexp_extract(lower(text), '[a-z]+') FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 10)) WHERE tag <> '')"
-_R01 = f"WITH {_TAGS}, w AS (SELECT doc_id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM documents) SELECT doc_id, sum(CASE WHEN list_contains(ws, tag) THEN 1.0 + least(0.5 * ((length(t) - length(replace(t, tag, ''))) // length(tag)), 2.0) ELSE 0.0 END)::DOUBLE AS score FROM w, tags GROUP BY doc_id"
+_TAGS = "tags AS (SELECT DISTINCT tag FROM (SELECT lower(r_name) AS tag FROM region UNION ALL SELECT regexp_extract(lower(text), '[a-z]+') FROM benchmark) WHERE tag <> '')"
+_R01 = f"""WITH {_TAGS}, wl AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents),
+w AS (SELECT doc_id, t, list_distinct(l) AS ws, list_distinct(list_transform(list_zip(l[:-2], l[2:]), lambda p: p[1] || '_' || p[2])) AS two FROM wl),
+tl AS (SELECT tag, regexp_extract_all(tag, '[a-z]+') AS l FROM tags), g AS (SELECT tag, list_transform(list_zip(l[:-2], l[2:]), lambda p: p[1] || '_' || p[2]) AS pairs FROM tl)
+SELECT doc_id, sum(CASE WHEN list_contains(ws, tag) THEN 1.0 + least(0.5 * ((length(t) - length(replace(t, tag, ''))) // length(tag)), 2.0) ELSE 0.0 END
+  + CASE WHEN len(pairs) > 0 THEN 2.0 * len(list_filter(pairs, lambda p: list_contains(two, p))) ELSE 0.0 END)::DOUBLE AS score FROM w, g GROUP BY doc_id"""
 
 
 def r02(spark, d):
