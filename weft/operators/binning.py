@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.storage import materialise
+
 
 def long_form(df: DataFrame, key: list[str], features: list[str]) -> DataFrame:
     """(key, feature, v): one row for each value."""
@@ -25,15 +27,26 @@ def uniform_bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 def quantile_edges(long: DataFrame, bins: int, few_rule: bool = True) -> DataFrame:
     """(feature, edges): exact nearest-rank quantiles, repeats of the edge before dropped, and the largest value at the end in any case.
 
-    With few_rule a feature of at most `bins` rows has all its distinct values instead. Values are counted
-    before they are ranked, so that one partition of a feature's window holds distinct values, not rows.
+    With few_rule a feature of at most `bins` rows has all its distinct values instead. Values are counted, dealt into
+    ranges and written; ranks within a range start from the counts of the ranges before it, so that no task ranks a
+    whole feature.
     """
     counted = long.groupBy("feature", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("feature").orderBy("v")
-    ranked = counted.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy("feature")), "hi": F.max("v").over(Window.partitionBy("feature"))})
+    dealt = materialise(counted.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("feature", "part").agg(F.sum("c").alias("size"), F.max("v").alias("top"))
+    # a row for each range
+    whole = Window.partitionBy("feature")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("feature", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(whole).alias("n"), F.max("top").over(whole).alias("hi"))
     # a value covers ranks upto - c .. upto - 1; wanted ranks are bround(i * (n - 1) / bins)
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(float(bins))).cast("bigint"))
-    hit = F.exists(wanted, lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto")))
+    within = Window.partitionBy("feature", "part").orderBy("v")
+    ranked = dealt.join(F.broadcast(starts), ["feature", "part"]).withColumn("upto", F.col("start") + F.sum("c").over(within))
+    first = F.ceil((F.col("upto") - F.col("c") - 0.5) * bins / (F.col("n") - 1)) - 1
+    near = F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda k: F.bround((first + k) * (F.col("n") - 1) / F.lit(float(bins))).cast("bigint"))
+    asked = F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda k: (first + k >= 0) & (first + k <= bins - 1))
+    covers = F.exists(F.arrays_zip(near.alias("r"), asked.alias("a")), lambda x: x["a"] & (x["r"] >= F.col("upto") - F.col("c")) & (x["r"] < F.col("upto")))
+    # one row has rank 0 for all wanted ranks; a value with many rows may cover several, one of which is among the first
+    hit = F.when(F.col("n") == 1, F.lit(True)).otherwise(covers)
     keep = (hit | (F.col("n") <= bins)) if few_rule else hit
     edges = ranked.where(keep).groupBy("feature", "n", "hi").agg(F.sort_array(F.collect_list("v")).alias("e"))
     return edges.select("feature", F.array_append("e", F.col("hi")).alias("edges"))

@@ -200,7 +200,7 @@ def b17(spark, d):
     long = _long(spark, d)
     enc = long.groupBy("feature", "v").count().join(F.broadcast(B.quantile_edges(long, 8, few_rule=False)), "feature")
     told = enc.select("feature", "count", F.posexplode(B.piecewise_linear(F.col("v"), F.col("edges"))).alias("k", "w"))
-    return told.groupBy("feature", "k").agg(F.round(F.sum(F.col("w").cast("decimal(20,8)") * F.col("count")).cast("double"), 3).alias("w"), F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("count"))), F.lit(0)).alias("n"))
+    return told.groupBy("feature", "k").agg(F.round(F.sum(F.col("w").cast("decimal(18,8)") * F.col("count").cast("decimal(15,0)")).cast("double"), 3).alias("w"), F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("count"))), F.lit(0)).alias("n"))
 
 
 def b20(spark, d):
