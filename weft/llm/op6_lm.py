@@ -8,7 +8,8 @@ each entry, however many there are. Pages of BROADCAST_BYTES together at most ar
 packed to their page by page number (salted, a bounded number to a task) and levels travel back to the texts.
 
 The score of a text is the log10 probability of its words and its end under p(w|v) = (c(vw) + M q(w)) / (c(v) + M) with
-q(w) = (c(w)+1)/(N+V+1) and probed counts (M: WEIGHT). base_score takes exact counts: tokens with at least N/HEAD occurrences, of which
+q(w) = (c(w)+1)/(N+V+1) and probed counts (M: WEIGHT). A level stands for its least count above the line and for its most
+below it, so that without false probes the shares after a word sum to at most one. base_score takes exact counts: tokens with at least N/HEAD occurrences, of which
 there can be HEAD at most, are broadcast; rarer tokens are joined by hash, where no key has more than a HEAD-th of all.
 
 Tokens are 64-bit hashes of words. Null texts are empty: one token, the end. Rows with null doc_id are scored, not
@@ -32,8 +33,6 @@ from weft.llm.common import crc_class, materialise, mix, table, text_blocks, wor
 MODULUS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D3A51E01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Pairs are stored from the first sighting on, as words are.
-LEAST_PAIR = 1
 BITS_PER_ENTRY, PROBES = 12, 6
 #: Pages of both filters together are broadcast up to this size.
 BROADCAST_BYTES = 1 << 26
@@ -210,8 +209,12 @@ class CountFilter:
             out[live] = k
         return out
 
+    def read(self, h: np.ndarray) -> np.ndarray:
+        """Levels of n-grams."""
+        return self.levels(page_of(h, self.count), key_of(h))
+
     def probe(self, h: np.ndarray) -> np.ndarray:
-        return middle(self.levels(page_of(h, self.count), key_of(h)), self.least)
+        return middle(self.read(h), self.least)
 
 
 def middle(levels: np.ndarray, least: int) -> np.ndarray:
@@ -219,6 +222,16 @@ def middle(levels: np.ndarray, least: int) -> np.ndarray:
     return np.where(levels > 0, least * 0.5 * (2.0 ** (levels - 1) + np.maximum(2.0**levels - 1, 2.0 ** (levels - 1))), 0.0)
 
 
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level, 0 for level 0."""
+    return np.where(levels > 0, 2.0 ** (levels - 1), 0.0)
+
+
+def most_count(levels: np.ndarray) -> np.ndarray:
+    """The most that each level's count can be."""
+    return 2.0**levels - 1
+
+
 def filter_pages(entries: DataFrame, least: int) -> DataFrame:
     """(page, bytes) of entries (page, entries): every page is counted and built in one task, which holds some PAGE_TOKENS tokens' n-grams."""
 
@@ -246,11 +259,11 @@ class Sought:
         self.place, self.known = place, self.words[place] == before
         self.pairs, self.pair_back = np.unique(pair_hash(before, tokens), return_inverse=True)
 
-    def log10(self, count: np.ndarray, pair_count: np.ndarray, size: int) -> np.ndarray:
-        """log10 probability of each row; size: tokens and distinct tokens learned from."""
-        cv = np.where(self.known, count[self.place], 0.0)
-        low = (count[self.back] + 1) / (size + 1)
-        p = (np.minimum(pair_count[self.pair_back], cv) + WEIGHT * low) / (cv + WEIGHT)
+    def log10(self, levels: np.ndarray, pair_levels: np.ndarray, size: int) -> np.ndarray:
+        """log10 probability of each row by the levels of words and pairs; size: tokens and distinct tokens learned from."""
+        cv = np.where(self.known, most_count(levels)[self.place], 0.0)
+        low = (least_count(levels)[self.back] + 1) / (size + 1)
+        p = (np.minimum(least_count(pair_levels)[self.pair_back], cv) + WEIGHT * low) / (cv + WEIGHT)
         return np.add.reduceat(np.log10(p), self.at[:-1]) if len(self.at) > 1 else np.zeros(0)
 
 
@@ -263,13 +276,12 @@ class FilterModel:
     def log10(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each row of tokens."""
         sought = Sought(tokens, at)
-        return sought.log10(self.words.probe(sought.words), self.pairs.probe(sought.pairs), self.total + self.distinct)
+        return sought.log10(self.words.read(sought.words), self.pairs.read(sought.pairs), self.total + self.distinct)
 
 
 def joined_scores(blocks: DataFrame, pages: DataFrame, count: int, salts: int, size: int) -> DataFrame:
     """(row, score) of blocks (block: the number of the first of its rows, tokens, ends), by pages (kind, page, bytes)
     that needn't fit into memory together: probes go to `salts` copies of their page."""
-    least = (1, LEAST_PAIR)
 
     def rows_of(tokens: bytes, ends: bytes) -> Sought:
         return Sought(np.frombuffer(tokens, np.uint64), np.frombuffer(ends, np.int64))
@@ -298,9 +310,9 @@ def joined_scores(blocks: DataFrame, pages: DataFrame, count: int, salts: int, s
         sought = rows_of(blocks["tokens"].iloc[0], blocks["ends"].iloc[0])
         counts = []
         for kind, h in enumerate((sought.words, sought.pairs)):
-            out = np.empty(len(h))
+            out = np.empty(len(h), np.int64)
             told = answers[answers["kind"] == kind].sort_values("page")["levels"]
-            out[by_page(h, count)[0]] = middle(np.frombuffer(b"".join(told), np.uint8).astype(np.int64), least[kind])
+            out[by_page(h, count)[0]] = np.frombuffer(b"".join(told), np.uint8)
             counts.append(out)
         found = sought.log10(*counts, size)
         return pd.DataFrame({"row": int(blocks["block"].iloc[0]) + np.arange(len(found)), "score": found})
@@ -318,9 +330,9 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     words = materialise(word_counts(train))
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     pages = max(8, -(-total // PAGE_TOKENS))
-    built = [materialise(filter_pages(packed_words(words, pages), 1)), materialise(filter_pages(packed_pairs(train, pages), LEAST_PAIR))]
+    built = [materialise(filter_pages(packed_words(words, pages), 1)), materialise(filter_pages(packed_pairs(train, pages), 1))]
     small = sum(x.agg(F.sum(F.length("bytes"))).first()[0] or 0 for x in built) <= BROADCAST_BYTES
-    model = FilterModel(collected(built[0], pages, 1), collected(built[1], pages, LEAST_PAIR), total, distinct) if small else None
+    model = FilterModel(collected(built[0], pages, 1), collected(built[1], pages, 1), total, distinct) if small else None
     often = max(1, total // HEAD)
     head = words.where(F.col("n") >= often).toArrow()
     order = np.argsort(head.column("h").to_numpy().view(np.uint64))

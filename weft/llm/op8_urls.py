@@ -7,8 +7,10 @@ has the positions whose byte is c, L those at which a wildcard may take c. A bat
 byte. Site rules decide by their longest glob that fits; where none fits, the pattern list decides; else the URL is allowed.
 
 The rule tables are parameters of the call and are broadcast in the closure; their size is that of the lists given.
-Null URLs, or URLs without "://", have an empty host and path, fit no site rule and are allowed. Every row of the
-table gets its row; further columns take no part.
+Null URLs, or URLs without "://", have an empty host and path, fit no site rule and are allowed. URLs are read whole,
+however long: a batch takes as many steps as its longest URL has bytes, each over the URLs that are that long. Of equally
+long rules the first decides. Every row of the table, repeated or not, gets its row; an empty table gives none; further
+columns take no part.
 """
 
 from __future__ import annotations
