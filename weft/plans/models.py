@@ -214,6 +214,19 @@ def x18(spark, d):
     return o.groupBy((F.col("o_orderkey") % 16).alias("y"), (F.col("o_custkey") % 16).alias("x")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("mark"))
 
 
+def _moved(k: int) -> str:
+    """CTE: the seeds after round k, by the middles of the cells that are nearest to them."""
+    return f"""n{k} AS (SELECT y, x, arg_min(k, ((y - sy) * (y - sy) + (x - sx) * (x - sx), k)) AS k FROM grid, s{k} GROUP BY ALL),
+s{k + 1} AS (SELECT s{k}.k, CASE WHEN s{k}.k >= 5 THEN coalesce(my, sy) ELSE sy END AS sy, CASE WHEN s{k}.k >= 5 THEN coalesce(mx, sx) ELSE sx END AS sx FROM s{k} LEFT JOIN (SELECT k, avg(y) AS my, avg(x) AS mx FROM n{k} GROUP BY k) m ON m.k = s{k}.k)"""
+
+
+_G12 = f"WITH {_GRID}, s0 AS (SELECT k, sy::DOUBLE AS sy, sx::DOUBLE AS sx FROM seeds), {_moved(0)}, {_moved(1)}, {_moved(2)} SELECT k, round(sy, 6) AS sy, round(sx, 6) AS sx FROM s3"
+_X11 = f"""WITH RECURSIVE {_GRID}, turn(dy, dx, place) AS (VALUES (-1, 0, 0), (0, 1, 1), (1, 0, 2), (0, -1, 3)),
+low AS (SELECT a.y, a.x, a.v, b.y AS ny, b.x AS nx, b.v AS nv FROM grid a, turn JOIN grid b ON b.y = a.y + dy AND b.x = a.x + dx QUALIFY row_number() OVER (PARTITION BY a.y, a.x ORDER BY b.v, place) = 1),
+walk AS (SELECT y AS y0, x AS x0, y, x, [y * 24 + x] AS seen, false AS wet FROM grid WHERE v >= 0.45
+  UNION ALL SELECT y0, x0, ny, nx, list_append(seen, ny * 24 + nx), nv < 0.45 FROM walk JOIN low USING (y, x) WHERE NOT wet AND nv <= v + 0.03 AND len(seen) <= 48 AND NOT list_contains(seen, ny * 24 + nx))
+SELECT y0, x0, max(len(seen))::INT AS length, bool_or(wet) AS ends_in_water FROM walk GROUP BY ALL"""
+
 _CASES = {
     "g07": (g07, _L + "SELECT 1 AS n, '' AS ctx, w AS word, c FROM uni UNION ALL SELECT 2, a, w, c FROM bi UNION ALL SELECT 3, a || ' ' || b, w, c FROM tri"),
     "g08": (g08, _L + "SELECT 1 AS n, '' AS ctx, w AS word, count(*) AS c FROM bi GROUP BY w UNION ALL SELECT 2, b, w, count(*) FROM tri GROUP BY b, w"),
@@ -237,7 +250,7 @@ _CASES = {
     "p06": (p06, f"WITH {_CUM}, o AS (SELECT o_orderkey, unnest([0, 1, 2]) AS t FROM orders), dr AS (SELECT o_orderkey, t, arg_min(item, upto) AS item FROM (SELECT *, {uniform_sql(42, 'o_orderkey', 't')} AS u FROM o) JOIN (SELECT t, max(upto) AS total FROM cum GROUP BY t) USING (t) JOIN cum USING (t) WHERE upto >= u * total GROUP BY ALL) SELECT o_orderkey, 'A ' || max(item) FILTER (t = 0) || ' from ' || max(item) FILTER (t = 1) || CASE WHEN floor({uniform_sql(7, 'o_orderkey', '1')} * 6) + 1 >= 4 THEN ' with ' || max(item) FILTER (t = 2) ELSE '' END AS text FROM dr GROUP BY o_orderkey"),
     "g10": (lambda s, d: G.tiles(_grid(s, d), 4).select("ty", "tx", F.round("mean", 9).alias("mean"), F.round("centre", 9).alias("centre")), f"WITH {_GRID} SELECT (y // 4)::BIGINT AS ty, (x // 4)::BIGINT AS tx, round(avg(v), 9) AS mean, round(max(v) FILTER (y % 4 = 2 AND x % 4 = 2), 9) AS centre FROM grid GROUP BY ALL"),
     "g11": (lambda s, d: G.region_blend(G.nearest_seed(_grid(s, d), _seeds(s, d))).select("y", "x", "seed", F.round("v", 9).alias("v")), f"WITH {_GRID}, {_NEAR} SELECT y, x, seed, round(0.82::DOUBLE * avg(v) OVER (PARTITION BY seed) + 0.18::DOUBLE * v, 9) AS v FROM near"),
-    "g12": (g12, None),
+    "g12": (g12, _G12),
     "g13": (lambda s, d: G.normalised(_grid(s, d)).select("y", "x", F.round("v", 9).alias("v")), f"WITH {_GRID} SELECT y, x, round((v - (SELECT min(v) FROM grid)) / (SELECT max(v) - min(v) FROM grid), 9) AS v FROM grid"),
     "g14": (g14, f"WITH {_GRID}, n AS (SELECT (v - (SELECT min(v) FROM grid)) / (SELECT max(v) - min(v) FROM grid) AS v FROM grid), p AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM n WHERE v > 0) SELECT round(ln(0.5) / ln(v), 6) AS gamma FROM p WHERE r = ceil(n * 2 / 5)"),
     "x02": (lambda s, d: G.resized(_grid(s, d), 24, 24, 10, 10).select("ty", "tx", F.round("v", 9).alias("v")), f"WITH {_GRID}, t AS (SELECT ty::INT AS ty, tx::INT AS tx, ty / 10.0::DOUBLE * 23 AS fy, tx / 10.0::DOUBLE * 23 AS fx FROM range(10) a(ty), range(10) b(tx)) SELECT ty, tx, round(sum((CASE WHEN dy = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN dx = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) * v), 9) AS v FROM t, range(2) c(dy), range(2) e(dx), grid WHERE y = least(floor(fy) + dy, 23) AND x = least(floor(fx) + dx, 23) GROUP BY ALL"),
@@ -245,7 +258,7 @@ _CASES = {
     "x07": (x07, _REACH + "SELECT y, x, label FROM cls JOIN comp USING (id)"),
     "x08": (x08, _REACH + ", c AS (SELECT * FROM cls JOIN comp USING (id)) SELECT label, count(*) AS cells, bool_or(y = 0 OR x = 0 OR y = 23 OR x = 23) AS touches_edge, (SELECT count(DISTINCT b.label) FROM c a JOIN c b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.class <> b.class WHERE a.label = c.label) AS others FROM c GROUP BY label"),
     "x10": (lambda s, d: G.neighbours(_grid(s, d), G.EIGHT, ["v"]).groupBy("y", "x").agg(F.count("*").alias("n"), F.round(F.min("n_v"), 9).alias("low")), f"WITH {_GRID} SELECT a.y, a.x, count(*) AS n, round(min(b.v), 9) AS low FROM grid a JOIN grid b ON greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1 GROUP BY ALL"),
-    "x11": (x11, None),
+    "x11": (x11, _X11),
     "x13": (lambda s, d: _classes(s, d).where("class = 1").join(G.neighbours(_classes(s, d), G.EIGHT, ["class"]).where("n_class = 0"), ["y", "x"], "left_semi").select("y", "x"), f"WITH {_GRID} SELECT y, x FROM grid a WHERE v >= 0.5 AND EXISTS (SELECT 1 FROM grid b WHERE b.v < 0.5 AND greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1)"),
     "x17": (x17, "SELECT p_partkey, (i % 8)::INT AS col, (i // 8)::INT AS row FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1 AS i FROM part)"),
     "x18": (x18, "SELECT o_orderkey % 16 AS y, o_custkey % 16 AS x, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS mark FROM orders GROUP BY ALL"),

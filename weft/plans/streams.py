@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import markup
 from weft.functions.randomness import uniform
 from weft.operators import attribution, forest
+from weft.plans import forest_sql
 from weft.sources.tables import load
 from weft.streaming import events as S
 
@@ -35,7 +36,7 @@ def z07(spark, d):
 def _rows(spark, d) -> DataFrame:
     line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("s"), F.max("l_tax").alias("t"), F.max("l_extendedprice").alias("p"))
     x = F.array(*(F.col(c).cast("double") for c in ("q", "s", "t")))
-    return line.select(F.col("l_orderkey").alias("key"), x.alias("x"), F.round(F.col("p") / 1000, 4).alias("y"))
+    return line.select(F.col("l_orderkey").alias("key"), x.alias("x"), (F.col("p") / 100).alias("y"))
 
 
 def _forest(rows: DataFrame, trees: int, depth: int, seed: int = 42) -> DataFrame:
@@ -45,15 +46,15 @@ def _forest(rows: DataFrame, trees: int, depth: int, seed: int = 42) -> DataFram
 
 def m32(spark, d):
     rows = _rows(spark, d)
-    return attribution.forest_shap(rows, _forest(rows, 3, 3), "key", 3).select("key", "feature", F.round("phi", 6).alias("phi"))
+    return attribution.forest_shap(rows, _forest(rows, 3, 3), "key", 3).select("key", "feature", (F.floor(F.col("phi") * 1e4 + 0.5) / 1e4).alias("phi"))
 
 
 def m33(spark, d):
-    """Predictions beside the sums of their attributions."""
+    """Predictions, and whether their attributions sum to them."""
     rows = _rows(spark, d)
     nodes = _forest(rows, 3, 3)
-    total = attribution.forest_shap(rows, nodes, "key", 3).groupBy("key").agg(F.round(F.sum("phi"), 4).alias("explained"))
-    return forest.predict_mean(rows, nodes, 3, "key").join(total, "key").select("key", F.round("predicted", 4).alias("predicted"), "explained")
+    total = attribution.forest_shap(rows, nodes, "key", 3).groupBy("key").agg(F.sum("phi").alias("explained"))
+    return forest.predict_mean(rows, nodes, 3, "key").join(total, "key").select("key", "predicted", (F.abs(F.col("predicted") - F.col("explained")) < 1e-5).alias("explained"))
 
 
 def m37(spark, d):
@@ -109,13 +110,24 @@ lines AS (SELECT key, para, k, line FROM steps WHERE k > 0)
 """
 
 
+_SHAP = "WITH fo AS (SELECT l_orderkey AS key, sum(l_quantity) AS q, max(l_discount) AS s, max(l_tax) AS t, (max(l_extendedprice) / 100)::DECIMAL(18,4) AS y FROM lineitem GROUP BY 1), fv AS (SELECT key, unnest([0, 1, 2]) AS feature, unnest([q, s, t]) AS v FROM fo), fr AS (SELECT tree, key, 1 AS weight, y FROM fo, range(3) t(tree)), " + forest_sql.grown(3, task="regression")
+#: Shapley values by all subsets of the three features: unknown features split by the nodes' sizes.
+_SUBSETS = """, lv AS (SELECT tree, node AS leaf, mean FROM nd WHERE feature IS NULL),
+step AS (SELECT lv.tree, leaf, leaf >> (k - 1) AS child, leaf >> k AS parent FROM lv, range(1, 4) c(k) WHERE leaf >> k > 0),
+edge AS (SELECT step.tree, leaf, p.feature, p.threshold, child % 2 AS side, c.n / p.n AS ratio FROM step JOIN nd p ON p.tree = step.tree AND p.node = parent JOIN nd c ON c.tree = step.tree AND c.node = child),
+fac AS (SELECT key, e.tree, leaf, mask, list_product(list(CASE WHEN mask & (1 << feature) > 0 THEN ((v > threshold)::INT = side)::INT::DOUBLE ELSE ratio END)) AS w FROM edge e JOIN fv USING (feature), range(8) m(mask) GROUP BY ALL),
+val AS (SELECT key, fac.tree, mask, sum(w * mean) AS f FROM fac JOIN lv USING (tree, leaf) GROUP BY ALL),
+phi AS (SELECT a.key, a.tree, g.feature, sum((b.f - a.f) * CASE WHEN bit_count(a.mask) = 1 THEN 1.0::DOUBLE / 6 ELSE 1.0::DOUBLE / 3 END) AS phi FROM val a, range(3) g(feature), val b WHERE a.mask & (1 << g.feature) = 0 AND b.key = a.key AND b.tree = a.tree AND b.mask = a.mask | (1 << g.feature) GROUP BY ALL)
+SELECT key, feature::INT AS feature, floor(sum(phi) / 3 * 1e4 + 0.5::DOUBLE) / 1e4 AS phi FROM (FROM phi UNION ALL SELECT key, tree, -1, f FROM val WHERE mask = 0) GROUP BY ALL"""
+
+
 _CASES = {
     "z01": (z01, "SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn, role, text)) AS md5 FROM conversations GROUP BY 1"),
     "z02": (z02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL"),
     "z05": (z05, "SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS run_id FROM events"),
     "z07": (z07, "SELECT event_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS repeated FROM events"),
-    "m32": (m32, None),
-    "m33": (m33, None),
+    "m32": (m32, _SHAP + _SUBSETS),
+    "m33": (m33, _SHAP + "SELECT key, round(avg(mean), 6) AS predicted, true AS explained FROM leaf JOIN nd USING (tree, node) GROUP BY key"),
     "m37": (m37, None),
     "f08": (f08, None),
     "f14": (f14, _broken("SELECT doc_id AS key, text FROM documents", 60) + "SELECT key AS doc_id, count(*) AS n, max(length(line)) AS widest FROM lines GROUP BY key"),
