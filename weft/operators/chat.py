@@ -130,10 +130,15 @@ def dm_other(name: Column, me: Column) -> Column:
 
 def unread_by_member(members: DataFrame, messages: DataFrame) -> DataFrame:
     """Unread messages of all members at once: reading marks and message counts of a room are merged by time and summed
-    from the end, so that no message is paired with every member of its room."""
+    from the end, so that no message is paired with every member of its room. Days are summed first, so that a task
+    orders a room's day, not a room."""
     marks = members.select("room_id", F.col("last_read_at").alias("t"), F.col("user_id").alias("reader"), F.lit(0).alias("n"))
     rows = messages.groupBy("room_id", F.col("created_at").alias("t")).agg(F.count("*").cast("int").alias("n")).withColumn("reader", F.lit(None).cast("bigint"))
-    after = Window.partitionBy("room_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = marks.unionByName(rows).withColumn("day", F.to_date("t"))
+    following = Window.partitionBy("room_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("room_id", F.to_date("t").alias("day")).agg(F.sum("n").alias("n")).unionByName(marks.select("room_id", F.to_date("t").alias("day"), F.lit(0).cast("bigint").alias("n")).distinct())
+    later = days.groupBy("room_id", "day").agg(F.sum("n").alias("n")).select("room_id", "day", F.coalesce(F.sum("n").over(following), F.lit(0)).alias("later"))
+    after = Window.partitionBy("room_id", "day").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("room_id", "t")
-    merged = marks.unionByName(rows).withColumn("unread", F.sum("n").over(after) - F.sum("n").over(same))
-    return merged.where(F.col("reader").isNotNull()).select("room_id", F.col("reader").alias("user_id"), "unread")
+    counted = merged.withColumn("unread", F.sum("n").over(after) - F.sum("n").over(same)).where(F.col("reader").isNotNull())
+    return counted.join(later, ["room_id", "day"]).select("room_id", F.col("reader").alias("user_id"), (F.col("unread") + F.col("later")).alias("unread"))

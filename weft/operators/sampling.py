@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,24 @@ def pick(items: Column, seed: int, *keys: Column) -> Column:
     return F.get(items, below(seed, F.size(items), *keys))
 
 
+def ranked(df: DataFrame, group: list[str], u: str, ties: str, name: str, parts: int = 4096) -> DataFrame:
+    """df with each row's place (from 1) in its group by u, a number in [0, 1), and ties.
+
+    Ranges of u are counted, and places within a range start from the counts of the ranges before it: a task ranks one
+    range of one group, not a group.
+    """
+    at = df.withColumn("_range", F.floor(F.col(u) * parts))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy(*group, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    starts = starts.select(*(F.col(c).alias(f"_{c}") for c in [*group, "_range"]), "_start")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "_range"]))
+    within = Window.partitionBy(*group, "_range").orderBy(u, ties)
+    return at.join(starts, same).withColumn(name, F.col("_start") + F.row_number().over(within)).select(*df.columns, name)
+
+
 def shuffled(df: DataFrame, group: list[str], seed: int, key: str) -> DataFrame:
     """df with place, a permutation of each group's rows."""
-    w = Window.partitionBy(*group).orderBy(uniform(seed, key), key)
-    return df.withColumn("place", F.row_number().over(w))
+    return ranked(df.withColumn("_u", uniform(seed, key)), group, "_u", key, "place").drop("_u")
 
 
 def cumulated(items: DataFrame, table: str, pos: str, item: str, weight: str) -> DataFrame:

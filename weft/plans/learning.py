@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.randomness import uniform, uniform_sql
 from weft.operators import binning as B
-from weft.operators import boosting, forest
+from weft.operators import boosting, forest, sampling
 from weft.plans import forest_sql as S
 from weft.sources.tables import load
 
@@ -90,8 +90,7 @@ def b11(spark, d):
 
 def b13(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", uniform(13, "o_orderkey").alias("u"), F.pmod("o_orderkey", F.lit(8)).alias("part"))
-    w = Window.partitionBy("part").orderBy("u", "o_orderkey")
-    return o.withColumn("r", F.row_number().over(w)).join(F.broadcast(o.groupBy("part").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.5)).alias("m"))), "part").where("r <= m").select("o_orderkey")
+    return sampling.ranked(o, ["part"], "u", "o_orderkey", "r").join(F.broadcast(o.groupBy("part").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.5)).alias("m"))), "part").where("r <= m").select("o_orderkey")
 
 
 def _boost_rows(spark, d):
@@ -306,9 +305,8 @@ def m25(spark, d):
 def m36(spark, d):
     """Exact split: the first quarter of each return flag by hash is for validation."""
     line = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", uniform(36, "o_orderkey").alias("u"))
-    w = Window.partitionBy("o_orderstatus").orderBy("u", "o_orderkey")
     n = line.groupBy("o_orderstatus").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.25)).alias("m"))
-    return line.withColumn("r", F.row_number().over(w)).join(F.broadcast(n), "o_orderstatus").select("o_orderkey", (F.col("r") <= F.col("m")).alias("validation"))
+    return sampling.ranked(line, ["o_orderstatus"], "u", "o_orderkey", "r").join(F.broadcast(n), "o_orderstatus").select("o_orderkey", (F.col("r") <= F.col("m")).alias("validation"))
 
 
 def m40(spark, d):

@@ -100,9 +100,10 @@ def r02(spark, d):
 
 
 def d10(spark, d):
+    """Orders with the heading of their year at its newest one."""
     o = load(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey", "o_orderdate")
-    w = Window.partitionBy("year").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return o.select("o_orderkey", F.coalesce(F.col("year").cast("string"), F.lit("Unknown")).alias("year"), (F.row_number().over(w) == 1).alias("header"))
+    newest = o.groupBy(F.col("year").alias("_year")).agg(F.min_by("o_orderkey", F.struct(-F.unix_date(F.col("o_orderdate").cast("date")), "o_orderkey")).alias("first"))
+    return o.join(newest, F.col("year").eqNullSafe(F.col("_year"))).select("o_orderkey", F.coalesce(F.col("year").cast("string"), F.lit("Unknown")).alias("year"), (F.col("o_orderkey") == F.col("first")).alias("header"))
 
 
 def d11(spark, d):
