@@ -58,8 +58,18 @@ def m17(spark, d):
     return got.groupBy("key").agg(F.round(F.pow(F.lit(2.0), -F.avg("length") / F.first("c")) - 0.5, 6).alias("decision"))
 
 
+def _kept(nodes: DataFrame, kind: str) -> DataFrame:
+    return conversion.relabelled(nodes, kind).select("kind", "tree", "node", "feature", F.round("threshold", 6).alias("threshold"), "n")
+
+
 def m22(spark, d):
-    return conversion.relabelled(_stumps(spark, d), "mondrian").select("kind", "tree", "node", "n")
+    """Extra trees as a Mondrian forest: the same splits and sizes."""
+    return _kept(forest.grow(L._forest_rows(spark, d), depth=3, seed=42, split="random"), "mondrian")
+
+
+def m23(spark, d):
+    """A Mondrian forest as extra trees, without its waiting times."""
+    return _kept(forest.grow(L._forest_rows(spark, d, 2), depth=3, seed=42, split="mondrian", task="regression", lifetime=1.0).drop("tau"), "extra")
 
 
 def m24(spark, d):
@@ -235,7 +245,8 @@ _CASES = {
     "m15": (m15, _STUMP + "SELECT key, CASE WHEN round(avg(ones / n), 9) > round(avg(1 - ones / n), 9) THEN 1 ELSE 0 END AS predicted FROM go JOIN lf USING (tree, node) GROUP BY key"),
     "m17": (m17, _ISO + f"SELECT key, round(pow(2, -avg(1 + {_PATH.format('n')}) / max(c)) - 0.5, 6) AS decision FROM go JOIN lf USING (tree, node), c GROUP BY key"),
     "m20": (m20, _STUMP + "SELECT key, round(round(avg(ones / n), 9), 7) AS p FROM go JOIN lf USING (tree, node) GROUP BY key HAVING sum(ones) > 0"),
-    "m22": (m22, _STUMP + "SELECT 'mondrian' AS kind, tree::INT AS tree, node::BIGINT AS node, n FROM lf UNION ALL SELECT 'mondrian', tree::INT, 1, sum(n)::BIGINT FROM lf GROUP BY tree"),
+    "m22": (m22, L._FO + L._FR.format(3) + S.grown(3, split="random") + _CUT.replace("SELECT ", "SELECT 'mondrian' AS kind, ") + "node::BIGINT AS node, feature::INT AS feature, round(threshold, 6) AS threshold, n::BIGINT AS n FROM nd"),
+    "m23": (m23, L._FO + L._FR.format(2) + S.grown(3, split="mondrian", lifetime=1.0) + _CUT.replace("SELECT ", "SELECT 'extra' AS kind, ") + "node::BIGINT AS node, feature::INT AS feature, round(threshold, 6) AS threshold, n::BIGINT AS n FROM nd"),
     "m24": (m24, _ISO + _CUT + f"node::BIGINT AS node, round(1 + {_PATH.format('n')}, 6) AS length, round(c, 6) AS c FROM lf, c"),
     "m26": (m26, _STUMP + _CUT + "node::BIGINT AS node, feature::INT AS feature, round(CASE WHEN node = 3 THEN threshold END, 6) AS lo, round(CASE WHEN node = 2 THEN threshold END, 6) AS hi FROM lf JOIN st USING (tree)"),
     "m28": (m28, _STUMP + _CUT + "round(sum(ones) / sum(n), 9) AS expected FROM lf GROUP BY tree"),
