@@ -59,7 +59,8 @@ def test_odd_rows_and_columns(spark):
     copy = " ".join(f"w{k}" for k in range(40))
     rows = [(1, copy), (5, "something else\n" + line), (5, copy), (5, copy), (6, line + "\nsix"), (8, line + "\n" + copy), (9, None), (None, copy), (None, None), (10, ""), (11, "x" * 300_000 + "\n" + line)]
     item = table(spark, SF, "benchmark").where("text is not null").first().text
-    rows += [(12, item), (13, "y " * 200 + item)]
+    filler = "".join(f"z{k} " for k in range(400))
+    rows += [(12, item), (13, filler + item)]
     extra = {"n_lines": 77, "n_words": 78, "spans": 79, "items": 80, "node": 81, "toxicity": 82, "score": 83, "row": 84, "key": 85, "at": 86, "shard": 87}
     df = spark.createDataFrame([(i, t, *extra.values()) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{k} int" for k in extra)).repartition(3)
     pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
@@ -70,10 +71,10 @@ def test_odd_rows_and_columns(spark):
         return pairs(out)
 
     assert len(kept(C.toxicity(spark, df, SF))) == len(rows)
-    assert [(i, t or "") for i, t in kept(C.line_dedup(spark, df, SF))] == sorted(((i, t) for i, _, _, t in brute_lines(rows)), key=str)
+    assert sorted(((i, t or "") for i, t in kept(C.line_dedup(spark, df, SF))), key=str) == sorted(((i, t) for i, _, _, t in brute_lines(rows)), key=str)
     assert kept(C.near_duplicates(spark, df, SF)) == sorted([r for r in rows if r != (5, copy)], key=str)
     got = kept(C.decontamination(spark, df, SF))
-    assert (12, item) not in got and len(got) == len(rows) - 1 and [t for i, t in got if i == 13] == ["y " * 200]
+    assert (12, item) not in got and len(got) == len(rows) - 1 and [t.strip(" .") for i, t in got if i == 13] == [filler.strip()]
     assert C.bpe(spark, df, SF).count() == len(rows)
     for _, stage in C.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
