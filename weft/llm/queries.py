@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines
+from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines, op11_simhash
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_urls": op8_urls.op8_urls,
     "op9_jaccard": op9_jaccard.op9_jaccard,
     "op10_lines": op10_lines.op10_lines,
+    "op11_simhash": op11_simhash.op11_simhash,
 }
 
 SQL = {
