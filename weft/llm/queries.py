@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines, op11_simhash
+from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines, op11_simhash, op12_spelling
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard.op9_jaccard,
     "op10_lines": op10_lines.op10_lines,
     "op11_simhash": op11_simhash.op11_simhash,
+    "op12_spelling": op12_spelling.op12_spelling,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op8_urls": op8_urls.SQL,
     "op9_jaccard": op9_jaccard.SQL,
     "op10_lines": op10_lines.SQL,
+    "op12_spelling": op12_spelling.SQL,
 }
