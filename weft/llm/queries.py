@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines, op11_simhash, op12_spelling
+from weft.llm import op1_toxicity, op2_imi, op3_pii, op4_bpe, op5_quality, op6_lm, op7_decontaminate, op8_urls, op9_jaccard, op10_lines, op11_simhash, op12_spelling, op13_alignment
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lines": op10_lines.op10_lines,
     "op11_simhash": op11_simhash.op11_simhash,
     "op12_spelling": op12_spelling.op12_spelling,
+    "op13_alignment": op13_alignment.op13_alignment,
 }
 
 SQL = {
