@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat, ensembles, learning, models, streams, text
+from weft.plans import arrays, chat, ensembles, learning, models, online, streams, text
 
-_MODULES = [arrays, chat, text, learning, models, streams, ensembles]
+_MODULES = [arrays, chat, text, learning, models, streams, ensembles, online]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
