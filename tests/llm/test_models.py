@@ -80,6 +80,13 @@ def test_nearest_neighbours(spark):
     x[100:300] = x[50]
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (100, x[400].tolist()), (7, x[600].tolist()), (7, x[650].tolist())]
     odd = [(900, None), (1000, [0.0] * 8), (1100, [float("nan")] * 8), (1200, [1.0, None] + [1.0] * 6), (1300, [1.0] * 7), (None, x[0].tolist())]
+    ones = [(k, [float(k % 37)]) for k in range(1, 300)]
+    got = {}
+    single = spark.createDataFrame(ones, "vec_id long, embedding array<double>")
+    for r in I.search(single, single.where("vec_id % 100 = 0"), share=1.0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_nearest([r for r in ones if r[1][0]], [r for r in ones if r[0] % 100 == 0])
+    assert got == {q: [i for _, i in v] for q, v in want.items()}
     df = spark.createDataFrame([(*r, "s", 1) for r in rows + odd], "vec_id long, embedding array<double>, q1 string, part int").repartition(3)
     want = brute_nearest(rows, [r for r in rows if r[0] % 100 == 0])
     for args, least in (({"share": 1.0}, 1.0), ({"share": 1.0, "part": 90, "block": 3}, 1.0), ({"share": 0.5, "least": 10}, 0.85)):
@@ -104,11 +111,34 @@ def test_walk_is_by_summed_distance():
     index = I.MultiIndex(I.fit_codebook(x[:, :3], 9, 1), I.fit_codebook(x[:, 3:], 9, 2))
     np.add.at(index.sizes.reshape(-1), index.cells(x), 1)
     for q in rng.normal(size=(20, 6)):
-        cells, last = index.walk(q, 100)
-        sums = index.sums(q[None], np.arange(81))[0]
+        cells = index.walk(q, 100)
+        a, b = I.squared_distances(q[None, :3], index.left)[0], I.squared_distances(q[None, 3:], index.right)[0]
+        sums = (a[:, None] + b[None, :]).reshape(-1)
         by_sum = [c for c in np.argsort(sums, kind="stable").tolist() if index.sizes.reshape(-1)[c]]
         assert cells == by_sum[: len(cells)] and index.sizes.reshape(-1)[cells].sum() >= 100 > index.sizes.reshape(-1)[cells[:-1]].sum()
-        assert math.isclose(last, sums[cells[-1]], rel_tol=1e-9)
+
+
+def test_only_walked_cells_are_compared():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6))
+    index = I.MultiIndex(I.fit_codebook(x[:, :3], 9, 1), I.fit_codebook(x[:, 3:], 9, 2))
+    cells = index.cells(x)
+    np.add.at(index.sizes.reshape(-1), cells, 1)
+    ids = [np.array([i]) for i in range(900)]
+    q = rng.normal(size=(300, 6))
+    walks = [np.array(sorted(index.walk(y, 200))) for y in q]
+    got, taken = I.nearest(q, walks, x, cells, ids, 10)
+    assert taken == sum(int(index.sizes.reshape(-1)[w].sum()) for w in walks) < 0.3 * 900 * 300
+    for y, w, (near, score) in zip(q, walks, got, strict=True):
+        d = np.where(np.isin(cells, w), np.sqrt(((x - y) ** 2).sum(1)), np.inf)
+        assert near[:11].tolist() == np.argsort(d, kind="stable")[:11].tolist() and np.allclose(score[:11], np.sort(d)[:11])
+
+
+def test_parts_hold_runs_of_cells():
+    index = I.MultiIndex(np.zeros((2, 1)), np.zeros((4, 1)))
+    index.sizes[:] = [[3, 0, 4, 30], [2, 9, 1, 0]]
+    index.deal(10)
+    assert index.first.tolist()[:1] + index.first.tolist()[2:7] == [0, 0, 1, 4, 5, 5] and index.shares[3] == 3 and index.parts == 6
 
 
 def test_recall_of_the_index(spark):
