@@ -24,11 +24,45 @@ def tiles(grid: DataFrame, s: int) -> DataFrame:
     return grid.groupBy(F.floor(F.col("y") / s).alias("ty"), F.floor(F.col("x") / s).alias("tx")).agg(F.avg("v").alias("mean"), F.max(F.when(mid, F.col("v"))).alias("centre"))
 
 
-def nearest_seed(grid: DataFrame, seeds: DataFrame) -> DataFrame:
-    """grid with seed, the index of the nearest seed (k, sy, sx), the first of equally near ones. Seeds are one short array in each row's expression: nothing is paired."""
-    packed = seeds.agg(F.sort_array(F.collect_list(F.struct("k", "sy", "sx"))).alias("_s"))
-    d = F.transform("_s", lambda s: F.struct(((F.col("y") - s["sy"]) * (F.col("y") - s["sy"]) + (F.col("x") - s["sx"]) * (F.col("x") - s["sx"])).alias("d"), s["k"].alias("k")))
-    return grid.join(F.broadcast(packed)).withColumn("seed", F.array_min(d)["k"]).drop("_s")
+#: Parts that the cells of one label are dealt into.
+SALTS = 32
+#: Tile tables of more rows are joined by shuffling.
+BROADCAST_TILES = 50_000
+
+
+def nearest_seed(grid: DataFrame, seeds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """grid with seed, the number k of the nearest seed (k, sy, sx), the first of equally near ones; of each value of `by` apart.
+
+    Tiles halve twice from level to level, from one that holds all cells down to cells. Each keeps the seeds that may be
+    nearest to a cell of it: those whose least distance to the tile is at most the smallest largest distance of any seed.
+    So seeds meet the tiles around them, and no cell sees them all. Cells lie at whole y and x of 0 or more.
+    """
+    by = by or []
+    ends = grid.agg(F.max("y"), F.max("x")).first()
+    size = 1
+    while size <= max(int(e or 0) for e in ends):
+        size *= 4
+    tile = [*by, "ty", "tx"]
+    at = seeds.select(*by, F.lit(0).cast("bigint").alias("ty"), F.lit(0).cast("bigint").alias("tx"), "k", F.col("sy").cast("double").alias("sy"), F.col("sx").cast("double").alias("sx"))
+    while size > 1:
+        size //= 4
+        parts = F.explode(F.array(*(F.struct((F.col("ty") * 4 + a).alias("ty"), (F.col("tx") * 4 + b).alias("tx")) for a in range(4) for b in range(4)))).alias("t")
+        at = at.select(*by, parts, "k", "sy", "sx").select(*by, "t.*", "k", "sy", "sx").where((F.col("ty") * size <= ends[0]) & (F.col("tx") * size <= ends[1]))
+        low, high = [], []
+        for t, s in (("ty", "sy"), ("tx", "sx")):
+            a, b = F.col(t) * size - F.col(s), F.col(t) * size + (size - 1) - F.col(s)
+            near, far = F.greatest(a, -b, F.lit(0.0)), F.greatest(F.abs(a), F.abs(b))
+            low.append(near * near)
+            high.append(far * far)
+        at = materialise(at.withColumns({"d": low[0] + low[1], "far": high[0] + high[1]}))
+        if size > 1:
+            reach = materialise(at.groupBy(*tile).agg(F.min("far").alias("reach")))
+            reach = F.broadcast(reach) if reach.count() <= BROADCAST_TILES else reach
+            at = at.join(reach, tile).where("d <= reach").drop("reach", "d", "far")
+    if "d" not in at.columns:  # one cell at most
+        at = at.withColumn("d", F.col("sy") * F.col("sy") + F.col("sx") * F.col("sx"))
+    best = at.groupBy(*tile).agg(F.min_by("k", F.struct("d", "k")).alias("seed"))
+    return grid.join(best.withColumnsRenamed({"ty": "y", "tx": "x"}), [*by, "y", "x"])
 
 
 def region_blend(grid: DataFrame, share: float = 0.82) -> DataFrame:
@@ -74,9 +108,11 @@ def components(cells: DataFrame) -> DataFrame:
     while True:
         low = neighbours(now, FOUR, ["class", "label"]).groupBy("y", "x", F.col("n_class").alias("class")).agg(F.min("n_label").alias("n"))
         heard = now.join(low, ["y", "x", "class"], "left").withColumn("new", F.least("label", F.coalesce("n", "label")))
-        # follow the label's own cell, so that rounds grow with the logarithm of a component's width
-        home = heard.select((F.col("y").cast("bigint") * (1 << 32) + F.col("x")).alias("new"), F.col("new").alias("far"))
-        nxt = materialise(heard.drop("n").join(home, "new").select("y", "x", "class", F.least("new", "far").alias("new"), "label"))
+        # follow the label's own cell, so that rounds grow with the logarithm of a component's width; where that has heard
+        # of another, it is told to each part of the cells of its label, as a large component's cells are many of one label
+        home = heard.where("new < label").select((F.col("y").cast("bigint") * (1 << 32) + F.col("x")).alias("home"), F.col("new").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        own = (F.col("new") == F.col("home")) & (F.pmod(F.xxhash64("y", "x"), F.lit(SALTS)) == F.col("salt"))
+        nxt = materialise(heard.drop("n").join(home, own, "left").select("y", "x", "class", F.least("new", F.coalesce("far", "new")).alias("new"), "label"))
         if not nxt.where("new < label").limit(1).count():
             return nxt.select("y", "x", "class", "label")
         now = nxt.select("y", "x", "class", F.col("new").alias("label"))
@@ -90,16 +126,32 @@ def downhill(grid: DataFrame) -> DataFrame:
     return n.groupBy("y", "x").agg(F.min_by(F.struct("n_yy", "n_xx", "n_v"), F.struct("n_v", order)).alias("m")).select("y", "x", F.col("m.n_yy").alias("ny"), F.col("m.n_xx").alias("nx"), F.col("m.n_v").alias("nv"))
 
 
-def descent_paths(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> DataFrame:
-    """(y0, x0, length, ends_in_water) of steepest descents from all cells above water, stopped by water, a rise or a revisit."""
-    step = materialise(downhill(grid).join(grid, ["y", "x"]).where(F.col("nv") <= F.col("v") + rise))
-    at = grid.where(F.col("v") >= water).select(F.col("y").alias("y0"), F.col("x").alias("x0"), "y", "x", F.array(F.struct("y", "x")).alias("seen"), F.lit(False).alias("wet"))
-    for _ in range(steps):
-        s = step.select("y", "x", "ny", "nx", "nv")
-        moved = at.join(s, ["y", "x"], "left")
-        go = ~F.col("wet") & F.col("ny").isNotNull() & ~F.array_contains("seen", F.struct(F.col("ny").alias("y"), F.col("nx").alias("x")))
-        at = materialise(moved.select("y0", "x0", F.when(go, F.col("ny")).otherwise(F.col("y")).alias("y"), F.when(go, F.col("nx")).otherwise(F.col("x")).alias("x"), F.when(go, F.array_append("seen", F.struct(F.col("ny").alias("y"), F.col("nx").alias("x")))).otherwise(F.col("seen")).alias("seen"), (F.col("wet") | (go & (F.col("nv") < water))).alias("wet"), go.alias("moved")))
+def cell(y: str, x: str) -> Column:
+    """One number for a cell, in the order of y and x."""
+    return F.col(y).cast("bigint") * (1 << 32) + F.col(x).cast("bigint")
+
+
+def descents(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> DataFrame:
+    """(y0, x0, path, wet): the cells of the steepest descent from each cell above water, stopped by water, a rise or a revisit.
+
+    A cell has one way down, so that paths double from round to round: each is continued by its last cell's own.
+    """
+    step = downhill(grid).join(grid, ["y", "x"]).where((F.col("v") >= water) & (F.col("nv") <= F.col("v") + rise))
+    at = materialise(step.select(cell("y", "x").alias("c"), F.array(cell("y", "x"), cell("ny", "nx")).alias("path"), cell("ny", "nx").alias("end"), (F.col("nv") < water).alias("wet")))
+    for _ in range(max(0, (steps - 1).bit_length())):
+        on = at.select(F.col("c").alias("end"), F.slice("path", 2, 1 << 30).alias("more"), F.col("end").alias("far"), F.col("wet").alias("far_wet"))
+        at = materialise(at.join(on, "end", "left").select("c", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.coalesce("far", "end").alias("end"), F.coalesce("far_wet", "wet").alias("wet"), F.col("more").isNotNull().alias("moved")))
         if not at.where("moved").limit(1).count():
             break
         at = at.drop("moved")
-    return at.select("y0", "x0", F.size("seen").alias("length"), F.col("wet").alias("ends_in_water"))
+    seen_before = F.filter(F.sequence(F.lit(2), F.size("path")), lambda i: F.array_contains(F.slice("path", F.lit(1), i - 1), F.get("path", i - 1)))
+    revisits = F.size(F.array_distinct("path")) < F.size("path")
+    cut = F.when(revisits, F.slice("path", F.lit(1), F.get(seen_before, F.lit(0)) - 1)).otherwise(F.col("path"))
+    at = at.withColumn("path", F.slice(cut, 1, steps + 1)).withColumn("wet", F.col("wet") & (F.col("end") == F.element_at("path", -1)))
+    dry = grid.where(F.col("v") >= water).select(F.col("y").alias("y0"), F.col("x").alias("x0"), cell("y", "x").alias("c"))
+    return dry.join(at, "c", "left").select("y0", "x0", F.coalesce("path", F.array("c")).alias("path"), F.coalesce("wet", F.lit(False)).alias("wet"))
+
+
+def descent_paths(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> DataFrame:
+    """(y0, x0, length, ends_in_water) of steepest descents from all cells above water."""
+    return descents(grid, water, steps, rise).select("y0", "x0", F.size("path").alias("length"), F.col("wet").alias("ends_in_water"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.randomness import uniform, uniform_sql
 from weft.operators import grids as G
+from weft.operators import heightmaps as H
 from weft.operators import ngrams as N
 from weft.operators import sampling as P
 from weft.sources.tables import load
@@ -171,11 +172,8 @@ def _classes(spark, d):
 
 def g14(spark, d):
     """The exponent that puts 40 % of the normalised values under 0.5, from the exact nearest-rank quantile."""
-    g = G.normalised(_grid(spark, d)).where("v > 0")
-    w = Window.orderBy("v")
-    n = g.count()
-    q = g.withColumn("r", F.row_number().over(w)).where(F.col("r") == int(-(-n * 2 // 5)))
-    return q.select(F.round(F.log(F.lit(0.5)) / F.log("v"), 6).alias("gamma"))
+    g = H.normalised(_grid(spark, d).withColumn("map", F.lit(0)))
+    return H.water_exponents(g, 0.4, 0.5).select(F.round("gamma", 6).alias("gamma"))
 
 
 def g12(spark, d):
