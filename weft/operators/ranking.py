@@ -26,13 +26,29 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
-def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sum over the tags among a text's words of 1 and half its occurrences (2 at most), and of 2 for each neighbouring
-    pair of a tag's words that are neighbours in the text. tags is a short list."""
-    listed = tags.agg(F.sort_array(F.collect_set("tag")).alias("_tags")).withColumn("_pairs", F.flatten(F.transform("_tags", X.neighbours)))
+#: Tags that go to the rows of documents; more are joined by word, without the texts.
+BROADCAST_TAGS = 100_000
+
+
+def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text", broadcast_tags: int = BROADCAST_TAGS) -> DataFrame:
+    """(key, score): for each of the tags among a text's words 1 and half its occurrences (2 at most), and 2 for each
+    neighbouring pair of a tag's words that are neighbours in the text.
+
+    Distinct words and pairs of a text meet the tags by equality, and occurrences are counted for tags that were met. Rows
+    that repeat a key are one document of all their texts.
+    """
+    tags = tags.select("tag").where("tag IS NOT NULL AND tag <> ''").distinct()
+    pairs = tags.select(F.explode(X.neighbours(F.col("tag"))).alias("pair")).groupBy("pair").agg((F.count("*") * 2.0).alias("score"))
+    few = tags.limit(broadcast_tags + 1).count() <= broadcast_tags
+    small = F.broadcast if few else lambda df: df
     low = F.lower(text)
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))
-    times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t))
-    score = F.aggregate(F.array_intersect("_tags", words), F.lit(0.0), lambda s, t: s + 1.0 + F.least(times(t) * 0.5, F.lit(2.0)))
-    pairs = F.aggregate(F.array_intersect("_pairs", X.bigrams(text)), F.lit(0.0), lambda s, p: s + F.size(F.filter("_pairs", lambda x: x == p)) * 2.0)
-    return docs.join(F.broadcast(listed)).select(key, (score + pairs).alias("score"))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))).alias("tag")
+    times = lambda t: F.floor((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t))
+    score = lambda t: 1.0 + F.least(times(t) * 0.5, F.lit(2.0))
+    if few:
+        hits = docs.select(key, low.alias("_low"), words).join(small(tags), "tag").select(key, score(F.col("tag")).alias("score"))
+    else:
+        met = docs.select(key, words).join(tags, "tag").groupBy(key).agg(F.collect_set("tag").alias("_met"))
+        hits = docs.select(key, low.alias("_low")).join(met, key).select(key, "_low", F.explode("_met").alias("tag")).select(key, score(F.col("tag")).alias("score"))
+    paired = docs.select(key, F.explode(F.array_distinct(X.bigrams(text))).alias("pair")).join(small(pairs), "pair").select(key, "score")
+    return docs.select(key, F.lit(0.0).alias("score")).unionByName(hits).unionByName(paired).groupBy(key).agg(F.sum("score").alias("score"))

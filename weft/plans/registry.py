@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat, ensembles, learning, maps, models, online, streams, text
+from weft.plans import arrays, chat, ensembles, learning, maps, models, online, searching, streams, text
 
-_MODULES = [arrays, chat, text, learning, models, streams, ensembles, online, maps]
+_MODULES = [arrays, chat, text, learning, models, streams, ensembles, online, maps, searching]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
