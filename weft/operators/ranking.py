@@ -34,8 +34,8 @@ def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text", b
     """(key, score): for each of the tags among a text's words 1 and half its occurrences (2 at most), and 2 for each
     neighbouring pair of a tag's words that are neighbours in the text.
 
-    Distinct words and pairs of a text meet the tags by equality, and occurrences are counted for tags that were met. Rows
-    that repeat a key are one document of all their texts.
+    Distinct words and pairs of a text meet the tags by equality, without the text; the texts then join their own tags, and
+    occurrences are counted for those. Keys are unique.
     """
     tags = tags.select("tag").where("tag IS NOT NULL AND tag <> ''").distinct()
     pairs = tags.select(F.explode(X.neighbours(F.col("tag"))).alias("pair")).groupBy("pair").agg((F.count("*") * 2.0).alias("score"))
@@ -43,12 +43,12 @@ def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text", b
     small = F.broadcast if few else lambda df: df
     low = F.lower(text)
     words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))).alias("tag")
+    met = docs.select(key, words).join(small(tags), "tag").groupBy(key).agg(F.collect_list("tag").alias("_met"))
     times = lambda t: F.floor((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t))
-    score = lambda t: 1.0 + F.least(times(t) * 0.5, F.lit(2.0))
-    if few:
-        hits = docs.select(key, low.alias("_low"), words).join(small(tags), "tag").select(key, score(F.col("tag")).alias("score"))
-    else:
-        met = docs.select(key, words).join(tags, "tag").groupBy(key).agg(F.collect_set("tag").alias("_met"))
-        hits = docs.select(key, low.alias("_low")).join(met, key).select(key, "_low", F.explode("_met").alias("tag")).select(key, score(F.col("tag")).alias("score"))
-    paired = docs.select(key, F.explode(F.array_distinct(X.bigrams(text))).alias("pair")).join(small(pairs), "pair").select(key, "score")
+    hits = docs.select(key, low.alias("_low")).join(met, key).select(key, F.aggregate("_met", F.lit(0.0), lambda s, t: s + 1.0 + F.least(times(t) * 0.5, F.lit(2.0))).alias("score"))
+    # neighbours as two columns: texts' own pairs are never written as strings
+    ends = pairs.select(F.split_part("pair", F.lit("_"), F.lit(1)).alias("first"), F.split_part("pair", F.lit("_"), F.lit(2)).alias("second"), "score")
+    runs = docs.select(key, F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)).alias("_words"))
+    both = F.explode(F.arrays_zip(F.col("_words").alias("first"), F.slice("_words", 2, 1 << 30).alias("second"))).alias("p")
+    paired = runs.select(key, both).select(key, "p.first", "p.second").join(small(ends), ["first", "second"]).distinct().select(key, "score")
     return docs.select(key, F.lit(0.0).alias("score")).unionByName(hits).unionByName(paired).groupBy(key).agg(F.sum("score").alias("score"))
