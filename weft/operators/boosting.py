@@ -36,27 +36,35 @@ def binned_features(df: DataFrame, key: str, features: list[str], bins: int, str
 def grow(rows: DataFrame, depth: int, min_leaf: int, by: tuple[str, ...] = (), scale: int = 6) -> DataFrame:
     """One tree (for each value of the columns `by`) over rows (key, bins, g, h): nodes with split or leaf value.
 
-    g and h are summed as decimals, so that sums don't depend on order.
+    g and h are summed as decimals, so that sums don't depend on order. A level reads the rows once, for its histograms;
+    what a node's children sum up to follows from its own, and the last level reads no rows. Callers write rows first.
     """
     keys = [*by, "node"]
     dec = f"decimal(28,{scale})"
     at = rows.withColumns({"node": F.lit(1).cast("bigint"), "g": F.col("g").cast(dec), "h": F.col("h").cast(dec)})
-    out = None
+    add = (F.sum("g").alias("g"), F.sum("h").alias("h"))
+    out, totals = None, at.groupBy(*keys).agg(*add, F.count("*").alias("n")) if not depth else None
     for level in range(depth + 1):
-        totals = at.groupBy(*keys).agg(F.sum("g").cast("double").alias("g"), F.sum("h").cast("double").alias("h"), F.count("*").alias("n"))
         if level < depth:
-            long = at.select(*keys, "g", "h", F.posexplode("bins").alias("feature", "bin"))
-            split = binning.best_split(binning.histogram(long, keys), keys, min_leaf).where(F.col("gain") > 0)
+            hist = materialise(binning.histogram(at.select(*keys, "g", "h", F.posexplode("bins").alias("feature", "bin")), keys))
+            if totals is None:
+                totals = hist.where("feature = 0").groupBy(*keys).agg(*add, F.sum("n").alias("n"))
+            split = binning.best_split(hist, keys, min_leaf).where(F.col("gain") > 0)
             nodes = totals.join(split.select(*keys, "feature", "bin", "gain"), keys, "left")
         else:
             nodes = totals.withColumns({"feature": F.lit(None).cast("int"), "bin": F.lit(None).cast("int"), "gain": F.lit(None).cast("double")})
-        nodes = materialise(nodes.select(*keys, "feature", "bin", "gain", "n", six_places(binning.leaf_value(F.col("g"), F.col("h"))).alias("value")))
+        nodes = nodes.select(*keys, "feature", "bin", "gain", "n", six_places(binning.leaf_value(F.col("g").cast("double"), F.col("h").cast("double"))).alias("value"))
+        told = nodes.collect()  # a level of a model: 2^level rows a tree at most
+        nodes = rows.sparkSession.createDataFrame(told, nodes.schema)
         out = nodes if out is None else out.unionByName(nodes)
         going = nodes.where(F.col("feature").isNotNull())
-        if level == depth or not going.limit(1).count():
+        if level == depth or all(r["feature"] is None for r in told):
             break
         # at most 2^depth rows a tree
-        at = at.join(F.broadcast(going.select(*keys, F.col("feature").alias("_f"), F.col("bin").alias("_b"))), keys).withColumn("node", F.col("node") * 2 + F.when(F.get("bins", F.col("_f")) <= F.col("_b"), 0).otherwise(1)).drop("_f", "_b")
+        cuts = F.broadcast(going.select(*keys, F.col("feature").alias("_f"), F.col("bin").alias("_b")))
+        child = lambda bin_: F.col("node") * 2 + F.when(bin_ <= F.col("_b"), 0).otherwise(1)
+        totals = hist.join(cuts, keys).where(F.col("feature") == F.col("_f")).withColumn("node", child(F.col("bin"))).groupBy(*keys).agg(*add, F.sum("n").alias("n"))
+        at = at.join(cuts, keys).withColumn("node", child(F.get("bins", F.col("_f")))).drop("_f", "_b")
     return out
 
 
@@ -106,6 +114,7 @@ def _stepped(now: DataFrame, nodes: DataFrame, classes: int, depth: int, rate: f
 
 def fit_classes(rows: DataFrame, classes: int, rounds: int, depth: int, min_leaf: int, rate: float) -> tuple[list[float], DataFrame]:
     """(initial scores, nodes with round and class columns) for softmax loss on rows (key, bins, y: 0 to classes - 1)."""
+    rows = materialise(rows)
     count = dict(rows.groupBy("y").count().collect())
     base = [round(math.log(max(count.get(k, 0) / max(1, sum(count.values())), 1e-15)), 6) for k in range(classes)]
     now = rows.withColumn("pred", F.array(*map(F.lit, base)))
@@ -137,14 +146,16 @@ def mean_of(y: str) -> Column:
 
 def fit_regression(rows: DataFrame, trees: int, depth: int, min_leaf: int, rate: float) -> tuple[float, DataFrame]:
     """(initial value, nodes with a tree column) for squared loss on rows (key, bins, y)."""
+    rows = materialise(rows)
     base = rows.agg(mean_of("y")).first()[0] or 0.0
     now = rows.withColumn("pred", F.lit(base))
     model = None
     for t in range(trees):
         grad = now.withColumns({"g": six_places(F.col("pred") - F.col("y")), "h": F.lit(1.0)})
         nodes = grow(grad, depth, min_leaf)
-        value = F.broadcast(nodes.select("node", F.col("value").alias("_v")))
-        now = materialise(leaf_of(now, nodes, depth).join(value, "node").withColumn("pred", six_places(F.col("pred") + rate * F.col("_v"))).drop("_v", "node"))
+        if t + 1 < trees:
+            value = F.broadcast(nodes.select("node", F.col("value").alias("_v")))
+            now = materialise(leaf_of(now, nodes, depth).join(value, "node").withColumn("pred", six_places(F.col("pred") + rate * F.col("_v"))).drop("_v", "node"))
         part = nodes.withColumn("tree", F.lit(t))
         model = part if model is None else model.unionByName(part)
     return base, model

@@ -9,6 +9,7 @@ from weft.functions.randomness import uniform, uniform_sql
 from weft.operators import binning as B
 from weft.operators import boosting, forest, sampling
 from weft.plans import forest_sql as S
+from weft.operators.storage import materialise
 from weft.sources.tables import load
 
 BINS = 16
@@ -100,7 +101,7 @@ def _boost_rows(spark, d):
 
 def _graded(spark, d):
     """Gradients of squared loss before the first tree."""
-    rows = _boost_rows(spark, d)
+    rows = materialise(_boost_rows(spark, d))
     base = rows.agg(boosting.mean_of("y").alias("m"))
     return rows.join(F.broadcast(base)).select("l_orderkey", "bins", boosting.six_places(F.col("m") - F.col("y")).alias("g"), F.lit(1.0).alias("h"))
 
@@ -121,7 +122,7 @@ def b14(spark, d):
 
 
 def b15(spark, d):
-    rows = _boost_rows(spark, d)
+    rows = materialise(_boost_rows(spark, d))
     base, model = boosting.fit_regression(rows, trees=2, depth=2, min_leaf=20, rate=0.3)
     out = boosting.predict_regression(rows, base, model, 2, 2, 0.3)
     return out.select("l_orderkey", "pred")
@@ -144,7 +145,7 @@ def b14_classes(spark, d):
 
 
 def b15_classes(spark, d):
-    rows = _class_rows(spark, d)
+    rows = materialise(_class_rows(spark, d))
     base, model = boosting.fit_classes(rows, classes=3, rounds=2, depth=2, min_leaf=20, rate=0.3)
     out = boosting.predict_classes(rows, base, model, 2, 2, 0.3)
     return out.select("l_orderkey", "predicted", *(_thousandth(F.get("proba", F.lit(k))).alias(f"p{k}") for k in range(3)))
