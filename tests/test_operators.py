@@ -132,3 +132,19 @@ def test_streamed_fold(spark, tmp_path):
     q.awaitTermination()
     rows = [(r.item, r.text) for r in spark.sql("SELECT * FROM folded").collect()]
     assert ("a", "hello") in rows and rows[-1] == ("b", "final")
+
+
+def test_shapley_by_factors_at_depth_eight():
+    rng = np.random.default_rng(8)
+    nodes, todo = [], [(1, 900.0)]
+    while todo:
+        node, n = todo.pop()
+        if node.bit_length() > 8 or (node > 1 and rng.random() < 0.25):
+            nodes.append({"node": node, "feature": None, "threshold": None, "n": n, "value": float(rng.normal())})
+            continue
+        nodes.append({"node": node, "feature": int(rng.integers(6)), "threshold": float(rng.normal()), "n": n, "value": 0.0})
+        left = n * float(rng.uniform(0.05, 0.95))
+        todo += [(2 * node, left), (2 * node + 1, n - left)]
+    x = rng.normal(size=(25, 6))
+    assert max(r["node"] for r in nodes).bit_length() == 9
+    assert np.allclose(attribution.tree_shap(x, nodes), attribution.brute_shap(x, nodes), atol=1e-9)

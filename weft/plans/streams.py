@@ -44,6 +44,12 @@ def _forest(rows: DataFrame, trees: int, depth: int, seed: int = 42) -> DataFram
     return forest.grow(spread, depth=depth, seed=seed, task="regression")
 
 
+def m30(spark, d):
+    """What each leaf of a tree adds to each order's attributions."""
+    rows = _rows(spark, d)
+    return attribution.leaf_contributions(rows, _forest(rows, 1, 3), "key", 3).select("key", "leaf", "feature", (F.floor(F.col("phi") * 1e4 + 0.5) / 1e4).alias("phi"))
+
+
 def m32(spark, d):
     rows = _rows(spark, d)
     return attribution.forest_shap(rows, _forest(rows, 3, 3), "key", 3).select("key", "feature", (F.floor(F.col("phi") * 1e4 + 0.5) / 1e4).alias("phi"))
@@ -120,8 +126,18 @@ val AS (SELECT key, fac.tree, mask, sum(w * mean) AS f FROM fac JOIN lv USING (t
 phi AS (SELECT a.key, a.tree, g.feature, sum((b.f - a.f) * CASE WHEN bit_count(a.mask) = 1 THEN 1.0::DOUBLE / 6 ELSE 1.0::DOUBLE / 3 END) AS phi FROM val a, range(3) g(feature), val b WHERE a.mask & (1 << g.feature) = 0 AND b.key = a.key AND b.tree = a.tree AND b.mask = a.mask | (1 << g.feature) GROUP BY ALL)
 SELECT key, feature::INT AS feature, floor(sum(phi) / 3 * 1e4 + 0.5::DOUBLE) / 1e4 AS phi FROM (FROM phi UNION ALL SELECT key, tree, -1, f FROM val WHERE mask = 0) GROUP BY ALL"""
 
+#: The same for single leaves of the first tree: features off a leaf's path add nothing.
+_LEAVES = """, lv AS (SELECT tree, node AS leaf, mean FROM nd WHERE feature IS NULL AND tree = 0),
+step AS (SELECT lv.tree, leaf, leaf >> (k - 1) AS child, leaf >> k AS parent FROM lv, range(1, 4) c(k) WHERE leaf >> k > 0),
+edge AS (SELECT step.tree, leaf, p.feature, p.threshold, child % 2 AS side, c.n / p.n AS ratio FROM step JOIN nd p ON p.tree = step.tree AND p.node = parent JOIN nd c ON c.tree = step.tree AND c.node = child),
+fac AS (SELECT key, leaf, mask, list_product(list(CASE WHEN mask & (1 << feature) > 0 THEN ((v > threshold)::INT = side)::INT::DOUBLE ELSE ratio END)) AS w FROM edge e JOIN fv USING (feature), range(8) m(mask) GROUP BY ALL),
+val AS (SELECT key, leaf, mask, w * mean AS f FROM fac JOIN lv USING (leaf))
+SELECT a.key, a.leaf::BIGINT AS leaf, g.feature::INT AS feature, floor(sum((b.f - a.f) * CASE WHEN bit_count(a.mask) = 1 THEN 1.0::DOUBLE / 6 ELSE 1.0::DOUBLE / 3 END) * 1e4 + 0.5::DOUBLE) / 1e4 AS phi
+FROM val a, (SELECT DISTINCT leaf, feature FROM edge) g, val b WHERE g.leaf = a.leaf AND a.mask & (1 << g.feature) = 0 AND b.key = a.key AND b.leaf = a.leaf AND b.mask = a.mask | (1 << g.feature) GROUP BY ALL"""
+
 
 _CASES = {
+    "m30": (m30, _SHAP + _LEAVES),
     "z01": (z01, "SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn, role, text)) AS md5 FROM conversations GROUP BY 1"),
     "z02": (z02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL"),
     "z05": (z05, "SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS run_id FROM events"),
