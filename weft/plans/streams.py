@@ -10,6 +10,7 @@ from weft.functions.randomness import uniform
 from weft.operators import attribution, forest
 from weft.plans import forest_sql
 from weft.sources.tables import load
+from weft.streaming import chunks as C
 from weft.streaming import events as S
 
 
@@ -33,6 +34,13 @@ def z07(spark, d):
     return load(spark, d, "events").select("event_id", (F.col("event_type") == F.lag("event_type").over(w)).alias("repeated"))
 
 
+def s19(spark, d):
+    """Turns of conversations, rendered as events, cut into chunks of 64 characters and put together again."""
+    c = load(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max_by("role", F.struct("role", "text")).alias("role"), F.max_by("text", F.struct("role", "text")).alias("text"))
+    chunks = C.rendered(c, "conv_id", "turn", "role", "text", 64)
+    return C.events(chunks, "conv_id").select("conv_id", "n", "event", F.from_json("data", "text string")["text"].alias("text"))
+
+
 def _rows(spark, d) -> DataFrame:
     line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("s"), F.max("l_tax").alias("t"), F.max("l_extendedprice").alias("p"))
     x = F.array(*(F.col(c).cast("double") for c in ("q", "s", "t")))
@@ -137,6 +145,7 @@ FROM val a, (SELECT DISTINCT leaf, feature FROM edge) g, val b WHERE g.leaf = a.
 
 
 _CASES = {
+    "s19": (s19, "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, x.role AS event, x.text AS text FROM (SELECT conv_id, turn, max({'role': role, 'text': text}) AS x FROM conversations GROUP BY ALL)"),
     "m30": (m30, _SHAP + _LEAVES),
     "z01": (z01, "SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn, role, text)) AS md5 FROM conversations GROUP BY 1"),
     "z02": (z02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL"),
