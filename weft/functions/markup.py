@@ -16,10 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"`(?P<code>[^`]+)`|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)|\[(?P<label>[^\]]*)\]\((?P<href>[^)]*)\)|\*\*(?P<strong>[^*]+)\*\*|\*(?P<em>[^*]+)\*"
+    r"`(?P<code>[^`]+)`|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)|\[(?P<label>[^\]]*)\]\((?P<href>[^)]*)\)|\*\*(?P<strong>.+?)\*\*|(?<!\*)\*(?!\*)(?P<em>.+?)(?<!\*)\*(?!\*)|(?<!_)_(?!_)(?P<under>.+?)(?<!_)_(?!_)",
+    re.DOTALL,
 )
 #: Classes of lines; the first that fits counts.
-_LINE = re.compile(r"(?P<fence>```.*)|(?P<heading>#{1,6} .*)|(?P<rule>\s*(?:-{3,}|\*{3,})\s*)|(?P<quote>>.*)|(?P<bullet>[-*] .*)|(?P<number>\d+\. .*)|(?P<table>\|.*)|(?P<blank>\s*)|(?P<text>.*)", re.DOTALL)
+_LINE = re.compile(r"(?P<fence>```.*)|(?P<heading>#{1,6} .*)|(?P<rule>\s*(?:-{3,}|\*{3,}|_{3,})\s*)|(?P<quote>>.*)|(?P<bullet>[-*] .*)|(?P<number>\d+\. .*)|(?P<table>\|.*)|(?P<blank>\s*)|(?P<text>.*)", re.DOTALL)
 
 
 def inline(text: str) -> str:
@@ -30,8 +31,7 @@ def inline(text: str) -> str:
             return f'<img src="{m["src"]}" alt="{m["alt"]}">'
         if m["href"] is not None:
             return f'<a href="{m["href"]}">{inline(m["label"])}</a>'
-        tag = "strong" if m["strong"] else "em"
-        return f"<{tag}>{inline(m[tag])}</{tag}>"
+        return _tag("strong" if m["strong"] else "em", inline(m["strong"] or m["em"] or m["under"]))
 
     return _TOKEN.sub(write, text)
 
@@ -85,15 +85,15 @@ def to_html(page: str) -> str:
         lines = [x for _, x in run]
         if kind == "open":
             language, fenced = lines[0][3:].strip(), True
-            out.append(f'<pre><code class="language-{language}">' if language else "<pre><code>")
+            out.append(f'<pre class="language-{language}"><code>' if language else "<pre><code>")
         elif kind == "code":
             out[-1] += html.escape("\n".join(lines), quote=False)
         elif kind == "close":
-            out[-1] += "</code></pre>"
+            out[-1] += "\n</code></pre>"
             fenced = False
         elif kind != "blank":
             out.append(_BLOCKS[kind](lines))
-    return "\n".join(out) + ("</code></pre>" if fenced else "")
+    return "\n".join(out) + ("\n</code></pre>" if fenced else "")
 
 
 def markdown_html(column):

@@ -53,8 +53,9 @@ def slugify(t: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("untitled"))
 
 
-#: One token of a line: code, image, link, bold, italics, a run without marks, or a lone mark.
-_MARKS = r"(?s)`[^`]+`|!?\[[^\]]*\]\([^)]*\)|\*\*[^*]+\*\*|\*[^*]+\*|[^`!\[*]+|."
+#: One token of a line: code, image, link, bold (which may hold single stars), italics by stars or underscores, a run
+#: without marks, or a lone mark.
+_MARKS = r"(?s)`[^`]+`|!?\[[^\]]*\]\([^)]*\)|\*\*.+?\*\*|(?<!\*)\*(?!\*).+?(?<!\*)\*(?!\*)|(?<!_)_(?!_).+?(?<!_)_(?!_)|[^`!\[*_]+|."
 
 
 def inline_markup(t: Column | str) -> Column:
@@ -67,7 +68,7 @@ def inline_markup(t: Column | str) -> Column:
         link = F.concat(F.lit('<a href="'), target, F.lit('">'), name, F.lit("</a>"))
         image = F.concat(F.lit('<img src="'), target, F.lit('" alt="'), name, F.lit('">'))
         out = F.when(F.length(x) == 1, x).when(x.startswith("`"), tag("code", between(x, 1, 1))).when(x.startswith("!["), image)
-        return out.when(x.startswith("["), link).when(x.startswith("**"), tag("strong", between(x, 2, 2))).when(x.startswith("*"), tag("em", between(x, 1, 1))).otherwise(x)
+        return out.when(x.startswith("["), link).when(x.startswith("**"), tag("strong", between(x, 2, 2))).when(x.startswith("*") | (x.startswith("_")), tag("em", between(x, 1, 1))).otherwise(x)
 
     return F.array_join(F.transform(F.regexp_extract_all(_c(t), F.lit(_MARKS), F.lit(0)), written), "")
 

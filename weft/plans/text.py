@@ -45,7 +45,7 @@ def f05(spark, d):
 
 def f07(spark, d):
     p = load(spark, d, "part")
-    raw = F.concat(F.lit("![pic](/i/"), F.col("p_partkey").cast("string"), F.lit(".png) **"), F.col("p_brand"), F.lit("** `"), F.col("p_type"), F.lit("` ["), F.col("p_name"), F.lit("](/p)"))
+    raw = F.concat(F.lit("![pic](/i/"), F.col("p_partkey").cast("string"), F.lit(".png) **"), F.col("p_brand"), F.lit("** `"), F.col("p_type"), F.lit("` ["), F.col("p_name"), F.lit("](/p) _"), F.col("p_brand"), F.lit("_ **"), F.col("p_size").cast("string"), F.lit("*2** *now* a__b"))
     return p.select("p_partkey", X.inline_markup(raw).alias("html"))
 
 
@@ -139,7 +139,7 @@ _CASES = {
     "f04": (f04, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m01') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y%m%d') END AS day FROM orders"),
     "f05": (f05, "SELECT o_orderkey, strftime(o_orderdate, '%B %Y') AS label, strftime(o_orderdate, '%B %d, %Y') AS full FROM orders"),
     "f06": (lambda s, d: load(s, d, "part").select("p_partkey", X.slugify(F.concat("p_name", F.lit(" & "), "p_type", F.lit("!"))).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part"),
-    "f07": (f07, "SELECT p_partkey, '<img src=\"/i/' || p_partkey || '.png\" alt=\"pic\"> <strong>' || p_brand || '</strong> <code>' || p_type || '</code> <a href=\"/p\">' || p_name || '</a>' AS html FROM part"),
+    "f07": (f07, "SELECT p_partkey, '<img src=\"/i/' || p_partkey || '.png\" alt=\"pic\"> <strong>' || p_brand || '</strong> <code>' || p_type || '</code> <a href=\"/p\">' || p_name || '</a> <em>' || p_brand || '</em> <strong>' || p_size || '*2</strong> <em>now</em> a__b' AS html FROM part"),
     "f09": (lambda s, d: load(s, d, "pages").select("page_id", F.md5(X.escape_html("html")).alias("md5"), F.md5(X.escape_html("html", "&<")).alias("md5_short")), "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS md5, md5(replace(replace(html, '&', '&amp;'), '<', '&lt;')) AS md5_short FROM pages"),
     "f10": (f10, "SELECT c_custkey, 'hi <a href=\"/users/user' || c_custkey || '\">@user' || c_custkey || '</a> and <a href=\"/users/' || lower(c_mktsegment) || '\">@' || lower(c_mktsegment) || '</a>!' AS html, 'user' || c_custkey || ',' || lower(c_mktsegment) AS names FROM customer"),
     "f11": (f11, "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, len(list_distinct(w))::INT AS n_words, len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])))::INT AS n_bigrams FROM w"),
