@@ -83,3 +83,18 @@ def test_pairs_seen_once_count(spark):
     docs = spark.createDataFrame([(1, "a7 b7"), (2, "a7 b8")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in M.score_documents(docs, train).collect()}
     assert score[1] > score[2] + 1e-6
+
+
+def test_long_words_that_share_a_polynomial():
+    from weft.llm.common import text_blocks, word_hashes
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, mirror, f"x {word.upper()} y {mirror}", word[:256], mirror[:256]]
+    told = []
+    for _, _, data, offsets in text_blocks(pa.array(texts)):
+        h, first = word_hashes(data, offsets)
+        told += [h[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+    assert told[0] != told[1] and told[2][1] == told[0][0] and told[2][3] == told[1][0] and told[3] != told[4]

@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in blocks of about so many bytes, so that a task's memory doesn't follow its batch.
 BLOCK_BYTES = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -152,7 +155,11 @@ def word_places(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray = _LOWE
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return mix((sums[e] - sums[s]) * inverse[s]), np.searchsorted(s, offsets), s, e
+    hashes = mix((sums[e] - sums[s]) * inverse[s])
+    # long words can be built to share a sum, whatever its base
+    for k in np.flatnonzero(e - s > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(low[s[k] : e[k]].tobytes(), LONG_WORD)
+    return hashes, np.searchsorted(s, offsets), s, e
 
 
 def as_long(x: np.ndarray) -> pa.Array:
