@@ -9,13 +9,13 @@ and begin/inside of each kind, with learned transitions; begin/inside order is a
 
 Windows without a digit, an "@" or a spelled mark (_TRIGGER) hold none of the kinds and aren't run. All others are run in
 batches; where windows overlap, their scores are averaged, weighted towards windows' middles, and one Viterbi decoding
-over each covered stretch reconciles them. A decoded span is added if it overlaps no base span, beats "no span here" by
-MARGIN a character, and has what its kind asks for (plausible()): a name, a mark and a domain; four numbers up to 255;
-14 to 19 digits; 10 to 15 digits.
+over each run of windows, whatever its length, reconciles them (scores and ways are carried from batch to batch). A
+decoded span is added if it overlaps no base span, beats "no span here" by MARGIN a character, and has what its kind asks
+for (plausible()): a name, a mark and a domain; four numbers up to 255; 14 to 19 digits; 10 to 15 digits.
 
-Whole texts are read, stretch by stretch, so that memory follows the longest run of windows' scores and not the text;
-offsets are code points, ends exclusive. Null texts are empty. Repeated rows each get a row. An empty table gives no rows;
-one without labelled windows gives base spans only. Only doc_id and text are read, further columns take no part.
+Whole texts are read, batch by batch, so that memory follows the open part of a decoding and not the text; offsets
+are code points, ends exclusive. Null texts are empty. Repeated rows each get a row. An empty table gives no rows; one
+without labelled windows gives base spans only. Only doc_id and text are read, further columns take no part.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from weft.llm.common import materialise, table
 SAMPLE, WINDOWS = 1_500, 4_800
 #: Disguises of each labelled stretch, as long as WINDOWS has room.
 COPIES = 12
-#: Windows that are run at once, and characters of a stretch whose scores are held at once (longer runs are cut between windows).
-BATCH, STRETCH = 256, 12_000
+#: Windows that are run at once.
+BATCH = 256
 WIDTH, STRIDE = 48, 24
 EMBED, HIDDEN = 10, 14
 MARGIN = 0.5
@@ -248,45 +248,45 @@ class Tagger:
         return losses
 
     def decode(self, em: np.ndarray) -> list[int]:
-        """The best tag path of one stretch of scores (length, TAGS)."""
-        tr = self.transitions()
-        score, back = em[0] + np.where(self.barred[0], -1e4, 0.0), []
-        for row in em[1:]:
-            way = score[:, None] + tr
-            back.append(way.argmax(0))
-            score = way.max(0) + row
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+        """The best tag path of scores (length, TAGS)."""
+        return [t for _, _, path in Decoder(self).push(em, True) for t in path]
 
     def spans(self, text: str) -> Iterator[tuple[str, int, int]]:
         """Spans of a whole text that the tagger finds."""
         run: list[int] = []
         for s in window_starts(text):
-            if run and (s != run[-1] + STRIDE or s - run[0] > STRETCH):
-                yield from self._stretch(text, run)
+            if run and s != run[-1] + STRIDE:
+                yield from self._run(text, run)
                 run = []
             run.append(s)
         if run:
-            yield from self._stretch(text, run)
+            yield from self._run(text, run)
 
-    def _stretch(self, text: str, starts: list[int]) -> list[tuple[str, int, int]]:
-        """Spans in windows that follow each other by one stride: averaged scores, decoded once."""
-        base = starts[0]
-        n = min(len(text), starts[-1] + WIDTH) - base
-        total, weight = np.zeros((starts[-1] + WIDTH - base, TAGS)), np.zeros(starts[-1] + WIDTH - base)
+    def _run(self, text: str, starts: list[int]) -> Iterator[tuple[str, int, int]]:
+        """Spans in windows that follow each other by one stride: averaged scores and one decoding of the whole run.
+
+        Scores are made BATCH windows at a time; places that later windows still reach are carried over.
+        """
         middle = 1.0 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1])
-        code = np.zeros(len(total), np.int64)
-        code[:n] = classes(text[base : base + n])
+        total, weight = np.zeros((WIDTH - STRIDE, TAGS)), np.zeros(WIDTH - STRIDE)
+        way = Decoder(self)
         for k in range(0, len(starts), BATCH):
-            own = np.array(starts[k : k + BATCH]) - base
-            em = self.emissions(code[own[:, None] + np.arange(WIDTH)[None]])
-            for s, e in zip(own.tolist(), em, strict=True):
+            own = starts[k : k + BATCH]
+            base, end = own[0], own[-1] + WIDTH
+            code = np.zeros(end - base, np.int64)
+            part = text[base:end]
+            code[: len(part)] = classes(part)
+            total = np.concatenate([total, np.zeros((end - base - len(total), TAGS))])
+            weight = np.concatenate([weight, np.zeros(end - base - len(weight))])
+            at = np.array(own) - base
+            for s, e in zip(at.tolist(), self.emissions(code[at[:, None] + np.arange(WIDTH)[None]]), strict=True):
                 total[s : s + WIDTH] += e * middle[:, None]
                 weight[s : s + WIDTH] += middle
-        em = total[:n] / weight[:n, None]
-        return self._accepted(text, base, em, self.decode(em))
+            last = k + BATCH >= len(starts)
+            whole = len(part) if last else len(own) * STRIDE
+            for begin, em, path in way.push(total[:whole] / weight[:whole, None], last):
+                yield from self._accepted(text, starts[0] + begin, em, path)
+            total, weight = total[whole:], weight[whole:]
 
     def _accepted(self, text: str, base: int, em: np.ndarray, path: list[int]) -> list[tuple[str, int, int]]:
         out, k = [], 0
@@ -305,6 +305,59 @@ class Tagger:
         return out
 
 
+class Decoder:
+    """The best tag path of scores that come in pieces, equal to that of all scores at once.
+
+    What is settled, as the ways to all tags of the newest place share it, is given out and forgotten, up to a place where
+    a span begins or none is open; so memory follows the part that is still open, and no length cuts a decoding.
+    """
+
+    def __init__(self, tagger: Tagger):
+        self.tr, self.first = tagger.transitions(), np.where(tagger.barred[0], -1e4, 0.0)
+        self.score: np.ndarray | None = None
+        self.begin = 0
+        self.em = np.empty((0, TAGS))
+        self.back = np.empty((0, TAGS), np.int8)
+
+    def push(self, em: np.ndarray, last: bool) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """(place of its first score, scores, path) of what these scores settle; the rest too if they are the last."""
+        back = np.zeros((len(em), TAGS), np.int8)
+        for k, row in enumerate(em):
+            if self.score is None:
+                self.score = self.first + row
+                continue
+            way = self.score[:, None] + self.tr
+            back[k] = way.argmax(0)
+            self.score = way.max(0) + row
+            self.score -= self.score.max()
+        self.em, self.back = np.concatenate([self.em, em]), np.concatenate([self.back, back])
+        n = len(self.em)
+        if self.score is None or not n:
+            return
+        if last:
+            path = self._path(int(self.score.argmax()), n - 1)
+            yield self.begin, self.em, path
+            return
+        tags, k = np.arange(TAGS), n - 1
+        while k > 0 and (tags != tags[0]).any():
+            tags = self.back[k][tags]
+            k -= 1
+        if k <= 0:
+            return
+        path = self._path(int(tags[0]), k)
+        while k > 0 and path[k] and path[k] % 2 == 0:
+            k -= 1
+        if k:
+            yield self.begin, self.em[:k], path[:k]
+            self.begin, self.em, self.back = self.begin + k, self.em[k:], self.back[k:]
+
+    def _path(self, tag: int, k: int) -> list[int]:
+        path = [tag]
+        for b in self.back[k:0:-1]:
+            path.append(int(b[path[-1]]))
+        return path[::-1]
+
+
 _SPELLED_AT = re.compile(r"(?:\w[\w.+-]*\w|\w)(?:@|\s@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s)\w[\w-]*(?:(?:\s?\.\s?|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)\w[\w-]*)+", re.IGNORECASE)
 _READ_AS = str.maketrans("OolI", "0011")
 
