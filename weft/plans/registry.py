@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import arrays, chat, ensembles, learning, maps, models, online, searching, streams, text
+from weft.plans import arrays, chat, ensembles, learning, maps, models, online, searching, streams, text, tuning
 
-_MODULES = [arrays, chat, text, learning, models, streams, ensembles, online, maps, searching]
+_MODULES = [arrays, chat, text, learning, models, streams, ensembles, online, maps, searching, tuning]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

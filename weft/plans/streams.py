@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import markup
-from weft.functions.randomness import uniform
 from weft.operators import attribution, forest
 from weft.plans import forest_sql
 from weft.sources.tables import load
@@ -71,26 +70,6 @@ def m33(spark, d):
     return forest.predict_mean(rows, nodes, 3, "key").join(total, "key").select("key", "predicted", (F.abs(F.col("predicted") - F.col("explained")) < 1e-5).alias("explained"))
 
 
-def m37(spark, d):
-    """Successive halving over depth and trees: scores on held-out rows; the better half gets twice the rows."""
-    rows = _rows(spark, d).withColumn("u", uniform(37, "key"))
-    held = rows.where("u < 0.25")
-    configs = [(t, k) for t in (1, 3) for k in (1, 3)]
-    share, told = 0.25, []
-    while True:
-        scored = []
-        for t, k in configs:
-            nodes = _forest(rows.where((F.col("u") >= 0.25) & (F.col("u") < 0.25 + 0.75 * share)), t, k)
-            mse = forest.predict_mean(held, nodes, k, "key").join(held.select("key", "y"), "key").agg(F.avg(F.pow(F.col("predicted") - F.col("y"), 2))).first()[0]
-            scored.append((mse if mse is not None else float("inf"), t, k))
-        scored.sort()
-        told += [(float(share), t, k, float(round(s, 4)), r + 1) for r, (s, t, k) in enumerate(scored)]
-        if len(configs) == 1 or share >= 1:
-            break
-        configs, share = [(t, k) for _, t, k in scored[: max(1, len(scored) // 2)]], min(1.0, share * 2)
-    return spark.createDataFrame(told, "share double, trees int, depth int, mse double, place int")
-
-
 def f08(spark, d):
     docs = load(spark, d, "documents")
     raw = F.concat(F.lit("# Title\n\n- one **"), F.col("lang"), F.lit("**\n- two\n\n> quote\n\n"), F.col("text"))
@@ -153,7 +132,6 @@ _CASES = {
     "z07": (z07, "SELECT event_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS repeated FROM events"),
     "m32": (m32, _SHAP + _SUBSETS),
     "m33": (m33, _SHAP + "SELECT key, round(avg(mean), 6) AS predicted, true AS explained FROM leaf JOIN nd USING (tree, node) GROUP BY key"),
-    "m37": (m37, None),
     "f08": (f08, None),
     "f14": (f14, _broken("SELECT doc_id AS key, text FROM documents", 60) + "SELECT key AS doc_id, count(*) AS n, max(length(line)) AS widest FROM lines GROUP BY key"),
     "x16": (x16, _broken("SELECT p_partkey AS key, p_name AS text FROM part", 10) + ", r AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY para, k) - 1 AS row FROM lines) SELECT key AS p_partkey, line[c] AS glyph, (c - 1) * 8 AS x, row * 16 AS y FROM r, unnest(range(1, length(line) + 1)) AS u(c)"),
