@@ -84,3 +84,64 @@ def test_spans_of_a_long_run_do_not_depend_on_the_batches(monkeypatch):
     assert len(found[0]) > 100
     assert all(f == found[0] for f in found[1:])
     assert all(a[2] <= b[1] for a, b in itertools.pairwise(found[0]))
+
+
+#: Forms, sentences and other numbers written by hand; training draws none of these marks and sentences.
+FORMS = {
+    "email": ["mara.voss <at> nordpost <dot> org", "mara.voss|at|nordpost.org", "mara (@) nordpost.org", "mara.voss *at* nordpost *dot* org", "mara At nordpost Dot org", "mara ((at)) nordpost.org", "mvoss7 /at/ nordpost /dot/ co /dot/ uk", "mara.voss <at> mail.nordpost.org", "m_voss [ at ] nordpost [ dot ] org", "mara dot voss at nordpost dot org"],
+    "ip": ["10|44|7|201", "192 | 168 | 10 | 77", "172*16*254*3", "10<dot>44<dot>7<dot>201", "192 (dot) 168 (dot) 10 (dot) 77", "88;14;201;9", "203{dot}0{dot}113{dot}9", "10<.>44<.>7<.>201", "172 · 16 · 254 · 3", "192•168•10•77"],
+    "card": ["4539*1488*0343*6467", "4539|1488|0343|6467", "4539 – 1488 – 0343 – 6467", "4539·1488·0343·6467", "4539 | 1488 | 0343 | 6467", "4539 14 88 O343 6467", "45391488 / 03436467", "453914*880343*6467", "4539\t1488\t0343\t6467", "4539+1488+0343+6467"],
+    "phone": ["0049 | 170 | 123 | 4567", "212|301|7788", "(212) * 301 * 7788", "0049*170*1234567", "212–301–7788", "212 · 301 · 7788", "0044-20-7946-0958", "00 33 6 12 34 56 78", "[212] 301-7788", "49|1701234567"],
+}
+SENTENCES = ["You can reach me under {} most days.", "Contact: {}\n", "He wrote it on the wall: {} and left.", "Bitte an {} senden, danke!", "mine is {}, call or write", "{} is what the log said", "we used \"{}\" until March", "- {}\n- none", "Send it to {} before 5 pm on 12 May 2021.", "data={}; next"]
+PLAIN = [
+    "We met at noon. Look at example.org for 3.5 reasons.", "Born 1984-05-17 10:22:31, died 2003-11-02.", "See ISBN 978-3-16-148410-0 on page 212.", "It cost 1,234,567.89 euros in 2019.", "Version 12.4.1 came out on 3/4/2018 at 10:30.",
+    "Call number 1289 of 4,500.", "The score was 3 - 2, then 10 - 7 at home.", "Rows 10, 20, 30 and 40 are dropped.", "Order 44718820 left at 18.30 on 12.11.", "Pi is 3.14159265 or so.", "He ran 100 m at 9.58 s; 200 m at 19.19 s.", "Sections 1.2, 1.3 and 2.4 at the end.",
+    "Years 1990, 1991, 1992, 1993.", "A ratio of 16:9 at 1920 x 1080.", "Look at it. Dot your letters.", "Between 2001-2004 and 2010-2014 it rose 12.5%.", "About 7.8 billion people; 51 at last count.", "From 0900 to 1730, room 4.112.", "sin(0.5) = 0.479425538604", "Load 0.12 0.44 0.91 on 8 cores", "Arrive at gate 12.b at 7.", "(at) first I thought [at] last", "12 34 56", "tmp_12_2019_v3.txt at line 40.",
+]
+
+#: Written when the training was settled but for the classes of marks, and never looked into.
+_LATER = {
+ "email": ["lena_kurz <at> seewind <dot> net", "lena |at| seewind.net", "l.kurz%at%seewind%dot%net", "lena44 #at# post.seewind.net", "kurz <AT> seewind <DOT> co <DOT> nz", "lena >at< seewind >dot< net"],
+ "ip": ["91&12&240&5", "91 & 12 & 240 & 5", "91<dot>12<dot>240<dot>5", "8^8^4^4", "100|64|0|12", "91 > 12 > 240 > 5"],
+ "card": ["5425&2334&3010&9903", "5425 | 2334 | 3010 | 9903", "5425^2334^3010^9903", "542523*343010*9903", "54252334>30109903", "5425=2334=3010=9903"],
+ "phone": ["0043|664|555|1234", "(664) | 555 | 1234", "0043 664 555 12 34", "664&555&1234", "43*6645551234", "00 1 415 555 2671"],
+}
+_SAID = ["My own one is {} now.", "Nutzt {} dafür.", "* {}\n* other", "ring {}; thanks", "value: '{}'", "Ask for {}, she said"]
+LATER = []
+for k, forms in _LATER.items():
+    for j, f in enumerate(forms):
+        for s in (_SAID[j], _SAID[(j + 2) % 6]):
+            LATER.append((k, f, s.index("{}"), s.format(f)))
+
+
+def test_forms_that_training_does_not_draw(spark):
+    tagger = P.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    found, told_spans = 0, 0
+    for kind, forms in FORMS.items():
+        for k, form in enumerate(forms):
+            for sentence in (SENTENCES[k], SENTENCES[(k + 3) % 10]):
+                at = sentence.index("{}")
+                got = P.all_spans(sentence.format(form), tagger)[1]
+                told_spans += len(got)
+                found += (kind, at, at + len(form)) in got
+    later = [P.all_spans(text, tagger)[1] for _, _, _, text in LATER]
+    hit = sum((kind, a, a + len(form)) in got for (kind, form, a, _), got in zip(LATER, later, strict=True))
+    print("found", found, "told", told_spans, "later", hit, "told", sum(map(len, later)))
+    assert hit >= 0.4 * len(LATER)
+    assert found >= 0.7 * 80
+    assert found >= 0.9 * told_spans
+    assert sum(len(P.all_spans(t, tagger)[1]) for t in PLAIN) <= 1
+
+
+@pytest.mark.parametrize("kind", P.KINDS)
+def test_disguises_keep_what_their_kind_asks_for(kind):
+    rng = np.random.default_rng(7)
+    right = told_spans = 0
+    for _ in range(300):
+        own = P.another(kind, rng)
+        assert P.base_spans(own) and P.base_spans(own)[0][0] == kind
+        hidden, spans = P.disguised(f"before {own} after", [(kind, 7, 7 + len(own))], rng)
+        told_spans += len(spans)
+        right += sum(P.plausible(kind, hidden[a:b]) for _, a, b in spans)
+    assert right >= 0.98 * told_spans > 200  # numbers may look like dates by chance
