@@ -86,7 +86,8 @@ def test_spans_of_a_long_run_do_not_depend_on_the_batches(monkeypatch):
     assert all(a[2] <= b[1] for a, b in itertools.pairwise(found[0]))
 
 
-#: Forms, sentences and other numbers written by hand; training draws none of these marks and sentences.
+#: Forms, sentences and other numbers written by hand. About ten of the forty forms are ones that training may draw too
+#: ("(dot)", "[ at ]", ";", "At ... Dot"), and its spaced separators were added after reading what was missed here.
 FORMS = {
     "email": ["mara.voss <at> nordpost <dot> org", "mara.voss|at|nordpost.org", "mara (@) nordpost.org", "mara.voss *at* nordpost *dot* org", "mara At nordpost Dot org", "mara ((at)) nordpost.org", "mvoss7 /at/ nordpost /dot/ co /dot/ uk", "mara.voss <at> mail.nordpost.org", "m_voss [ at ] nordpost [ dot ] org", "mara dot voss at nordpost dot org"],
     "ip": ["10|44|7|201", "192 | 168 | 10 | 77", "172*16*254*3", "10<dot>44<dot>7<dot>201", "192 (dot) 168 (dot) 10 (dot) 77", "88;14;201;9", "203{dot}0{dot}113{dot}9", "10<.>44<.>7<.>201", "172 · 16 · 254 · 3", "192•168•10•77"],
@@ -100,7 +101,7 @@ PLAIN = [
     "Years 1990, 1991, 1992, 1993.", "A ratio of 16:9 at 1920 x 1080.", "Look at it. Dot your letters.", "Between 2001-2004 and 2010-2014 it rose 12.5%.", "About 7.8 billion people; 51 at last count.", "From 0900 to 1730, room 4.112.", "sin(0.5) = 0.479425538604", "Load 0.12 0.44 0.91 on 8 cores", "Arrive at gate 12.b at 7.", "(at) first I thought [at] last", "12 34 56", "tmp_12_2019_v3.txt at line 40.",
 ]
 
-#: Written when the training was settled but for the classes of marks, and never looked into.
+#: Written later; their misses were never read, but settings of the training were chosen with their counts in view.
 _LATER = {
  "email": ["lena_kurz <at> seewind <dot> net", "lena |at| seewind.net", "l.kurz%at%seewind%dot%net", "lena44 #at# post.seewind.net", "kurz <AT> seewind <DOT> co <DOT> nz", "lena >at< seewind >dot< net"],
  "ip": ["91&12&240&5", "91 & 12 & 240 & 5", "91<dot>12<dot>240<dot>5", "8^8^4^4", "100|64|0|12", "91 > 12 > 240 > 5"],
@@ -115,7 +116,7 @@ for k, forms in _LATER.items():
             LATER.append((k, f, s.index("{}"), s.format(f)))
 
 
-def test_forms_that_training_does_not_draw(spark):
+def test_forms_written_by_hand(spark):
     tagger = P.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     found, told_spans = 0, 0
     for kind, forms in FORMS.items():
