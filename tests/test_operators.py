@@ -23,6 +23,14 @@ def test_kneser_ney_sums_to_one(spark):
             assert abs(p["cat"] - 0.475) < 1e-9
 
 
+def test_kneser_ney_counts_once_and_keeps_counts_off_the_driver(spark):
+    s = spark.createDataFrame([(1, "the cat sat".split()), (2, "the dog ran".split())], "id long, words array<string>")
+    tokens = ngrams.token_contexts(s, 3, "id")
+    plan = ngrams.scored(tokens, ngrams.ngram_counts(s, 3), 3)._jdf.queryExecution().executedPlan().toString()
+    # the sentences are taken apart for the tokens only, and no table of counts is broadcast, however small it looks
+    assert plan.count("Generate explode") == 1 and "BroadcastHashJoin" not in plan
+
+
 def random_tree(rng, features):
     nodes = []
 

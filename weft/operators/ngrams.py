@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.storage import materialise
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
@@ -46,20 +48,27 @@ def scored(tokens: DataFrame, counts: DataFrame, order: int, discount: float = 0
 
     The top order takes raw counts, lower orders continuation counts; gamma takes followers of raw counts.
     """
-    cont, raw_totals = continuation_counts(counts), context_totals(counts)
+    # counted once, and not again for each table of each order; tables of counts grow with the text, and so are joined by
+    # merging: compressed, they look small enough for the driver when they aren't
+    counts = materialise(counts)
+    cont = materialise(continuation_counts(counts))
     distinct = counts.where(F.col("n") == 1).agg((F.count("*") + 1).alias("_v"))
     uni = cont.where(F.col("n") == 1)
     types = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_types"))
     out = tokens.withColumn("ctx", F.slice("ctx", F.greatest(F.size("ctx") - (order - 2), F.lit(1)), order - 1) if order > 1 else F.expr("cast(array() as array<string>)"))
-    out = out.join(uni.select("word", F.col("c").alias("_c1")), "word", "left").join(F.broadcast(distinct)).join(F.broadcast(types))
+    out = out.join(uni.select("word", F.col("c").alias("_c1")).hint("merge"), "word", "left").join(F.broadcast(distinct)).join(F.broadcast(types))
     out = out.withColumn("p", F.when(F.col("_types") > 0, F.coalesce("_c1", F.lit(0)) / F.col("_types")).otherwise(1 / F.col("_v"))).drop("_c1", "_v", "_types")
     for n in range(2, order + 1):
-        table = counts if n == order else cont
-        part = table.where(F.col("n") == n)
+        raw = counts.where(F.col("n") == n)
+        part = raw if n == order else cont.where(F.col("n") == n)
         has = F.size("ctx") >= n - 1
         key = F.when(has, F.slice("ctx", F.greatest(F.size("ctx") - (n - 2), F.lit(1)), n - 1))
-        total = part.groupBy(F.col("ctx").alias("_k")).agg(F.sum("c").alias("_t")).join(raw_totals.where(F.col("n") == n).select(F.col("ctx").alias("_k"), "followers"), "_k", "left")
-        out = out.withColumn("_k", key).join(total, "_k", "left").join(part.select(F.col("ctx").alias("_k"), "word", F.col("c").alias("_c")), ["_k", "word"], "left")
+        # one grouping for both: a context that is continued is one of raw counts, too
+        both = part.select(F.col("ctx").alias("_k"), F.col("c").alias("_t"), F.lit(1 if n == order else 0).alias("followers"))
+        if n < order:
+            both = both.unionByName(raw.select(F.col("ctx").alias("_k"), F.lit(None).cast("bigint").alias("_t"), F.lit(1).alias("followers")))
+        total = both.groupBy("_k").agg(F.sum("_t").alias("_t"), F.sum("followers").alias("followers")).where("_t IS NOT NULL")
+        out = out.withColumn("_k", key).join(total.hint("merge"), "_k", "left").join(part.select(F.col("ctx").alias("_k"), "word", F.col("c").alias("_c")).hint("merge"), ["_k", "word"], "left")
         alpha = F.greatest(F.coalesce("_c", F.lit(0)) - discount, F.lit(0.0)) / F.col("_t")
         gamma = discount * F.coalesce("followers", F.lit(0)) / F.col("_t")
         out = out.withColumn("p", F.when(has & F.col("_t").isNotNull(), alpha + gamma * F.col("p")).otherwise(F.col("p"))).drop("_k", "_t", "_c", "followers")
