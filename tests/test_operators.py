@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from weft.functions import markup
 from weft.functions import text as X
-from weft.operators import attribution, binning, boosting, forest, ngrams
+from weft.operators import attribution, binning, boosting, forest, grids, heightmaps, ngrams
 from weft.streaming import events
 
 
@@ -31,6 +32,27 @@ def test_kneser_ney_counts_once_and_keeps_counts_off_the_driver(spark):
     assert plan.count("Generate explode") == 1 and "BroadcastHashJoin" not in plan
 
 
+def test_small_heightmaps_equal_those_of_the_tables_of_cells(spark, monkeypatch):
+    keys = spark.range(3).select(F.col("id").alias("map"))
+    quick = heightmaps.heightmap(keys.union(keys), 20, 14, 31)
+    plan = quick._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange ") == 1
+    got = {(r.map, r.y, r.x): r.v for r in quick.collect()}
+    monkeypatch.setattr(heightmaps, "ROW_CELLS", 0)
+    monkeypatch.setattr(heightmaps, "BROADCAST_MAPS", 0)
+    slow = heightmaps.heightmap(keys, 20, 14, 31)
+    assert "BroadcastHashJoin" not in slow._jdf.queryExecution().executedPlan().toString()
+    want = {(r.map, r.y, r.x): r.v for r in slow.collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 20 * 14
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-12
+
+
+def test_joins_of_grids_broadcast_no_cells(spark):
+    cells = spark.range(64).select((F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), (F.col("id") / 64).alias("v"))
+    for df in (grids.downhill(cells), grids.descents(cells, 0.1, 8)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def random_tree(rng, features):
     nodes = []
 

@@ -57,12 +57,12 @@ def nearest_seed(grid: DataFrame, seeds: DataFrame, by: list[str] | None = None)
         at = materialise(at.withColumns({"d": low[0] + low[1], "far": high[0] + high[1]}))
         if size > 1:
             reach = materialise(at.groupBy(*tile).agg(F.min("far").alias("reach")))
-            reach = F.broadcast(reach) if reach.count() <= BROADCAST_TILES else reach
+            reach = F.broadcast(reach) if reach.count() <= BROADCAST_TILES else reach.hint("merge")
             at = at.join(reach, tile).where("d <= reach").drop("reach", "d", "far")
     if "d" not in at.columns:  # one cell at most
         at = at.withColumn("d", F.col("sy") * F.col("sy") + F.col("sx") * F.col("sx"))
     best = at.groupBy(*tile).agg(F.min_by("k", F.struct("d", "k")).alias("seed"))
-    return grid.join(best.withColumnsRenamed({"ty": "y", "tx": "x"}), [*by, "y", "x"])
+    return grid.join(best.withColumnsRenamed({"ty": "y", "tx": "x"}).hint("merge"), [*by, "y", "x"])
 
 
 def region_blend(grid: DataFrame, share: float = 0.82) -> DataFrame:
@@ -99,7 +99,7 @@ def edge_falloff(v: Column, y: Column, x: Column, h: int, w: int, margin: float,
 def neighbours(grid: DataFrame, offsets: list[tuple[int, int]], columns: list[str]) -> DataFrame:
     """(y, x, n_<column>...) for each neighbour that exists: cells send themselves to their neighbours' places."""
     sent = grid.select(F.explode(F.array(*(F.struct((F.col("y") - a).alias("y"), (F.col("x") - b).alias("x"), F.lit(k).alias("direction")) for k, (a, b) in enumerate(offsets)))).alias("p"), *(F.col(c).alias(f"n_{c}") for c in columns))
-    return sent.select("p.*", *(f"n_{c}" for c in columns)).join(grid.select("y", "x"), ["y", "x"], "left_semi")
+    return sent.select("p.*", *(f"n_{c}" for c in columns)).join(grid.select("y", "x").hint("merge"), ["y", "x"], "left_semi")
 
 
 def components(cells: DataFrame) -> DataFrame:
@@ -136,11 +136,11 @@ def descents(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> D
 
     A cell has one way down, so that paths double from round to round: each is continued by its last cell's own.
     """
-    step = downhill(grid).join(grid, ["y", "x"]).where((F.col("v") >= water) & (F.col("nv") <= F.col("v") + rise))
+    step = downhill(grid).join(grid.hint("merge"), ["y", "x"]).where((F.col("v") >= water) & (F.col("nv") <= F.col("v") + rise))
     at = materialise(step.select(cell("y", "x").alias("c"), F.array(cell("y", "x"), cell("ny", "nx")).alias("path"), cell("ny", "nx").alias("end"), (F.col("nv") < water).alias("wet")))
     for _ in range(max(0, (steps - 1).bit_length())):
         on = at.select(F.col("c").alias("end"), F.slice("path", 2, 1 << 30).alias("more"), F.col("end").alias("far"), F.col("wet").alias("far_wet"))
-        at = materialise(at.join(on, "end", "left").select("c", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.coalesce("far", "end").alias("end"), F.coalesce("far_wet", "wet").alias("wet"), F.col("more").isNotNull().alias("moved")))
+        at = materialise(at.join(on.hint("merge"), "end", "left").select("c", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.coalesce("far", "end").alias("end"), F.coalesce("far_wet", "wet").alias("wet"), F.col("more").isNotNull().alias("moved")))
         if not at.where("moved").limit(1).count():
             break
         at = at.drop("moved")
@@ -149,7 +149,7 @@ def descents(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> D
     cut = F.when(revisits, F.slice("path", F.lit(1), F.get(seen_before, F.lit(0)) - 1)).otherwise(F.col("path"))
     at = at.withColumn("path", F.slice(cut, 1, steps + 1)).withColumn("wet", F.col("wet") & (F.col("end") == F.element_at("path", -1)))
     dry = grid.where(F.col("v") >= water).select(F.col("y").alias("y0"), F.col("x").alias("x0"), cell("y", "x").alias("c"))
-    return dry.join(at, "c", "left").select("y0", "x0", F.coalesce("path", F.array("c")).alias("path"), F.coalesce("wet", F.lit(False)).alias("wet"))
+    return dry.join(at.hint("merge"), "c", "left").select("y0", "x0", F.coalesce("path", F.array("c")).alias("path"), F.coalesce("wet", F.lit(False)).alias("wet"))
 
 
 def descent_paths(grid: DataFrame, water: float, steps: int, rise: float = 0.03) -> DataFrame:
