@@ -53,3 +53,16 @@ def test_postfix(spark):
     rows = [("a b NOT c OR d", "a b & c NOT d OR"), ("a OR b AND c NOT d", "a b c d NOT AND OR"), ("(a OR b) AND NEAR(c d, 2)", "a b OR NEAR(c d, 2) AND")]
     df = spark.createDataFrame(rows, "q string, want string").withColumn("got", F.concat_ws(" ", search.postfix(F.col("q"))))
     assert all(r.got == r.want for r in df.collect())
+
+
+def test_only_postings_that_are_asked_for_travel_and_long_phrases_are_whole(spark):
+    long = " ".join(f"w{k}" for k in range(130))
+    docs = spark.createDataFrame([(1, long), (2, long.replace("w64", "x")), (3, "w3 " + long), (4, "w3"), (4, "w3")], "id long, text string")
+    index = chat.tokens(docs, "id", "text")
+    queries = spark.createDataFrame([(1, f'"{long}"'), (2, "w3"), (3, "NEAR(w3 w64, 60)")], "q long, query string")
+    assert {(r.q, r.id) for r in search.matches(queries, index, "q", "id").collect()} == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 3)}
+    phrases = spark.createDataFrame([(7, ["w3"], False, False)], "phrase long, words array<string>, open boolean, placed boolean")
+    hits = search._phrase_hits(phrases, index, "id")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.id, r.start) for r in hits.collect()) == [(1, None), (2, None), (3, None), (4, None)]

@@ -19,6 +19,12 @@ from weft.operators.storage import materialise
 _TOKEN = r'NEAR\([^()]*\)|"[^"]*"\*?|[()]|[^\s()"*]+\*?|\*'
 _BESIDE = "&"
 _RANK = {_BESIDE: 4, "NOT": 3, "AND": 2, "OR": 1}
+#: Tables of the queries' terms, leaves and postfix arrays are broadcast up to this many rows.
+BROADCAST_ROWS = 100_000
+#: Parts that postings are dealt into, for each partition of a shuffle.
+_DEALT = 8
+#: Places of a phrase that one number's bits tell.
+_BITS = 62
 #: Tokens that NEAR allows between its first and last phrase, where it names no number.
 NEAR = 10
 
@@ -84,18 +90,32 @@ def _leaves(queries: DataFrame, key: str) -> DataFrame:
     return parts.select(key, "leaf", "part", "parts", "within", _words(F.col("phrase")).alias("words"), F.col("phrase").endswith("*").alias("open"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, written already, as the side of a join that is broadcast if it has few rows, and merged else."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def _phrase_hits(phrases: DataFrame, index: DataFrame, doc: str) -> DataFrame:
-    """(words, open, doc, start) where the distinct phrases (words, open) stand."""
-    asked = phrases.select("words", "open", F.posexplode("words").alias("k", "term")).withColumn("prefix", F.col("open") & (F.col("k") == F.size("words") - 1))
-    # prefixes are met by the vocabulary, not by the postings
-    prefixes = asked.where("prefix").select(F.col("term").alias("p")).distinct()
-    longest = prefixes.agg(F.max(F.length("p"))).first()[0] or 0
-    vocabulary = index.select("term").distinct()
-    begun = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(max(1, longest))))).alias("n")).select("term", F.expr("left(term, n)").alias("p"))
-    widened = asked.where("prefix").withColumnRenamed("term", "p").join(begun.join(prefixes, "p", "left_semi"), "p").select("words", "open", "k", "term")
-    wanted = asked.where("NOT prefix").select("words", "open", "k", "term").unionByName(widened)
-    at = index.join(wanted, "term").select("words", "open", doc, (F.col("pos") - F.col("k")).alias("start"), "k").distinct()
-    return at.groupBy("words", "open", doc, "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size("words")).drop("n")
+    """(phrase, doc, start) where phrases (phrase, words, open, placed) stand; start is null for words that needn't be placed.
+
+    Postings are met by the terms and prefixes that are asked for, whoever asks; those that are travel once, as numbers, to
+    their document's task. What they mean to each phrase is worked out there.
+    """
+    asked = phrases.select("phrase", "open", "placed", F.size("words").alias("n"), F.posexplode("words").alias("k", "term")).withColumn("prefix", F.col("open") & (F.col("k") == F.col("n") - 1))
+    asked = materialise(asked.select("phrase", "placed", "n", "k", "term", "prefix", F.xxhash64("term", "prefix").alias("key")))
+    lengths = sorted(r[0] for r in asked.where("prefix").select(F.length("term")).distinct().collect())
+    forms = [F.struct(F.col("term").alias("term"), F.lit(False).alias("prefix"))]
+    forms += [F.struct(F.when(F.length("term") >= n, F.left("term", F.lit(n))).alias("term"), F.lit(True).alias("prefix")) for n in lengths]
+    keys = materialise(asked.select("term", "prefix", "key").distinct())
+    told = index.select(doc, "pos", F.explode(F.array(*forms)).alias("form")).select(doc, "pos", "form.*").join(_few(keys), ["term", "prefix"]).select(doc, "pos", "key")
+    # many small parts: a part's phrases and starts are to fit into its task's memory
+    deal = _DEALT * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = told.repartition(deal, doc).join(_few(asked.drop("term", "prefix")), "key").withColumn("start", F.when(F.col("placed") | (F.col("n") > 1), F.col("pos") - F.col("k")))
+    most = phrases.agg(F.max(F.size("words"))).first()[0] or 0
+    parts = max(1, -(-most // _BITS))
+    bit = F.expr(f"shiftleft(1L, k % {_BITS})")
+    met = at.groupBy("phrase", "n", doc, "start").agg(*(F.bit_or(F.when(F.floor(F.col("k") / _BITS) == j, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{j}") for j in range(parts)))
+    return met.where(sum((F.bit_count(f"_m{j}") for j in range(parts)), F.lit(0)) == F.col("n")).select("phrase", doc, "start")
 
 
 def matches(queries: DataFrame, index: DataFrame, key: str, doc: str, text: str = "query") -> DataFrame:
@@ -108,14 +128,16 @@ def matches(queries: DataFrame, index: DataFrame, key: str, doc: str, text: str
     asked = materialise(queries.select(key, postfix(F.col(text)).alias("postfix")).where("postfix IS NOT NULL").distinct().withColumn(number, F.xxhash64(key, "postfix")))
     leaves = materialise(_leaves(asked, number))
     whole = leaves.groupBy(number).agg(F.min(F.size("words")).alias("least")).where("least > 0").select(number)
-    leaves = leaves.join(whole, number, "left_semi")
-    hits = materialise(_phrase_hits(leaves.select("words", "open").distinct(), index, doc))
-    plain = leaves.where("parts = 1").join(hits.select("words", "open", doc).distinct(), ["words", "open"]).select(number, "leaf", doc)
-    groups = materialise(leaves.where("parts > 1"))
+    leaves = materialise(leaves.join(whole, number, "left_semi").withColumn("phrase", F.xxhash64("words", "open")))
+    phrases = leaves.groupBy("phrase").agg(F.first("words").alias("words"), F.first("open").alias("open"), F.bool_or(F.col("parts") > 1).alias("placed"))
+    hits = materialise(_phrase_hits(materialise(phrases), index, doc))
+    # hits are dealt out by document; what they mean to each query isn't
+    plain = hits.select("phrase", doc).repartition(doc).distinct().join(_few(materialise(leaves.where("parts = 1").select("phrase", number, "leaf"))), "phrase").select(number, "leaf", doc)
+    groups = materialise(leaves.where("parts > 1").select("phrase", number, "leaf", "parts", "within", "part", F.size("words").alias("size")))
     most = groups.agg(F.max("parts")).first()[0] or 0
     told = plain
     if most:
-        near = groups.join(hits, ["words", "open"]).select(number, "leaf", "parts", "within", "part", doc, "start", F.size("words").alias("size"))
+        near = hits.where("start IS NOT NULL").repartition(doc).join(_few(groups), "phrase").drop("phrase")
         upto = Window.partitionBy(number, "leaf", doc).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         # each phrase's last place up to here; the first of them is where the clump that ends here begins
         near = near.withColumns({f"last{k}": F.max(F.when(F.col("part") == k, F.struct("start", "size"))).over(upto) for k in range(most)})
@@ -126,7 +148,7 @@ def matches(queries: DataFrame, index: DataFrame, key: str, doc: str, text: str
             first = F.least(first, F.when(in_group, F.col(f"last{k}")))
         near = near.withColumn("first", first).where(all_in & (F.col("start") - F.col("first.start") - F.col("first.size") <= F.col("within")))
         told = plain.unionByName(near.select(number, "leaf", doc))
-    hit = told.groupBy(number, doc).agg(F.collect_set("leaf").alias("hit")).join(asked, number)
+    hit = told.groupBy(number, doc).agg(F.collect_set("leaf").alias("hit")).join(_few(asked), number)
     numbered = F.transform("postfix", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
 
     def evaluate(stack: Column, x: Column) -> Column:
