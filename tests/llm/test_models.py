@@ -13,6 +13,7 @@ from weft.llm import op3_pii as P
 from weft.llm import op5_quality as Q
 from weft.llm import op6_lm as M
 from weft.llm import op8_urls as U
+from weft.llm.labelled import ONE, labelled_rows, quantiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,6 +61,47 @@ def test_models_without_labels_or_rows(spark):
     assert T.score_documents(docs.limit(0), T.fit(docs.limit(0), labels)).count() == 0
 
 
+def labelled_tables(spark, n, column, text, y):
+    docs = spark.createDataFrame([(k, text(k)) for k in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, y(k)) for k in range(n)], f"doc_id long, {column} int")
+
+
+def test_models_learn_from_every_labelled_row(spark):
+    """A sample of 6,000 and 3,000 rows, or 5,000 a class, would miss some of these words and rows."""
+    text = lambda k: f"row {k * 7919} says " + ("vilest" if k % 2 else "kindly") + f" w{k} of {k * 104729}"
+    docs, labels = labelled_tables(spark, 21_000, "toxic", text, lambda k: k % 2)
+    rows, sizes = labelled_rows(docs, labels, "toxic", T.MODULUS, T.HELD_OUT)
+    learn = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(21_000))
+    assert learn > 13_000 and rows.count() == sum(sizes.values()) == learn
+    assert rows.agg({"weight": "min"}).first()[0] == ONE
+    counts = {r.feature: r for r in T._counted(rows, T.CharacterModel({})).where("feature IN ('', 'vilest=', 'kindly=')").collect()}
+    assert counts[""].pos + counts[""].neg == learn * ONE
+    assert counts["vilest="].pos == counts[""].pos == sizes[1] * ONE and counts["kindly="].neg == sizes[0] * ONE
+
+
+def test_copies_share_a_weight(spark):
+    text = lambda k: "the very same words in all of them" if k % 10 else f"only {k} in number {k * 31}"
+    docs, labels = labelled_tables(spark, 200, "toxic", text, lambda k: 1)
+    rows, sizes = labelled_rows(docs, labels, "toxic", T.MODULUS, T.HELD_OUT)
+    same = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(200) if k % 10)
+    got = rows.collect()
+    assert len(got) == sizes[1] and {r.weight for r in got} == {ONE, ONE // same}
+
+
+def test_quantiles_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([np.exp(rng.normal(size=5000) * 3), np.where(rng.random(5000) < 0.6, 0.0, rng.random(5000)), np.ones(5000)])
+    df = spark.createDataFrame([(*map(float, r), 1 + k % 4) for k, r in enumerate(x)], "a double, b double, c double, weight long")
+    weight, shares = 1 + np.arange(5000) % 4, [0.02, 0.3, 0.5, 0.98]
+    got = quantiles(df, ["a", "b", "c"], shares)
+    for k in range(3):
+        order = np.argsort(x[:, k], kind="stable")
+        below = np.cumsum(weight[order])
+        for s, q in zip(shares, got[k], strict=True):
+            want = x[order, k][np.searchsorted(below, s * below[-1] - 0.5)]
+            assert want - np.ptp(x[:, k]) * 2.0**-31 <= q <= want
+
+
 def brute_nearest(rows, queries, k=10):
     """query_id -> [(score, vec_id)] by exact search over (id, vector) rows."""
     out = {}

@@ -9,9 +9,9 @@ Scoring: words of the restored text speak by themselves and by their first 3 to
 labelled toxic hold far more often than others (a log-likelihood ratio test, corrected for the number of tries) have a
 weight. A logistic regression on a document's highest weights and their number gives the score.
 
-Models are fitted on at most SAMPLE rows of each class, of those that aren't held out, and so are the same with every
-partitioning; counts are gathered by Spark, and all trigrams and features that pass the test go to the driver, of which
-there are no more than the sample has. Every text is scored whole, however long; time and memory are linear in a
+Models are fitted on all labelled rows that aren't held out (copies share a weight), by sums of whole numbers that are
+the same with every partitioning. Counts are gathered by Spark; what goes to the driver are trigrams, whose alphabet is
+bounded as letters from U+2E80 up are one to the model, features that pass the test, and the regression's sums. Every text is scored whole, however long; time and memory are linear in a
 stretch's length. Null texts count as empty and score as such, an empty table gives no rows; without labels of both
 classes the score is the share of toxic labels. Repeated rows each get a row. Only doc_id and text are read; further
 columns are kept by score_documents(), whatever their names, but for one named as the score.
@@ -30,10 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import crc_class, materialise, slices, table
-from weft.llm.samples import fit_logistic, labelled_sample, sigmoid
+from weft.llm.labelled import ONE, fit_logistic, labelled_rows, sigmoid
 
-#: Rows of each class (not toxic, toxic) that the models are fitted on, at most.
-SAMPLE = {0: 6000, 1: 3000}
 MODULUS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Letters that a character can stand for.
@@ -43,6 +41,14 @@ _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S[ .\-_*]){2,}\S(?=\s|$|[.,;:!?])")
 #: Words, and trigrams, that a worker remembers before it starts anew.
 MEMO = 50_000
+#: Distinct words or features that a task counts before it passes them on.
+FLUSH = 400_000
+_WIDE = re.compile("[\u2e80-\U0010ffff]")
+
+
+def folded(letters: str) -> str:
+    """Letters from U+2E80 up, of which there are tens of thousands, are one to the character model."""
+    return letters if letters.isascii() else _WIDE.sub("\u4e00", letters)
 
 
 class CharacterModel:
@@ -67,9 +73,11 @@ class CharacterModel:
         if out is None:
             if len(self._memo) > MEMO:
                 self._memo.clear()
+            name, key = key, folded(key)
+            c = key[2]
             p1 = (self.one[c] + 0.1) / (self.total + 30)
             p2 = (self.two[key[1:]] + 4 * p1) / (self.heads1[key[1]] + 4)
-            out = self._memo[key] = math.log((self.three.get(key, 0) + 4 * p2) / (self.heads[key[:2]] + 4))
+            out = self._memo[name] = math.log((self.three.get(key, 0) + 4 * p2) / (self.heads[key[:2]] + 4))
         return out
 
 
@@ -156,13 +164,20 @@ class ToxicityModel:
     """weights by feature, the character model, and the logistic weights over (first, second, number)."""
 
     def __init__(self, characters: CharacterModel, weights: dict[str, float]):
-        self.characters, self.weights = characters, weights
+        self.characters = characters
+        self.weigh(weights)
         self.logistic: np.ndarray | None = None
         self.share = 0.0
         self._memo: dict[str, float] = {}
 
+    def weigh(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.heads = {f[:3] for f in weights}
+
     def weight(self, token: str) -> float:
-        get = self.weights.get
+        get, plain = self.weights.get, token.strip(EDGES).rstrip("!")
+        if (plain + "=")[:3] not in self.heads and plain.isalpha() and not _RUN.search(plain):
+            return 0.0  # its features all start so
         out = max([get(f, 0.0) for w in restore_word(token, self.characters).split() for f in features(w)], default=0.0)
         if len(self._memo) > MEMO:
             self._memo.clear()
@@ -194,45 +209,81 @@ class ToxicityModel:
         return sigmoid(summaries @ self.logistic[:-1] + self.logistic[-1])
 
 
-def _counted(sample: DataFrame, characters: CharacterModel | None) -> DataFrame:
-    """(feature, pos, neg): without a model the trigrams of words ("3:" and three characters), else features of restored words."""
+def _weighed(tallies: dict[tuple[int, int], Counter]) -> pa.RecordBatch:
+    """(feature, pos, neg) of the counters of each class and weight."""
+    sums = (Counter(), Counter())
+    for (y, weight), found in tallies.items():
+        own = sums[y]
+        for f, n in found.items():
+            own[f] += n * weight
+    names = list(sums[0] | sums[1])
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([sums[y][n] for n in names], pa.int64()) for y in (1, 0))], names=["feature", "pos", "neg"])
+
+
+def _counted(rows: DataFrame, characters: CharacterModel | None) -> DataFrame:
+    """(feature, pos, neg), weights summed: without a model the trigrams of words, else features of restored words and "" for the rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(characters)
+
+    def grams(tallies: dict[tuple[int, int], Counter]) -> dict[tuple[int, int], Counter]:
+        out: dict[tuple[int, int], Counter] = {}
+        for key, words in tallies.items():
+            own = out[key] = Counter()
+            for w, n in words.items():
+                w = w.strip(EDGES).rstrip("!")
+                if w.isalpha():
+                    w = folded(f"  {w} ")
+                    for k in range(len(w) - 2):
+                        own[w[k : k + 3]] += n
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Counter(), Counter())
-        rows = [0, 0]
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        characters, memo = shared.value, {}
+        tallies: dict[tuple[int, int], Counter] = {}
+
+        def told(token: str) -> list[str]:
+            out = memo.get(token)
+            if out is None:
+                out = [f for w in restore_word(token, characters).split() for f in features(w)]
+                if len(token) < 40:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    memo[token] = out
+            return out
+
+        size = 0
+        for batch in slices(batches):
+            for text, y, weight in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 low = text.lower()
-                rows[y] += 1
+                found = tallies.setdefault((y, weight), Counter())
+                size -= len(found)
                 if characters is None:
-                    for w in low.split():
-                        w = w.strip(EDGES).rstrip("!")
-                        if w.isalpha():
-                            w = f"  {w} "
-                            found[y].update([w[k : k + 3] for k in range(len(w) - 2)])
-                    continue
-                tokens = set(low.split())
-                for x in spaced_stretches(low):
-                    tokens.update(viterbi(x, characters).split())
-                found[y].update({f for t in tokens for w in restore_word(t, characters).split() for f in features(w)})
-        found[0][""], found[1][""] = rows[0], rows[1]
-        names = sorted({*found[0], *found[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[1][n] for n in names], pa.int64()), pa.array([found[0][n] for n in names], pa.int64())], names=["feature", "pos", "neg"])
-
-    return sample.select("text", "y").mapInArrow(work, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+                    found.update(low.split())
+                else:
+                    tokens = set(low.split())
+                    for x in spaced_stretches(low):
+                        tokens.update(viterbi(x, characters).split())
+                    found.update({""}.union(*map(told, tokens)))
+                size += len(found)
+                if size > FLUSH:
+                    yield _weighed(grams(tallies) if characters is None else tallies)
+                    tallies, size = {}, 0
+        yield _weighed(grams(tallies) if characters is None else tallies)
+
+    return rows.select("text", "y", "weight").mapInArrow(work, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    sample, sizes = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, SAMPLE)
+    rows, sizes = labelled_rows(docs, labels, "toxic", MODULUS, HELD_OUT)
     total = sum(sizes.values())
-    grams = _counted(sample, None).where(F.length("feature") == 3).select("feature", (F.col("pos") + F.col("neg")).alias("n"))
+    grams = _counted(rows, None).select("feature", ((F.col("pos") + F.col("neg")) / F.lit(float(ONE))).alias("n"))
     characters = CharacterModel({r.feature: r.n for r in sorted(grams.collect())})
     model = ToxicityModel(characters, {})
     model.share = sizes.get(1, 0) / total if total else 0.0
-    counted = materialise(_counted(sample, characters))
-    rows = counted.where("feature = ''").collect()
-    pos, neg = (rows[0].pos, rows[0].neg) if rows else (0, 0)
+    counted = materialise(_counted(rows, characters))
+    of_all = counted.where("feature = ''").collect()
+    pos, neg = (of_all[0].pos / ONE, of_all[0].neg / ONE) if of_all else (0, 0)
     if pos and neg:
+        counted = counted.select("feature", *((F.col(c) / F.lit(float(ONE))).alias(c) for c in ("pos", "neg")))
         tries = counted.where(F.col("pos") + F.col("neg") >= 5).count()  # rarer ones can't pass the test
         a, b = F.col("pos"), F.col("neg")
         base = pos / (pos + neg)
@@ -240,25 +291,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         ratio = 2 * (part(a, F.lit(base)) + part(b, F.lit(1 - base)))
         odds = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (neg + 1))
         best = counted.where((F.col("feature") != "") & (a >= 3) & (odds > 1.5) & (ratio > 2 * math.log(max(tries, 2)))).select("feature", odds.alias("odds"))
-        model.weights = {r.feature: r.odds for r in sorted(best.collect())}
-        told = _summed(sample, model).toPandas().sort_values(["y", "a", "b", "c"])  # the fit doesn't see partitions
-        if len(told):
-            y = told["y"].to_numpy(float)
-            # classes were sampled at different rates
-            rate = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
-            model.logistic = fit_logistic(told[["a", "b", "c"]].to_numpy(float), y, rate / rate.mean(), ridge=0.01)
+        model.weigh({r.feature: r.odds for r in sorted(best.collect())})
+        # copies count less: classes have their own sizes again
+        rate = np.array([sizes[0] / neg, sizes[1] / pos])
+        rate = rate * (pos + neg) / (rate @ [neg, pos])
+        model.logistic = fit_logistic(materialise(_summed(rows, model)), ["a", "b", "c"], {0: float(rate[0]), 1: float(rate[1])}, ridge=0.01)
     return model
 
 
-def _summed(sample: DataFrame, model: ToxicityModel) -> DataFrame:
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def _summed(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = np.array([shared.value.summary(t) for t in batch.column(0).to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(out[:, k].copy()) for k in range(3))], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(out[:, k].copy()) for k in range(3))], names=["y", "weight", "a", "b", "c"])
 
-    return sample.select("text", "y").mapInArrow(work, "y int, a double, b double, c double")
+    return rows.select("text", "y", "weight").mapInArrow(work, "y int, weight long, a double, b double, c double")
 
 
 def score_documents(df: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
