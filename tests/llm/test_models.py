@@ -88,6 +88,26 @@ def test_copies_share_a_weight(spark):
     assert len(got) == sizes[1] and {r.weight for r in got} == {ONE, ONE // same}
 
 
+def test_pairs_are_summed_over_all_documents(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, len(Q.NAMES)))
+    y, weight = rng.integers(0, 2, 60), np.where(np.arange(60) % 3, ONE, ONE // 2)
+    rows = spark.createDataFrame([(*map(float, r), int(a), int(b)) for r, a, b in zip(x, y, weight, strict=True)], ", ".join(f"{n} double" for n in Q.NAMES) + ", y int, weight long").repartition(3)
+    model = Q.QualityModel(np.zeros(0, np.uint64), 0.5)
+    model.cuts = [np.array([-0.5, 0.5])] * len(Q.NAMES)
+    steps = model.steps(x)
+    w = rng.normal(size=steps.shape[1]) * 0.1
+    g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in np.flatnonzero(y == 1):
+        for j in np.flatnonzero(y == 0):
+            d, v = steps[i] - steps[j], weight[i] * weight[j] / ONE**2
+            lose = 1 / (1 + math.exp(d @ w))
+            g, h = g - v * lose * d, h + v * lose * (1 - lose) * np.outer(d, d)
+    scale = Q.PAIRS * weight.sum() / ONE / ((weight[y == 1].sum() / ONE) * (weight[y == 0].sum() / ONE))
+    got = Q.pair_sums(rows, model, w)
+    assert np.abs(got[0] - g * scale).max() < 0.01 * np.abs(g * scale).max() and np.abs(got[1] - h * scale).max() < 0.01 * np.abs(h * scale).max()
+
+
 def test_quantiles_of_all_rows(spark):
     rng = np.random.default_rng(4)
     x = np.column_stack([np.exp(rng.normal(size=5000) * 3), np.where(rng.random(5000) < 0.6, 0.0, rng.random(5000)), np.ones(5000)])

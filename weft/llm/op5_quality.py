@@ -1,12 +1,14 @@
 """Quality by Bradley-Terry ranking: a document beats another with probability sigmoid(score difference).
 
 Features of whole texts (lengths, shares of kinds of characters, spread of words and word pairs, share of common words)
-are cut at quantiles of the sample into steps, so that a linear score can bend. Preference pairs take a document
-labelled good against one labelled bad; the logistic loss on differences of features gives the weights. The raw score
+are cut at quantiles into steps, so that a linear score can bend. Each document labelled good is a preference pair with
+each one labelled bad; the logistic loss on differences of features, summed over all of these pairs, gives the weights. The raw score
 is cut at the quantile that leaves as many of the learning rows above it as have label 1, and a logistic scale puts
 that cut at THRESHOLD.
 
-Fitted on at most SAMPLE rows of each class of those that aren't held out, and PAIRS pairs; the sample, and so every
+A pair's share in the loss depends on two scores, so that the sums over all pairs follow from each class's sums by bins
+of the score: a round of Newton's method reads the documents twice, and the driver gets BINS sums a class and the Hessian.
+Fitted on all labelled rows that aren't held out (copies share a weight); sums are of whole numbers, and so every
 score, is the same with every partitioning. Every text, however long, is scored whole. Null texts count as empty, an
 empty table gives no rows, raw scores that tie with the cut are at THRESHOLD. Without labels of both classes the score
 is the share of label 1. Repeated rows each get a row; only doc_id and text are read, further columns take no part.
@@ -21,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import _LOWER, _SPACE, crc_class, table, text_blocks, word_places
-from weft.llm.samples import fit_logistic, labelled_sample, sigmoid
+from weft.llm.common import _LOWER, _SPACE, crc_class, materialise, table, text_blocks, word_places
+from weft.llm.labelled import ONE, labelled_rows, newton, numbers, quantiles, sigmoid, summed
 
-SAMPLE = {0: 5000, 1: 5000}
-PAIRS = 40_000
-#: Most frequent words of the sample that count as common.
+#: What all pairs together weigh in the loss, for each document.
+PAIRS = 4.0
+RIDGE = 3.0
+#: Bins of the score by which pairs are summed.
+BINS = 256
+#: Most frequent words of the learning rows that count as common.
 COMMON = 300
 STEPS = 12
 MODULUS, HELD_OUT = 4, 2
@@ -85,7 +90,7 @@ class QualityModel:
         return np.column_stack([(x[:, [k]] > c[None, :]).astype(float) for k, c in enumerate(self.cuts)])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.steps(x) @ self.weights
+        return np.round(self.steps(x) @ self.weights, 9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -93,27 +98,78 @@ class QualityModel:
         return sigmoid(self.raw(x) * self.scale + self.shift)
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, model: QualityModel, share: float, pairs: int = PAIRS, seed: int = 5) -> None:
-    """Bradley-Terry weights from (good, bad) pairs, then the cut at the quantile of scores that leaves `share` above."""
-    model.cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, STEPS))) for k in range(x.shape[1])]
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    rng = np.random.default_rng(seed)
-    steps = model.steps(x)
-    difference = steps[rng.choice(good, pairs)] - steps[rng.choice(bad, pairs)]
-    sign = np.where(np.arange(pairs) % 2, 1.0, -1.0)
-    model.weights = fit_logistic(difference * sign[:, None], (sign > 0).astype(float), ridge=3.0, intercept=False)
-    raw = model.raw(x)
-    # classes were sampled at different rates: a weighted quantile of the raw scores
-    weight = np.where(y == 1, share / max(1, len(good)), (1 - share) / max(1, len(bad)))
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    cut = raw[order[min(len(raw) - 1, int(np.searchsorted(below, 1 - share)))]]
+def pair_sums(rows: DataFrame, model: QualityModel, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss over all pairs of a good and a bad row (NAMES, y, weight), scores taken by bins."""
+    m, columns = len(w), len(NAMES)
+    low, high = float(np.minimum(w, 0).sum()), float(np.maximum(w, 0).sum())
+    width = max(high - low, 1e-9) / BINS
+
+    def binned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = model.steps(x)
+        return steps, np.clip(np.floor((np.round(steps @ w, 9) - low) / width), 0, BINS - 1).astype(np.int64)
+
+    def by_bins(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out = np.zeros((2 * BINS, m + 1))
+        for batch in batches:
+            x = numbers(batch, columns + 2)
+            steps, at = binned(x[:, :columns])
+            at += x[:, columns].astype(np.int64) * BINS
+            order = np.argsort(at, kind="stable")
+            names, start = np.unique(at[order], return_index=True)
+            if len(names):
+                out[names] += np.add.reduceat((np.column_stack([steps, np.ones(len(x))]) * x[:, [-1]])[order], start)
+        return {int(k): out[k] for k in np.flatnonzero(out[:, -1])}
+
+    sums = np.zeros((2, BINS, m + 1))
+    for k, v in summed(rows, by_bins).items():
+        sums[k // BINS, k % BINS] = v / ONE
+    bad, good = sums
+    pairs = good[:, -1].sum() * bad[:, -1].sum()
+    scale = PAIRS * (good[:, -1].sum() + bad[:, -1].sum()) / pairs
+    lose = sigmoid(-(np.arange(BINS)[:, None] - np.arange(BINS)[None, :]) * width)  # of a good row in a bin against a bad one in another
+    both = lose * (1 - lose)
+    gradient = -(good[:, :m] * (lose @ bad[:, -1])[:, None]).sum(axis=0) + (bad[:, :m] * (good[:, -1] @ lose)[:, None]).sum(axis=0)
+    own = np.stack([good[:, -1] @ both, both @ bad[:, -1]])  # by class and bin: what a row meets
+    unit = float(ONE) / max(own.max(), 1e-300)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out = np.zeros((m, m))
+        for batch in batches:
+            x = numbers(batch, columns + 2)
+            steps, at = binned(x[:, :columns])
+            share = np.rint(own[x[:, columns].astype(np.int64), at] * unit * x[:, -1] / ONE)
+            out += (steps * share[:, None]).T @ steps
+        return dict(enumerate(out))
+
+    told = summed(rows, squares)
+    hessian = np.stack([told[k] for k in range(m)]) / unit
+    cross = good[:, :m].T @ both @ bad[:, :m]
+    return gradient * scale, (hessian - cross - cross.T) * scale
+
+
+def fit_pairs(rows: DataFrame, model: QualityModel) -> None:
+    """Bradley-Terry weights from all (good, bad) pairs of rows, then the cut at the quantile of scores that leaves the model's share above."""
+    places = np.linspace(0.02, 0.98, STEPS).tolist()
+    model.cuts = [np.unique(c) for c in quantiles(rows, NAMES, places)]
+    model.weights = newton(lambda w: pair_sums(rows, model, w), np.full(sum(map(len, model.cuts)), RIDGE))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = numbers(batch, len(NAMES) + 2)
+            yield pa.RecordBatch.from_arrays([batch.column(len(NAMES)), batch.column(len(NAMES) + 1), pa.array(model.raw(x[:, : len(NAMES)]))], names=["y", "weight", "raw"])
+
+    raw = materialise(rows.mapInArrow(scored, "y int, weight long, raw double"))
+    # copies count less: classes have their own shares again
+    sums = dict(raw.groupBy("y").agg(F.sum("weight")).collect())
+    of_class = F.when(F.col("y") == 1, F.lit(model.share / sums[1])).otherwise(F.lit((1 - model.share) / sums[0]))
+    raw = raw.withColumn("weight", F.round(F.col("weight") * of_class * (sum(sums.values()) / ONE) * 1024))
+    cut = float(quantiles(raw, ["raw"], [1 - model.share])[0, 0])
     model.scale = 1.0
     model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - model.scale * cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    sample, sizes = labelled_sample(docs, labels, "quality", MODULUS, HELD_OUT, SAMPLE)
+    known, sizes = labelled_rows(docs, labels, "quality", MODULUS, HELD_OUT)
     total = sum(sizes.values())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
                 h, n = np.unique(word_places(data, offsets, _LOWER, _SPACE)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    top = sample.select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    top = known.select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
     model = QualityModel(np.sort(np.array([r.h for r in top], np.int64).view(np.uint64)), sizes.get(1, 0) / total if total else 0.0)
     common = model.common
 
@@ -130,13 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         for batch in batches:
             for row, end, data, offsets in text_blocks(batch.column(0)):
                 x = block_features(data, offsets, common)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), *(pa.array(x[:, k].copy()) for k in range(len(NAMES)))], names=["y", *NAMES])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k].copy()) for k in range(len(NAMES))), batch.column(1).slice(row, end - row), batch.column(2).slice(row, end - row)], names=[*NAMES, "y", "weight"])
 
-    got = sample.select("text", "y").mapInArrow(measured, "y int, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
-    y = got["y"].to_numpy(int)
-    if (y == 1).any() and (y == 0).any():
-        order = np.lexsort([got[n].to_numpy() for n in NAMES] + [y])  # pairs don't depend on the order of partitions
-        fit_pairs(got[NAMES].to_numpy(float)[order], y[order], model, model.share)
+    rows = materialise(known.select("text", "y", "weight").mapInArrow(measured, ", ".join(f"{n} double" for n in NAMES) + ", y int, weight long"))
+    if {r.y for r in rows.select("y").distinct().collect()} == {0, 1}:
+        fit_pairs(rows, model)
     return model
 
 
