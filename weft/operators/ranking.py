@@ -40,14 +40,21 @@ def tag_scores(docs: DataFrame, tags: DataFrame, key: str, text: str = "text", b
     tags = tags.select("tag").where("tag IS NOT NULL AND tag <> ''").distinct()
     pairs = tags.select(F.explode(X.neighbours(F.col("tag"))).alias("pair")).groupBy("pair").agg((F.count("*") * 2.0).alias("score"))
     few = tags.limit(broadcast_tags + 1).count() <= broadcast_tags
-    small = F.broadcast if few else lambda df: df
     low = F.lower(text)
+    times = lambda t, of: F.floor((F.length(of) - F.length(F.replace(of, t, F.lit("")))) / F.length(t))
     words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))).alias("tag")
-    met = docs.select(key, words).join(small(tags), "tag").groupBy(key).agg(F.collect_list("tag").alias("_met"))
-    times = lambda t: F.floor((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t))
-    hits = docs.select(key, low.alias("_low")).join(met, key).select(key, F.aggregate("_met", F.lit(0.0), lambda s, t: s + 1.0 + F.least(times(t) * 0.5, F.lit(2.0))).alias("score"))
+    if few:
+        # tags come to the texts, which stay where they are; only what meets a tag goes on
+        met = docs.select(key, F.col(text).alias("_text"), words).join(F.broadcast(tags), "tag")
+        hits = met.select(key, (1.0 + F.least(times(F.col("tag"), F.lower("_text")) * 0.5, F.lit(2.0))).alias("score"))
+    else:
+        met = docs.select(key, words).join(tags, "tag").groupBy(key).agg(F.collect_list("tag").alias("_met"))
+        hits = docs.select(key, low.alias("_low")).join(met, key).select(key, F.aggregate("_met", F.lit(0.0), lambda s, t: s + 1.0 + F.least(times(t, F.col("_low")) * 0.5, F.lit(2.0))).alias("score"))
+    small = F.broadcast if few else lambda df: df
     # neighbours as two columns: texts' own pairs are never written as strings
     ends = pairs.select(F.split_part("pair", F.lit("_"), F.lit(1)).alias("first"), F.split_part("pair", F.lit("_"), F.lit(2)).alias("second"), "score")
+    if few and not pairs.limit(1).count():
+        return docs.select(key, F.lit(0.0).alias("score")).unionByName(hits).groupBy(key).agg(F.sum("score").alias("score"))
     runs = docs.select(key, F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)).alias("_words"))
     both = F.explode(F.arrays_zip(F.col("_words").alias("first"), F.slice("_words", 2, 1 << 30).alias("second"))).alias("p")
     paired = runs.select(key, both).select(key, "p.first", "p.second").join(small(ends), ["first", "second"]).distinct().select(key, "score")
