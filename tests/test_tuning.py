@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import forest, tuning
+from weft.operators import attribution, forest, ranking, tuning
 
 
 def made(spark, n, run=0, seed=1):
@@ -46,3 +46,17 @@ def test_tuner_refits_the_best_and_refuses_to_predict_before(spark):
     alone = forest.grow(rows.select(F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("tree"), "key", "x", "y", F.lit(1).alias("weight")), depth=k, seed=42, task="regression")
     assert predicted == {r.key: r.predicted for r in forest.predict_mean(rows, alone, k, "key").collect()}
     assert {p for *_, p in tuner.rungs(rows.limit(0))} == {1, 2}
+
+
+def test_predictions_and_attributions_stay_where_the_rows_are(spark):
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5)], float(k % 3)) for k in range(60)], "key long, x array<double>, y double").withColumn("run", F.lit(0))
+    nodes = tuning.grown(rows, [(2, 2)], 42)
+    for out in (tuning.predictions(rows, nodes, [(1, 1), (2, 2)]), forest.predict_mean(rows, nodes, 2, "key"), attribution.shap_arrays(rows, nodes, 2)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() % 60 == 0
+
+
+def test_tags_come_to_the_texts(spark):
+    docs = spark.createDataFrame([(1, "Asia and asia"), (2, None), (3, "none")], "id long, body string")
+    out = ranking.tag_scores(docs, spark.createDataFrame([("asia",), (None,)], "tag string"), "id", "body")
+    assert {r.id: r.score for r in out.collect()} == {1: 2.0, 2: 0.0, 3: 0.0}
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()

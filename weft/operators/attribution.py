@@ -102,22 +102,28 @@ def brute_shap(x: np.ndarray, nodes: list[dict]) -> np.ndarray:
     return out
 
 
-def forest_shap(rows: DataFrame, nodes: DataFrame, key: str, features: int) -> DataFrame:
-    """(key, feature, phi): attributions averaged over the trees; feature -1 is the mean prediction. The node table, of the model's size, is broadcast."""
+def shap_arrays(rows: DataFrame, nodes: DataFrame, features: int) -> DataFrame:
+    """rows (x, ...) with phi: an array of each feature's attribution averaged over the trees, and the mean prediction last. The node table, of the model's size, is broadcast."""
     table: dict[int, list[dict]] = {}
     for r in nodes.select("tree", "node", "feature", "threshold", "n", F.col("mean").alias("value")).collect():
         table.setdefault(r.tree, []).append(r.asDict())
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    kind = rows.schema[key].dataType.simpleString()
+    schema = rows.withColumn("phi", F.array(F.lit(0.0))).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
-            phi = sum(tree_shap(x, t) for t in shared.value.values()) / max(1, len(shared.value))
-            keys = pa.chunked_array([batch.column(0)]).take(pa.array(np.repeat(np.arange(len(x)), features + 1))).combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile([*range(features), -1], len(x)).astype(np.int32)), pa.array(phi.ravel())], names=[key, "feature", "phi"])
+            x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
+            phi = sum((tree_shap(x, t) for t in shared.value.values()), np.zeros((len(x), features + 1))) / max(1, len(shared.value))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (features + 1)), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
 
-    return rows.select(key, "x").mapInArrow(work, f"{key} {kind}, feature int, phi double")
+    return rows.mapInArrow(work, schema)
+
+
+def forest_shap(rows: DataFrame, nodes: DataFrame, key: str, features: int) -> DataFrame:
+    """(key, feature, phi): attributions averaged over the trees; feature -1 is the mean prediction."""
+    got = shap_arrays(rows.select(key, "x"), nodes, features).select(key, F.posexplode("phi").alias("feature", "phi"))
+    return got.select(key, F.when(F.col("feature") < features, F.col("feature")).otherwise(-1).alias("feature"), "phi")
 
 
 def leaf_contributions(rows: DataFrame, nodes: DataFrame, key: str, features: int) -> DataFrame:

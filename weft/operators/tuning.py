@@ -17,15 +17,12 @@ from weft.operators.storage import materialise
 Size = tuple[int, int]  # trees, depth
 
 
-def _spread(rows: DataFrame, trees: int) -> DataFrame:
-    first = F.col("run") * trees
-    return rows.withColumn("tree", F.explode(F.sequence(first, first + trees - 1)))
-
-
 def grown(rows: DataFrame, sizes: list[Size], seed: int, split: str = "best") -> DataFrame:
     """Nodes of the largest forest of every run of rows (run, key, x, y)."""
-    at = _spread(rows, max(t for t, _ in sizes)).select("tree", "key", "x", "y", F.lit(1).alias("weight"))
-    return forest.grow(at, depth=max(k for _, k in sizes), seed=seed, split=split, task="regression")
+    trees = max(t for t, _ in sizes)
+    first = F.col("run") * trees
+    rows = rows.select("run", "key", "x", "y", F.lit(1).alias("weight"))
+    return forest.grow(rows, depth=max(k for _, k in sizes), seed=seed, split=split, task="regression", trees=F.sequence(first, first + trees - 1))
 
 
 def predictions(rows: DataFrame, nodes: DataFrame, sizes: list[Size], largest: list[Size] | None = None) -> DataFrame:
@@ -34,20 +31,9 @@ def predictions(rows: DataFrame, nodes: DataFrame, sizes: list[Size], largest: l
     Each tree is walked once; a size's node is the ancestor at its depth. A run that has no nodes has no predictions.
     largest: the sizes that the nodes were grown for, if these are some of them only.
     """
-    trees, depth = max(t for t, _ in largest or sizes), max(k for _, k in sizes)
-    own = [c for c in rows.columns if c != "x"]
-    end = forest.descended(_spread(rows, trees).where(F.col("tree") - F.col("run") * trees < max(t for t, _ in sizes)), nodes, depth)
-    end = end.withColumn("depth", F.explode(F.array(*(F.lit(k) for k in sorted({k for _, k in sizes})))))
-    end = end.withColumn("node", F.expr("shiftright(node, greatest(length(bin(node)) - 1 - depth, 0))"))
-    means = end.join(F.broadcast(nodes.select("tree", "node", "mean")), ["tree", "node"])
-    place = F.col("tree") - F.col("run") * trees
-    counts = sorted({t for t, _ in sizes})
-    told = means.groupBy(*own, "depth").agg(F.array(*(F.struct(F.lit(t).alias("trees"), F.round(F.avg(F.when(place < t, F.col("mean"))), 6).alias("predicted")) for t in counts)).alias("by"))
-    flat = told.select(*own, "depth", F.inline("by"))
-    wanted = F.lit(False)
-    for t, k in sizes:
-        wanted = wanted | ((F.col("trees") == t) & (F.col("depth") == k))
-    return flat.where(wanted)
+    got = forest.routed(rows, nodes, sizes, max(t for t, _ in largest or sizes))
+    told = F.array(*(F.struct(F.lit(t).alias("trees"), F.lit(k).alias("depth"), F.round(F.get("means", F.lit(i)), 6).alias("predicted")) for i, (t, k) in enumerate(sizes)))
+    return got.select(*(c for c in rows.columns if c != "x"), F.inline(told))
 
 
 def scores(predicted: DataFrame) -> DataFrame:
@@ -103,7 +89,7 @@ class Halving:
     def rungs(self, rows: DataFrame) -> list[tuple[float, int, int, float, int]]:
         """(share, trees, depth, mse, place) of each size in each round; sets best."""
         u = uniform(37, "key")
-        rows = rows.withColumns({"run": F.lit(0), "binary": F.lit(False)})
+        rows = materialise(rows.withColumns({"run": F.lit(0), "binary": F.lit(False)}))
         held = rows.where(u < self.held)
         left, share, told = list(self.sizes), self.share, []
         while True:
@@ -118,6 +104,7 @@ class Halving:
             share = min(1.0, share * 2)
 
     def fit(self, rows: DataFrame) -> Halving:
+        rows = materialise(rows)
         self.rungs(rows)
         self.nodes = grown(rows.withColumn("run", F.lit(0)), [self.best], self.seed)
         return self

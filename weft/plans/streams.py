@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import markup
 from weft.operators import attribution, forest
+from weft.operators.storage import materialise
 from weft.plans import forest_sql
 from weft.sources.tables import load
 from weft.streaming import chunks as C
@@ -47,8 +48,8 @@ def _rows(spark, d) -> DataFrame:
 
 
 def _forest(rows: DataFrame, trees: int, depth: int, seed: int = 42) -> DataFrame:
-    spread = rows.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "key", "x", "y", F.lit(1).alias("weight"))
-    return forest.grow(spread, depth=depth, seed=seed, task="regression")
+    rows = rows.select("key", "x", "y", F.lit(1).alias("weight"))
+    return forest.grow(rows, depth=depth, seed=seed, task="regression", trees=F.sequence(F.lit(0), F.lit(trees - 1)))
 
 
 def m30(spark, d):
@@ -58,16 +59,17 @@ def m30(spark, d):
 
 
 def m32(spark, d):
-    rows = _rows(spark, d)
+    rows = materialise(_rows(spark, d))
     return attribution.forest_shap(rows, _forest(rows, 3, 3), "key", 3).select("key", "feature", (F.floor(F.col("phi") * 1e4 + 0.5) / 1e4).alias("phi"))
 
 
 def m33(spark, d):
-    """Predictions, and whether their attributions sum to them."""
-    rows = _rows(spark, d)
+    """Predictions, and whether their attributions sum to them; both are worked out where a row is."""
+    rows = materialise(_rows(spark, d))
     nodes = _forest(rows, 3, 3)
-    total = attribution.forest_shap(rows, nodes, "key", 3).groupBy("key").agg(F.sum("phi").alias("explained"))
-    return forest.predict_mean(rows, nodes, 3, "key").join(total, "key").select("key", "predicted", (F.abs(F.col("predicted") - F.col("explained")) < 1e-5).alias("explained"))
+    got = forest.routed(attribution.shap_arrays(rows.select("key", "x", F.lit(0).alias("run")), nodes, 3), nodes, [(3, 3)], 3)
+    explained = F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    return got.withColumn("predicted", F.round(F.get("means", F.lit(0)), 6)).select("key", "predicted", (F.abs(F.col("predicted") - explained) < 1e-5).alias("explained"))
 
 
 def f08(spark, d):

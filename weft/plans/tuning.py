@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.randomness import uniform_sql
+from weft.operators.storage import materialise
 from weft.operators.tuning import Halving, benchmarked
 from weft.plans import forest_sql
 from weft.sources.tables import load
@@ -45,7 +46,7 @@ def m37(spark, d):
 
 def m42(spark, d):
     """Predictions of the best size, grown again on all orders."""
-    rows = _orders(spark, d)
+    rows = materialise(_orders(spark, d))
     return Halving(SIZES).fit(rows).predict(rows)
 
 
