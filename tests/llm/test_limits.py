@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from weft.llm import op1_toxicity as T
 from weft.llm import op6_lm as M
@@ -79,6 +80,37 @@ def test_joined_pages_give_the_same_scores(spark, monkeypatch):
     assert M.score_documents(docs.limit(0), train).count() == 0
 
 
+def test_joined_pages_store_less_than_the_texts(spark, monkeypatch):
+    """No hashes of tokens are written, and rows to learn from may be named by a condition."""
+    from pathlib import Path
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(20_000)]
+    docs = spark.createDataFrame([(k if k else None, " ".join(rng.choices(vocabulary, k=200))) for k in range(1_000)], "doc_id long, text string").repartition(2)
+    stored, write = [], M.materialise
+
+    def noted(df):
+        out = write(df)
+        stored.extend(Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(M, "materialise", noted)
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 100)
+    told = lambda train: sorted(((r.doc_id or 0), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in M.score_documents(docs, train).collect())
+    want = told(docs.where("doc_id % 3 > 0"))
+    assert sum(stored) < 0.8 * docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert told(F.expr("doc_id % 3 > 0")) == want and len(want) == 1_000
+    monkeypatch.undo()
+    assert told(F.expr("doc_id % 3 > 0")) == want
+
+
+def test_numbers_squeezed_come_back():
+    rng = np.random.default_rng(5)
+    for m in (0, 1, 1_000):
+        columns = [rng.integers(0, 2**64, m, dtype=np.uint64), rng.integers(0, 3, m)]
+        assert all((x == y).all() for x, y in zip(M.spread(M.squeezed(*columns), m, 2), columns, strict=True))
+
+
 def test_pairs_seen_once_count(spark):
     train = spark.createDataFrame([(k, f"common a{k} b{k}") for k in range(50)], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "a7 b7"), (2, "a7 b8")], "doc_id long, text string")

@@ -3,14 +3,18 @@
 Spark counts words and word pairs of the training documents. The filter holds, for an n-gram of count c, the entries
 (n-gram, 1) to (n-gram, q) with q = 1 + floor(log2(c / least)); a probe asks for levels 1, 2, ... until one is missing,
 and so never reads less than was stored. The filter is cut into pages by n-gram hash: the tasks that count a page's
-n-grams also build the page (n-grams travel packed, five bytes and a count each). A page takes BITS_PER_ENTRY bits for
-each entry, however many there are. Pages of BROADCAST_BYTES together at most are broadcast; above that probes travel
-packed to their page by page number (salted, a bounded number to a task) and levels travel back to the texts.
+n-grams also build the page. A page takes BITS_PER_ENTRY bits for each entry, however many there are.
+
+Texts whose pages surely fit into BROADCAST_BYTES get them as a broadcast. Of more texts, blocks of some megabytes send
+their distinct n-grams to the pages once, ascending and compressed, with the counts to learn from; the task of a page
+counts, builds the page, probes it and tells each block the levels of its own n-grams, and exact counts of words. No token
+is stored: a block's texts meet the answers compressed, and are cut into tokens again. A frequent n-gram is one entry a block.
 
 The score of a text is the log10 probability of its words and its end under p(w|v) = (c(vw) + M q(w)) / (c(v) + M) with
 q(w) = (c(w)+1)/(N+V+1) and probed counts (M: WEIGHT). A level stands for its least count above the line and for its most
-below it, so that without false probes the shares after a word sum to at most one. base_score takes exact counts: tokens with at least N/HEAD occurrences, of which
-there can be HEAD at most, are broadcast; rarer tokens are joined by hash, where no key has more than a HEAD-th of all.
+below it, so that without false probes the shares after a word sum to at most one. base_score takes exact counts. With a
+broadcast filter, tokens with at least N/HEAD occurrences, of which there can be HEAD at most, are broadcast too; rarer
+tokens are joined by hash, where no key has more than a HEAD-th of all.
 
 Tokens are 64-bit hashes of words. Null texts are empty: one token, the end. Rows with null doc_id are scored, not
 learned from. Repeated rows each get a row and each count. Without training rows N = V = 0 and probabilities are of one
@@ -25,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import crc_class, materialise, mix, table, text_blocks, word_hashes
@@ -36,13 +40,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 BITS_PER_ENTRY, PROBES = 12, 6
 #: Pages of both filters together are broadcast up to this size.
 BROADCAST_BYTES = 1 << 26
-#: Tokens of training text for each page of the filter, about.
-PAGE_TOKENS = 400_000
+#: Tokens of text for each page of the filter, about, and bytes that a token takes. Fewer pages are fewer messages of a block.
+PAGE_TOKENS, TOKEN_BYTES = 1_600_000, 6
+#: Bytes of text that send their n-grams together.
+SENT_BYTES = 1 << 23
 #: Tokens that a task counts at once.
 FLUSH_TOKENS = 2_000_000
 HEAD = 200_000
 #: Probes that a task answers from one page at once, about.
-PAGE_PROBES = 4 * PAGE_TOKENS
+PAGE_PROBES = 1_600_000
 #: How many observations of v the words' own distribution counts for.
 WEIGHT = 2_000
 LEVELS = 40
@@ -279,60 +285,141 @@ class FilterModel:
         return sought.log10(self.words.read(sought.words), self.pairs.read(sought.pairs), self.total + self.distinct)
 
 
-def joined_scores(blocks: DataFrame, pages: DataFrame, count: int, salts: int, size: int) -> DataFrame:
-    """(row, score) of blocks (block: the number of the first of its rows, tokens, ends), by pages (kind, page, bytes)
-    that needn't fit into memory together: probes go to `salts` copies of their page."""
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers byte place by byte place, so that high places, nearly all zero, take no room."""
+    return pa.compress(np.concatenate([x.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel() for x in columns]).tobytes(), "zstd", asbytes=True)
+
+
+def spread(data: bytes, m: int, columns: int) -> list[np.ndarray]:
+    """The columns of squeezed(), m numbers each."""
+    raw = np.frombuffer(pa.decompress(data, columns * 8 * m, "zstd", asbytes=True), np.uint8).reshape(columns, 8, m)
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw]
+
+
+def paged(h: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ascending n-grams by page, ascending in each, and where each page starts in that order (and the end)."""
+    page = page_of(h, pages)
+    order = np.argsort(page.astype(np.uint16) if pages <= 1 << 16 else page, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(page, minlength=pages))])
+
 
-    def rows_of(tokens: bytes, ends: bytes) -> Sought:
-        return Sought(np.frombuffer(tokens, np.uint64), np.frombuffer(ends, np.int64))
+def in_blocks(texts: DataFrame) -> DataFrame:
+    """(block, ids, learn, ask, ends, text) of texts (doc_id, text, learn, ask): compressed texts of some SENT_BYTES a row."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for block, tokens, ends in zip(*(batch.column(k) for k in range(3)), strict=True):
-                sought = rows_of(tokens.as_py(), ends.as_py())
-                for kind, h in enumerate((sought.words, sought.pairs)):
-                    order, names, cut = by_page(h, count)
-                    keys = key_bytes(key_of(h[order]))
-                    values = [keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    n = len(names)
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(names.astype(np.int32)), pa.array(values, pa.binary())], names=["block", "kind", "page", "keys"])
-
-    def answer(probes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(probes):
-            return pd.DataFrame({"block": [], "kind": [], "page": [], "levels": []})
-        n = [len(x) // 5 for x in probes["keys"]]
-        one = CountFilter({0: own["bytes"].iloc[0]} if len(own) else {}, 1, 1)
-        got = one.levels(np.zeros(sum(n), np.int64), keys_from(b"".join(probes["keys"]), sum(n))).astype(np.uint8)
-        cut = np.cumsum([0, *n]).tolist()
-        return probes[["block", "kind", "page"]].assign(levels=[got[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
-
-    def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        sought = rows_of(blocks["tokens"].iloc[0], blocks["ends"].iloc[0])
-        counts = []
-        for kind, h in enumerate((sought.words, sought.pairs)):
-            out = np.empty(len(h), np.int64)
-            told = answers[answers["kind"] == kind].sort_values("page")["levels"]
-            out[by_page(h, count)[0]] = np.frombuffer(b"".join(told), np.uint8)
-            counts.append(out)
-        found = sought.log10(*counts, size)
-        return pd.DataFrame({"row": int(blocks["block"].iloc[0]) + np.arange(len(found)), "score": found})
-
-    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
-    asked = blocks.mapInArrow(ask, "block long, kind int, page int, keys binary").withColumn("salt", salt)
-    copies = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    answers = asked.groupBy("kind", "page", "salt").cogroup(copies.groupBy("kind", "page", "salt")).applyInPandas(answer, "block long, kind int, page int, levels binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row long, score double")
-
-
-def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text), learned from train."""
+            for row, end, data, offsets in text_blocks(batch.column(1), SENT_BYTES):
+                listed = [pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(k).slice(row, end - row)) for k in (0, 2, 3)]
+                held = [pa.array([x], pa.binary()) for x in (offsets.astype(np.int64).tobytes(), pa.compress(data.tobytes(), "zstd", asbytes=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *listed, *held], names=["block", "ids", "learn", "ask", "ends", "text"])
+                block += 1
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text", "learn", "ask").mapInArrow(work, f"block long, ids array<{kind}>, learn array<boolean>, ask array<boolean>, ends binary, text binary")
+
+
+def block_tokens(ends: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """token_rows() of a whole block."""
+    offsets = np.frombuffer(ends, np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends), pa.decompress(text, int(offsets[-1]), "zstd"))
+    parts = [token_rows(data, own) for _, _, data, own in text_blocks(texts)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def sent(blocks: DataFrame, pages: int) -> DataFrame:
+    """(block, page, n_words, words, n_pairs, pairs): a block's distinct words (hashes) and pairs (keys) of a page, ascending, by their differences, with their counts in rows to learn from."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, learn, ends, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                tokens, at = block_tokens(ends.as_py(), text.as_py())
+                sought = Sought(tokens, at)
+                learned = np.repeat(learn.values.to_numpy(zero_copy_only=False).astype(float), np.diff(at))
+                kinds = []
+                for h, back, named in ((sought.words, sought.back, lambda h: h), (sought.pairs, sought.pair_back, key_of)):
+                    order, cut = paged(h, pages)
+                    kinds.append((named(h)[order], np.bincount(back, weights=learned, minlength=len(h)).astype(np.int64)[order], cut))
+                names = np.flatnonzero(sum(np.diff(cut) for *_, cut in kinds))
+                columns = []
+                for h, n, cut in kinds:
+                    ranges = [(cut[p], cut[p + 1]) for p in names.tolist()]
+                    columns += [pa.array([y - x for x, y in ranges], pa.int64()), pa.array([squeezed(np.diff(h[x:y], prepend=np.uint64(0)), n[x:y]) for x, y in ranges], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(names), pa.int64()), pa.array(names.astype(np.int32)), *columns], names=["block", "page", "n_words", "words", "n_pairs", "pairs"])
+
+    return blocks.select("block", "learn", "ends", "text").mapInArrow(work, "block long, page int, n_words long, words binary, n_pairs long, pairs binary")
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """(block, page, words, pairs, total, distinct) for what was sent(): counts and levels of words, levels of pairs; a page's tokens and distinct tokens stand in one of its rows."""
+
+    def answer(own: pa.Table) -> pa.Table:
+        told, stats = [], []
+        for kind in ("words", "pairs"):
+            m = own.column(f"n_{kind}").to_pylist()
+            got = [spread(x.as_py(), k, 2) for x, k in zip(own.column(kind), m, strict=True)]
+            name, back = np.unique(np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in got]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([c for _, c in got]).astype(float), minlength=len(name)).astype(np.int64)
+            key, seen = key_of(name) if kind == "words" else name, n > 0
+            one = CountFilter({0: build_page(key[seen], level(n[seen], 1)).tobytes()}, 1, 1)
+            levels = np.concatenate([np.zeros(0, np.int64)] + [one.levels(np.zeros(len(x), np.int64), x) for x in (key[k : k + PAGE_PROBES] for k in range(0, len(key), PAGE_PROBES))])
+            cut = np.cumsum([0, *m]).tolist()
+            stats.append((int(n.sum()), int(seen.sum())))
+            told.append(pa.array([squeezed(*(c[back[x:y]] for c in ((n, levels) if kind == "words" else (levels,)))) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+        first = [pa.array([x] + [0] * (own.num_rows - 1), pa.int64()) for x in stats[0]]
+        return pa.table([own.column("block"), own.column("page"), *told, *first], names=["block", "page", "words", "pairs", "total", "distinct"])
+
+    return asked.groupBy("page").applyInArrow(answer, "block long, page int, words binary, pairs binary, total long, distinct long")
+
+
+def joined_scores(texts: DataFrame, pages: int) -> DataFrame:
+    """What score_documents() gives, of the asked rows of texts (doc_id, text, learn, ask), by pages that needn't fit into memory together."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    blocks = materialise(in_blocks(texts))
+    answers = materialise(answered(sent(blocks, pages)))
+    total, distinct = (x or 0 for x in answers.agg(F.sum("total"), F.sum("distinct")).first())
+    share = float(total + distinct + 1)
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        ids, ask = own.column("ids")[0].values, own.column("ask")[0].values
+        tokens, at = block_tokens(own.column("ends")[0].as_py(), own.column("text")[0].as_py())
+        sought = Sought(tokens, at)
+        told = told.sort_by("page")
+        names = told.column("page").to_numpy()
+        got = []
+        for name, h, columns in (("words", sought.words, 2), ("pairs", sought.pairs, 1)):
+            order, cut = paged(h, pages)
+            out = np.empty((columns, len(h)), np.int64)
+            out[:, order] = np.concatenate([spread(x.as_py(), m, columns) for x, m in zip(told.column(name), np.diff(cut)[names].tolist(), strict=True)], axis=1)
+            got.append(out)
+        (n, levels), (pair_levels,) = got
+        c = n[sought.back]
+        base = np.add.reduceat(np.log10((c + 1) / share), at[:-1])
+        known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
+        found = [ids, pa.array(np.diff(at)), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(sought.log10(levels, pair_levels, total + distinct))]
+        return pa.table(found, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).filter(ask)
+
+    asking = blocks.select("block", "ids", "ask", "ends", "text")
+    return asking.groupBy("block").cogroup(answers.select("block", "page", "words", "pairs").groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score_documents(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text), learned from train: rows, or which rows of docs."""
     spark = docs.sparkSession
+    within = isinstance(train, Column)
+    texts = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learn") if within else F.lit(False).alias("learn"), F.lit(True).alias("ask"))
+    if not within:
+        texts = texts.unionByName(train.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(True).alias("learn"), F.lit(False).alias("ask")))
+    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    pages = max(8, -(-size // (PAGE_TOKENS * TOKEN_BYTES)))
+    # a token takes two bytes at least, or ends a row, and gives two entries at most
+    if (size / 2 + rows) * 2 * BITS_PER_ENTRY / 8 > BROADCAST_BYTES:
+        return joined_scores(texts, pages)
+    train = docs.where(train) if within else train
     words = materialise(word_counts(train))
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    pages = max(8, -(-total // PAGE_TOKENS))
-    built = [materialise(filter_pages(packed_words(words, pages), 1)), materialise(filter_pages(packed_pairs(train, pages), 1))]
-    small = sum(x.agg(F.sum(F.length("bytes"))).first()[0] or 0 for x in built) <= BROADCAST_BYTES
-    model = FilterModel(collected(built[0], pages, 1), collected(built[1], pages, 1), total, distinct) if small else None
+    model = FilterModel(*(collected(filter_pages(x, 1), pages, 1) for x in (packed_words(words, pages), packed_pairs(train, pages))), total, distinct)
     often = max(1, total // HEAD)
     head = words.where(F.col("n") >= often).toArrow()
     order = np.argsort(head.column("h").to_numpy().view(np.uint64))
@@ -356,28 +443,18 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
                 rare, rare_of = tokens[~known], of[~known]
                 cut = np.searchsorted(rare_of, np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(rare.view(np.int64)))
-                if model:
-                    last = {"score": pa.array(model.log10(tokens, at))}
-                else:  # a block's tokens go with its first row
-                    last = {name: pa.array([x.tobytes()] + [None] * (rows - 1), pa.binary()) for name, x in (("tokens", tokens), ("ends", at.astype(np.int64)))}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(serial, serial + rows)), batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(n_known), pa.array(base), lists, *last.values()],
-                    names=["row", "doc_id", "n_tokens", "head_known", "head_base", "rare", *last],
+                    [pa.array(np.arange(serial, serial + rows)), batch.column(0).slice(row, rows), pa.array(np.diff(at)), pa.array(n_known), pa.array(base), lists, pa.array(model.log10(tokens, at))],
+                    names=["row", "doc_id", "n_tokens", "head_known", "head_base", "rare", "score"],
                 )
                 serial += rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n_tokens long, head_known long, head_base double, rare array<long>, " + ("score double" if small else "tokens binary, ends binary")))
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n_tokens long, head_known long, head_base double, rare array<long>, score double"))
     rare = rows.select("row", F.explode("rare").alias("h"))
     tail = rare.join(words.where(F.col("n") < often), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = tail.groupBy("row").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(share))).alias("base"), F.count_if(F.col("n") > 0).alias("known"))
-    scored = rows.drop("rare")
-    if not small:
-        blocks = rows.where("tokens is not null").select(F.col("row").alias("block"), "tokens", "ends")
-        asked = rows.agg(F.sum("n_tokens")).first()[0] or 0
-        both = built[0].withColumn("kind", F.lit(0)).unionByName(built[1].withColumn("kind", F.lit(1)))
-        scored = scored.drop("tokens", "ends").join(joined_scores(blocks, both, pages, max(1, -(-asked // (pages * PAGE_PROBES))), total + distinct), "row")
-    return scored.join(sums, "row", "left").select(
+    return rows.drop("rare").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score"
     )
 
@@ -385,5 +462,5 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = crc_class(F.col("doc_id"), MODULUS)
-    out = score_documents(docs, docs.where((part != HELD_OUT) & (part >= 0)))
+    out = score_documents(docs, (part != HELD_OUT) & (part >= 0))
     return out.select("doc_id", (part == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
