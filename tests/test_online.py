@@ -83,3 +83,16 @@ def test_a_batch_may_run_twice(spark, tmp_path):
     for batch, k in ((first, 0), (second, 1), (second, 1)):
         online.fold_stream(batch, k, str(tmp_path), start, **how)
     assert told(spark.read.parquet(f"{tmp_path}/nodes-000001")) == told(online.fold(start, rows, **how))
+
+
+def test_rows_inside_the_box_are_not_ordered(spark):
+    """Of rows past a leaf's first range of keys, those that widen its box are kept and few others."""
+    rows = spark.range(4000).selectExpr("0 AS tree", "1L AS node", "id AS key", "pmod(xxhash64(id), 100003) / 100003D AS x0", "floor(id / 100) AS range")
+    ranges = rows.groupBy("tree", "node", "range").agg(F.min("x0").alias("lo0"), F.max("x0").alias("hi0"))
+    kept = {r.key for r in online._survivors(rows, online.roots(spark, 1, 1, 1), ranges, 1, True).collect()}
+    lo, hi, widening = 2.0, -1.0, set()
+    for r in rows.orderBy("key").collect():
+        if not lo <= r.x0 <= hi:
+            widening.add(r.key)
+        lo, hi = min(lo, r.x0), max(hi, r.x0)
+    assert widening <= kept and set(range(100)) <= kept and len(kept) < 400
